@@ -24,22 +24,21 @@ def rule_grid(win: DataFrame) -> DataFrame:
     """F1 of every limit pair (a, b): alert if max z_ret > a and max z_vol > b.
 
     A window passes limit pair (i, j) when it passed more than i and more than
-    j limits. Windows are counted once per (i, j) cell, map-side, and each of
-    the 961 pairs reads its cells from that 32 x 32 table.
+    j limits. Windows are counted once per cell, map-side; the 32 x 32 cells
+    are then summed along one limit and the result along the other.
     """
+    size = F.lit(GRID_SIZE - 1)
     cells = win.groupBy(_passed("max_z_ret").alias("ia"), _passed("max_z_vol").alias("ib")).agg(
         F.sum("y").cast("bigint").alias("p"), F.count(F.lit(1)).alias("n")
     )
-    # a cell counts towards every limit pair below it, and towards the total
-    below = cells.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID_SIZE - 1)))).withColumn(
-        "j", F.explode(F.sequence(F.lit(0), F.lit(GRID_SIZE - 1)))
+    count = lambda c, hit: F.sum(F.when(hit, F.col(c)).otherwise(0)).alias(c)
+    one = cells.withColumn("i", F.explode(F.sequence(F.lit(0), size))).groupBy("i", "ib").agg(
+        F.sum("p").alias("all"), *[count(c, F.col("ia") > F.col("i")) for c in ("p", "n")]
     )
-    hit = (F.col("ia") > F.col("i")) & (F.col("ib") > F.col("j"))
-    g = below.groupBy("i", "j").agg(
-        F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"),
-        F.sum(F.when(hit, F.col("n") - F.col("p")).otherwise(0)).alias("fp"),
-        F.sum(F.when(hit, 0).otherwise(F.col("p"))).alias("fn"),
+    g = one.withColumn("j", F.explode(F.sequence(F.lit(0), size))).groupBy("i", "j").agg(
+        F.sum("all").alias("all"), *[count(c, F.col("ib") > F.col("j")) for c in ("p", "n")]
     )
+    g = g.select("i", "j", F.col("p").alias("tp"), (F.col("n") - F.col("p")).alias("fp"), (F.col("all") - F.col("p")).alias("fn"))
     f1 = 2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1))
     limit = lambda k: F.lit(GRID_FIRST) + F.col(k) * GRID_STEP
     return g.select(limit("i").alias("a"), limit("j").alias("b"), "tp", "fp", "fn", f1.alias("f1"))
