@@ -21,13 +21,13 @@ def day_of(ms: str | Column) -> Column:
     return ((col(ms) - F.pmod(col(ms), F.lit(DAY))) / DAY).cast("int")
 
 
-def draw_key(seed: int, *parts: str | Column) -> Column:
+def draw_key(seed: int | Column, *parts: str | Column) -> Column:
     """32 hex digits, uniform and the same in every engine."""
-    cols = [F.lit(str(seed))] + [col(p).cast("string") for p in parts]
+    cols = [seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))] + [col(p).cast("string") for p in parts]
     return F.md5(F.concat_ws("|", *cols))
 
 
-def draw_int(seed: int, *parts: str | Column) -> Column:
+def draw_int(seed: int | Column, *parts: str | Column) -> Column:
     """First 32 bits of :func:`draw_key` as a bigint."""
     return F.conv(F.substring(draw_key(seed, *parts), 1, 8), 16, 10).cast("bigint")
 

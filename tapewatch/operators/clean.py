@@ -8,6 +8,7 @@ from ..config import DAY, DEFAULT, MODES, Settings
 from ..functions.keys import day_of, floor_to
 from ..functions.ranking import exact_quantiles
 from ..functions.rolling import sliding_moments
+from ..session import staged
 
 SEG = ["pair", "chunk_id", "seg"]
 CHUNK = ["pair", "chunk_id"]
@@ -173,7 +174,8 @@ def flag_trades(
         t = trade_returns(t, cfg, days)
         limit = F.lit(cfg.static_pct)
     else:
-        t = trade_sigma(t, cfg, days)
+        # the chunk median and the final test both need it: worked out once
+        t = staged(trade_sigma(t, cfg, days), "sigma")
         per = chunk_sigma(t, cfg)
         t = _by_chunk_hour(t, per, cfg)
         sigma = F.coalesce("raw_sigma", "first_sigma")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import DEFAULT, HOUR, Settings
 from ..functions.keys import day_of, draw_int, draw_key, floor_to, key_bucket, radix_bucket
 from ..functions.ranking import attach, exact_quantiles, running_totals, smallest_keys
+from ..session import staged
 
 SPREAD = ["pair", "end_ms"]
 
@@ -64,8 +65,10 @@ def tune_threshold(scored: DataFrame, by: Sequence[str] = (), grid: int = 300) -
     return best.select(*by, point(F.col("first")).alias("thr"), "f1")
 
 
-def with_prediction(scored: DataFrame, thr: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    s = attach(scored, thr.select(*by, "thr"), list(by), SPREAD)
+def with_prediction(
+    scored: DataFrame, thr: DataFrame, by: Sequence[str] = (), also: Sequence[str] = ()
+) -> DataFrame:
+    s = attach(scored, thr.select(*by, "thr", *also), list(by), SPREAD)
     return s.withColumn("pred", (F.col("score") >= F.col("thr")).cast("int"))
 
 
@@ -189,11 +192,12 @@ def full_eval(
     """One result row per run: threshold from ``val``, everything else on ``test``."""
     by = list(by)
     thr = tune_threshold(val, by).withColumnRenamed("f1", "val_f1")
-    pred = with_prediction(test, thr, by)
+    # read by every part below
+    pred = staged(with_prediction(test, thr.select(*by, "thr", "val_f1"), by, ["val_f1"]), "predicted")
     out = window_metrics(pred, by)
-    for part in (ranking_metrics(test, by), event_metrics(pred, labels, cfg, by), bootstrap_ci(pred, by, n_boot)):
+    kept = pred.groupBy(*by).agg(F.max("thr").alias("thr"), F.max("val_f1").alias("val_f1"))
+    for part in (ranking_metrics(pred, by), event_metrics(pred, labels, cfg, by), bootstrap_ci(pred, by, n_boot), kept):
         out = out.join(part, by, "left")
-    out = out.join(thr, by)
     return out.withColumns({"thr": F.round("thr", 6), "val_f1": F.round("val_f1", 4)})
 
 

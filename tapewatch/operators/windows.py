@@ -195,17 +195,40 @@ def group_events(win: DataFrame, gap_ms: int, by: Sequence[str] = ()) -> DataFra
     return out.withColumn("event_id", F.when(F.col("y") == 1, F.col("event_id")).otherwise(F.lit(-1).cast("bigint")))
 
 
+def subsample_runs(win: DataFrame, fracs: Sequence[float], seeds: Sequence[int], gap_ms: int) -> DataFrame:
+    """Adds label_frac and seed: for each of them a share of the positive events,
+    whole, and of the negatives. A share of 1 keeps everything.
+    """
+    runs = ["label_frac", "seed"]
+    w = group_events(win, gap_ms)
+    spec = F.array(
+        *[F.struct(F.lit(float(f)).alias("label_frac"), F.lit(int(s)).alias("seed")) for f in fracs for s in seeds]
+    )
+    share = lambda n: n * F.col("label_frac")
+
+    events = w.filter("y = 1").select("event_id").distinct().select("event_id", F.inline(spec))
+    events = events.withColumn("__draw", draw_key(F.col("seed"), F.lit("e"), "event_id"))
+    caps = events.groupBy(*runs).agg(F.count(F.lit(1)).alias("n"))
+    caps = caps.select(*runs, F.greatest(F.rint(share(F.col("n"))), F.lit(1)).cast("bigint").alias("cap"))
+    ev = smallest_keys(attach(events, caps, runs, ["event_id"]), runs, key_bucket("__draw"), ["__draw"], "cap")
+
+    neg = w.filter("y = 0").select(*w.columns, F.inline(spec))
+    neg = neg.withColumn("__draw", draw_key(F.col("seed"), F.lit("n"), "pair", "end_ms"))
+    caps = neg.groupBy(*runs).agg(F.count(F.lit(1)).alias("n"))
+    caps = caps.select(*runs, F.greatest(F.floor(share(F.col("n"))), F.lit(1)).cast("bigint").alias("cap"))
+    cut = smallest_keys(
+        attach(neg.select(*runs, "__draw"), caps, runs, ["__draw"]), runs, key_bucket("__draw"), ["__draw"], "cap"
+    )
+    cut = cut.groupBy(*runs).agg(F.max("__draw").alias("__cut"))
+    neg = attach(neg, cut, runs, ["__draw"]).filter(F.col("__draw") <= F.col("__cut"))
+
+    pos = w.filter("y = 1").join(ev.select("event_id", *runs), "event_id")
+    cols = [*win.columns, *runs]
+    return pos.select(*cols).unionByName(neg.select(*cols))
+
+
 def subsample_events(win: DataFrame, frac: float, seed: int, gap_ms: int) -> DataFrame:
-    """Keep a share of the positive events, whole, and of the negatives."""
+    """One share and seed of :func:`subsample_runs`."""
     if frac >= 1.0:
         return win
-    w = group_events(win, gap_ms)
-    events = w.filter("y = 1").select("event_id").distinct()
-    events = events.withColumn("__draw", draw_key(seed, F.lit("e"), "event_id"))
-    n_ev = events.groupBy().agg(F.greatest(F.rint(F.count(F.lit(1)) * frac), F.lit(1)).cast("bigint").alias("cap"))
-    ev = smallest_keys(attach(events, n_ev, [], ["event_id"]), [], key_bucket("__draw"), ["__draw"], "cap")
-    neg = w.filter("y = 0").withColumn("__draw", draw_key(seed, F.lit("n"), "pair", "end_ms"))
-    n_neg = neg.groupBy().agg(F.greatest(F.floor(F.count(F.lit(1)) * frac), F.lit(1)).cast("bigint").alias("cap"))
-    neg = smallest_keys(attach(neg, n_neg, [], ["__draw"]), [], key_bucket("__draw"), ["__draw"], "cap")
-    pos = w.filter("y = 1").join(ev.select("event_id"), "event_id", "left_semi")
-    return pos.select(*win.columns).unionByName(neg.select(*win.columns))
+    return subsample_runs(win, [frac], [seed], gap_ms).drop("label_frac", "seed")

@@ -10,6 +10,7 @@ from ..operators.clean import chunk_map, clean_trades, day_summary, dedup_trades
 from ..operators.features import bar_features
 from ..operators.measures import window_measures
 from ..operators.windows import assign_split, label_windows, split_bounds, subsample_negatives
+from ..session import staged
 
 
 def active_days(trades: DataFrame, cfg: Settings = DEFAULT, days: DataFrame | None = None) -> DataFrame:
@@ -42,5 +43,10 @@ def labelled_windows(
 def build_dataset(
     trades: DataFrame, labels: DataFrame, cfg: Settings = DEFAULT, mode: str = "adaptive", stats: bool = True
 ) -> DataFrame:
-    """The sampled windows of one cleaning mode."""
-    return subsample_negatives(labelled_windows(trades, labels, cfg, mode, stats), cfg).withColumn("mode", F.lit(mode))
+    """The sampled windows of one cleaning mode.
+
+    Sampling reads the windows three times (positives per split, draws, rows).
+    They are stored first, so the tape is worked through once.
+    """
+    win = staged(labelled_windows(trades, labels, cfg, mode, stats), "windows")
+    return subsample_negatives(win, cfg).withColumn("mode", F.lit(mode))

@@ -18,7 +18,7 @@ def write_dataset(win: DataFrame, stats: DataFrame | None, root: str) -> None:
     win.write.partitionBy("mode", "split").mode("append").parquet(f"{root}/windows")
     spark = win.sparkSession
     stored = spark.read.parquet(f"{root}/windows")
-    modes = [r["mode"] for r in win.select("mode").distinct().collect()]
+    modes = [r["mode"] for r in stored.select("mode").distinct().collect()]
     for m in modes:
         fit_scaler(stored.filter(F.col("mode") == m)).write.mode("overwrite").json(f"{root}/scaler/mode={m}")
         if stats is not None:
