@@ -52,7 +52,8 @@ def filter_active(chunks: DataFrame, min_trades: int) -> DataFrame:
 
 # ------------------------------------------------------------- predicates
 def log_return(price: Column, previous: Column) -> Column:
-    return F.log(F.greatest(price, F.lit(1e-12))) - F.log(F.greatest(previous, F.lit(1e-12)))
+    floor = F.lit(1e-12)
+    return F.when(previous.isNotNull(), F.log(F.greatest(price, floor)) - F.log(F.greatest(previous, floor)))
 
 
 def is_reverting_spike(ret: Column, following: Column, limit: Column) -> Column:
@@ -117,8 +118,9 @@ def _cut(trades: DataFrame, cfg: Settings, lookback: int, days: DataFrame | None
     )
     t = t.withColumn("g", F.col("__start") + F.col("rn"))
     t = t.withColumn("ret", F.when(F.col("g") == 0, 0.0).otherwise(log_return(F.col("price"), F.col("__before"))))
-    t = t.withColumn("next_ret", log_return(F.col("__after"), F.col("price")))
-    t = t.withColumn("next_ret", F.when(F.col("__after").isNull(), 0.0).otherwise(F.col("next_ret")))
+    t = t.withColumn(
+        "next_ret", F.when(F.col("__after").isNull(), 0.0).otherwise(log_return(F.col("__after"), F.col("price")))
+    )
     return t.drop("base", "__start", "__before", "__after")
 
 
