@@ -68,15 +68,21 @@ def cleaned(mode: str, name: str, source: str, k0: float) -> str:
 """
 
 
-def bars_sql(p: str, source: str) -> str:
+CLOSED = f"bar_ms + {BAR} <= (SELECT max(time) FROM trades) - 30000"
+
+
+def bars_sql(p: str, source: str, online: bool = False) -> str:
+    chunked = f"""SELECT b.*, c.chunk_id FROM {p}bars b JOIN chunks c
+             ON b.pair = c.pair AND b.bar_ms // {DAY} = c.day WHERE chunk_trades >= {C.min_chunk_trades}"""
+    if online:  # bars the watermark has closed, on one grid per pair
+        chunked = f"SELECT *, 0 AS chunk_id FROM {p}bars WHERE {CLOSED}"
     return f"""
 {p}bars AS MATERIALIZED (
   SELECT pair, time // {BAR} * {BAR} AS bar_ms, arg_min(price, (time, agg_id)) AS open, max(price) AS high,
          min(price) AS low, arg_max(price, (time, agg_id)) AS close, sum(qty) AS volume, count(*) AS n_trades,
          sum(CASE WHEN NOT is_buyer_maker THEN qty ELSE 0 END) AS taker_buy_vol, sum(price * qty) AS quote_vol
   FROM {source} GROUP BY ALL),
-{p}cbars AS (SELECT b.*, c.chunk_id FROM {p}bars b JOIN chunks c
-             ON b.pair = c.pair AND b.bar_ms // {DAY} = c.day WHERE chunk_trades >= {C.min_chunk_trades}),
+{p}cbars AS ({chunked}),
 {p}slots AS (SELECT pair, chunk_id, unnest(range(min(bar_ms), max(bar_ms) + {BAR}, {BAR})) AS bar_ms
              FROM {p}cbars GROUP BY pair, chunk_id),
 {p}joined AS (SELECT s.pair, s.chunk_id, s.bar_ms, open, high, low, volume, n_trades, taker_buy_vol, quote_vol,
@@ -113,7 +119,7 @@ def features_sql(p: str) -> str:
 """
 
 
-def windows_sql(p: str, stats: bool = False) -> str:
+def windows_sql(p: str, stats: bool = False, stride: int = ST) -> str:
     st = ""
     if stats:
         parts = []
@@ -135,7 +141,7 @@ def windows_sql(p: str, stats: bool = False) -> str:
      max(z_ret) OVER w AS max_z_ret, max(z_vol) OVER w AS max_z_vol,
      max(greatest(z_ntr, 0) * greatest(taker_buy_ratio - 0.5, 0)) OVER w AS rush_order{st}
    FROM {p}w1 WINDOW w AS ({frame.format(T - 1)}), l AS ({frame.format(LATE - 1)})),
-{p}win AS MATERIALIZED (SELECT * EXCLUDE rn FROM {p}w2 WHERE rn >= {T} AND (rn - {T}) % {ST} = 0),
+{p}win AS MATERIALIZED (SELECT * EXCLUDE rn FROM {p}w2 WHERE rn >= {T} AND (rn - {T}) % {stride} = 0),
 {p}lab AS MATERIALIZED (SELECT w.*, coalesce(y, 0) AS y, coalesce(buf, 0) = 1 AND coalesce(y, 0) = 0 AS mask
    FROM {p}win w LEFT JOIN (
      SELECT w.pair, w.end_ms, max(CASE WHEN end_ms >= pump_ms - {C.pre_ms} AND end_ms <= pump_ms + {C.during_ms} THEN 1 ELSE 0 END) AS y,
@@ -361,7 +367,9 @@ SCALED = ", ".join(
 def statements() -> dict[str, str]:
     base, full = chain(), chain(stats=True)
     dup = {m: cleaned(m, f"d_{m}", "trades_dup", 1.5) for m in ("none", "static", "adaptive")}
-    closed = f"bar_ms + {BAR} <= (SELECT max(time) FROM trades) - 30000"
+    online = ",".join([bars_sql("on_", "trades", online=True), features_sql("on_"), windows_sql("on_", stride=1)]) + """,
+      live AS (SELECT w.pair, end_ms, 1 / (1 + exp(-least(max_z_ret - 2, max_z_vol - 2))) AS score
+        FROM on_win w JOIN on_cbars b ON w.pair = b.pair AND w.end_ms = b.bar_ms)"""
     barcols = "pair, bar_ms, open, high, low, close, volume, n_trades, taker_buy_vol, round(quote_vol, 6) + 0.0 AS quote_vol"
     o = {}
     o["trade_scan"] = q("SELECT pair, CAST(day AS INT) AS day, n FROM day_n")
@@ -504,8 +512,11 @@ def statements() -> dict[str, str]:
     o["bootstrap_picks"] = q(f"""SELECT pair, CAST(CAST(('0x' || substr(md5('{C.seed}|' || pair || '|' || agg_id), 1, 8)) AS UBIGINT) % 16 AS BIGINT) AS slot,
         count(*) AS n FROM trades GROUP BY ALL""")
     o["stream_dedup"] = q("SELECT pair, agg_id, price, qty, time, is_buyer_maker FROM trades")
-    o["stream_bars"] = q(f"SELECT {barcols} FROM bars WHERE {closed}", bars_sql("", "trades"))
+    o["stream_bars"] = q(f"SELECT {barcols} FROM bars WHERE {CLOSED}", bars_sql("", "trades"))
     o["stream_messages"] = o["stream_bars"]
+    o["stream_scores"] = q("SELECT pair, end_ms, round(score, 6) + 0.0 AS score FROM live", online)
+    o["stream_alerts"] = q("""SELECT pair, 'rule' AS model, count(*) AS alerts, min(end_ms) AS first_ms, round(max(score), 4) AS top_score
+        FROM live WHERE score >= 0.5 GROUP BY pair""", online)
     o["stream_latency"] = q(f"""SELECT count(*) AS n, quantile_cont(age, 0.5) AS p50, quantile_cont(age, 0.95) AS p95 FROM
         (SELECT CAST((SELECT max(bar_ms) FROM bars) - bar_ms AS DOUBLE) AS age FROM bars ORDER BY bar_ms DESC LIMIT 1000)""", bars_sql("", "trades"))
     o["stream_sessions"] = q(f"SELECT * FROM sess WHERE last_ms + {GAP_MS + 1} <= (SELECT max(time) FROM trades) - 30000", SESSIONS)

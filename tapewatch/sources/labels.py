@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LABEL_SCHEMA = "pair string, symbol string, grp string, pump_time timestamp, source string"
 
@@ -37,5 +37,6 @@ def normalize_labels(feed: DataFrame, quote: str = "BTC", source: str = "feed",
         F.unix_millis(at).alias("pump_ms"),
         F.lit(source).alias("source"),
     )
-    w = W.partitionBy("pair", "pump_ms").orderBy("grp")
-    return rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    # copies collapse map-side, however often one event is repeated
+    first = F.min(F.struct("grp", "symbol", "source")).alias("r")
+    return rows.groupBy("pair", "pump_ms").agg(first).select("pair", "r.symbol", "r.grp", "pump_ms", "r.source")
