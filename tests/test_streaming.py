@@ -34,8 +34,10 @@ def test_late_trades_within_and_beyond_the_watermark(spark):
     b1 = [("A", 1, 10.0, 1.0, 1_000, False), ("A", 2, 11.0, 1.0, 31_000, False)]
     b2 = [("A", 3, 12.0, 1.0, 2_000, True), ("A", 1, 10.0, 1.0, 1_000, False)]  # late but in time; a repeat
     b3 = [("A", 4, 13.0, 1.0, 120_000, False)]
+    # with chained stateful steps rows are judged by the batch before's watermark
+    b3b = [("A", 7, 13.5, 1.0, 121_000, False)]
     b4 = [("A", 5, 99.0, 1.0, 3_000, False), ("A", 6, 14.0, 1.0, 200_000, False)]  # too late
-    t = messages(spark, scratch_dir(spark, "msgs"), [b1, b2, b3, b4])
+    t = messages(spark, scratch_dir(spark, "msgs"), [b1, b2, b3, b3b, b4])
     got = drain(spark, live.stream_bars(live.dedup_stream(t), cfg), "late").toPandas().set_index("bar_ms")
     assert list(sorted(got.index)) == [0, 30_000, 120_000]
     assert (got.loc[0, "n_trades"], got.loc[0, "close"], got.loc[0, "high"]) == (2, 12.0, 12.0)
