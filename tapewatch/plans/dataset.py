@@ -26,8 +26,13 @@ def tape_bars(trades: DataFrame, cfg: Settings = DEFAULT, mode: str = "none", da
 
 
 def tape_features(trades: DataFrame, cfg: Settings = DEFAULT, mode: str = "none", days: DataFrame | None = None) -> DataFrame:
-    """Features on the segmented grid (with each segment's history)."""
-    return bar_features(segment_bars(tape_bars(trades, cfg, mode, days), cfg), cfg)
+    """Features on the segmented grid (with each segment's history).
+
+    The grid needs the bars and their first and last per day. Bars are a small
+    part of the tape, so they are stored rather than built twice from it.
+    """
+    bars = staged(tape_bars(trades, cfg, mode, days), "bars")
+    return bar_features(segment_bars(bars, cfg), cfg)
 
 
 def labelled_windows(

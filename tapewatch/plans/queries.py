@@ -357,7 +357,7 @@ def bars_ohlcv(spark, root):
 @query
 def bars_filled(spark, root):
     """The gap-free grid with VWAP."""
-    b = B.fill_bar_gaps(P.tape_bars(fx.trades(spark, root), C), C)
+    b = B.fill_bar_gaps(staged(P.tape_bars(fx.trades(spark, root), C), "bars"), C)
     return rounded(b.drop("idx"), "quote_vol", "vwap")
 
 
@@ -392,7 +392,7 @@ def bar_features(spark, root):
 @query
 def bar_features_blocks(spark, root):
     """F7-F10 by the block method used for long frames."""
-    g = B.segment_bars(P.tape_bars(fx.trades(spark, root), C), C)
+    g = B.segment_bars(staged(P.tape_bars(fx.trades(spark, root), C), "bars"), C)
     f = X.bar_features(g, C, method="blocks").filter("own")
     return rounded(f.select("pair", "bar_ms", "z_vol", "z_ntr", "z_ret", "roll_sigma"), "z_vol", "z_ntr", "z_ret", "roll_sigma")
 

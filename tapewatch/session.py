@@ -25,6 +25,8 @@ def get_session(app: str = "tapewatch", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # rolling frames cost far more per byte than scans do
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
