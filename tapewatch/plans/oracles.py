@@ -445,7 +445,8 @@ def statements() -> dict[str, str]:
     o["labels_with_data"] = q("SELECT * FROM pumps WHERE pair IN (SELECT pair FROM chunks WHERE chunk_trades >= 700)")
     o["event_detection"] = q("SELECT tag, pair, pump_ms, detected FROM m_h", EVAL)
     o["window_stats"] = q(f"SELECT pair, end_ms, {', '.join(rnd(x) for x in STATS)} FROM win", full)
-    o["microstructure"] = q(f"SELECT pair, end_ms, {', '.join(rnd(x) for x in MICRO)} FROM win", base)
+    impact = ", ".join(f"round(ln(1 + {x}), 6) + 0.0 AS {x}" for x in MICRO[4:])
+    o["microstructure"] = q(f"SELECT pair, end_ms, {', '.join(rnd(x) for x in MICRO[:4])}, {impact} FROM win", base)
     o["rule_scores"] = q("SELECT pair, end_ms, round(least(max_z_ret - 2.0, max_z_vol - 2.0), 6) + 0.0 AS score FROM win", base)
     o["rush_order_scores"] = q(f"SELECT pair, end_ms, {rnd('rush_order')} FROM win", base)
     o["rule_grid"] = q("SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, tp, fp, fn, round(f1, 6) + 0.0 AS f1 FROM rf1", base, RULE.format(src="ds"))

@@ -543,8 +543,10 @@ def window_stats(spark, root):
 
 @query
 def microstructure(spark, root):
-    """M2-M4."""
+    """M2-M4. Price impact on a log scale: without volume it is a return over 1e-9,
+    of which six decimals would be more digits than a double has."""
     w = _measures(spark, root, False, True)
+    w = w.withColumns({c: F.log1p(c) for c in ("amihud", "amihud_max")})
     return rounded(w.select("pair", "end_ms", *M.MICRO), *M.MICRO)
 
 
