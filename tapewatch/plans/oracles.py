@@ -351,7 +351,7 @@ planned AS (SELECT * FROM ev_days UNION SELECT * FROM no_days)"""
 
 
 def feats_out(p: str = "") -> str:
-    return ", ".join(rnd(x) for x in FEATURES)
+    return ", ".join(rnd(x, 8 if x in ("hl_range", "vwap_dev", "taker_buy_ratio") else 6) for x in FEATURES)
 
 
 SCALER = "scaler AS (" + " UNION ALL ".join(

@@ -385,8 +385,10 @@ def chunk_report(spark, root):
 # ------------------------------------------------------- features (F)
 @query
 def bar_features(spark, root):
-    """F1-F10, P7."""
-    return rounded(_features(spark, root), *FEATURES)
+    """F1-F10, P7. Ratios of short decimals end on a 5 often: two more digits keep them off ties."""
+    ratios = ["hl_range", "vwap_dev", "taker_buy_ratio"]
+    rest = [x for x in FEATURES if x not in ratios]
+    return rounded(rounded(_features(spark, root), *ratios, digits=8), *rest)
 
 
 @query
