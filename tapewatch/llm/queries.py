@@ -7,16 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .linededup import dedup_lines
+from .ngramjoin import jaccard_components
+from .piecetable import sentencepiece_documents
 from .tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; the package that holds it is on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
+    out = jaccard_components(documents(spark, root), k=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def op3_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root).select("doc_id", "text")
+    out = sentencepiece_documents(docs, vocabulary("piece_bpe_32k.model"), ["n_tokens", "ids_sha256", "decoded_sha256"])
+    return out.drop("text")
+
+
 def op5_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     out = dedup_lines(documents(spark, root))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_line_dedup": op5_line_dedup,
 }
