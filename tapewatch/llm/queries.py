@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import scratch_dir
+from . import langid, licences, pii
+from .decontaminate import contaminated
+from .hnsw import nearest_neighbours
 from .linededup import dedup_lines
 from .ngramjoin import jaccard_components
 from .piecetable import sentencepiece_documents
+from .repair import read_token_shards, write_token_shards
 from .tables import documents
+from .tokencount import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,19 +32,64 @@ def op1_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_language_id(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root).select("doc_id", "text", "lang")
+    profiles = langid.learn_profiles(docs.filter(~langid.held_out()).filter("doc_id is not null"))
+    out = langid.predict_languages(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     docs = documents(spark, root).select("doc_id", "text")
     out = sentencepiece_documents(docs, vocabulary("piece_bpe_32k.model"), ["n_tokens", "ids_sha256", "decoded_sha256"])
     return out.drop("text")
 
 
+def op4_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root).select("doc_id", "text")
+    return count_tokens(docs, vocabulary("piece_bpe_32k.model")).drop("text")
+
+
 def op5_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     out = dedup_lines(documents(spark, root))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    rows = spark.read.parquet(f"{root}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest_neighbours(rows, rows.filter("vec_id % 100 = 0"))
+
+
+def op7_licence_scan(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root).select("doc_id", "text")
+    out = licences.scan(docs, licences.learn(docs))
+    return out.select("doc_id", "n_paragraphs", "n_licences", "families", "licences")
+
+
+def op8_token_files(spark: SparkSession, root: str) -> DataFrame:
+    path = scratch_dir(spark, "tokens")
+    write_token_shards(documents(spark, root), path, vocabulary("word_bpe_49k.json"))
+    return read_token_shards(spark, path)
+
+
+def op9_personal_data(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root).select("doc_id", "text")
+    return pii.find_personal_data(docs, pii.learn_field(docs)).drop("text")
+
+
+def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    return contaminated(documents(spark, root), spark.read.parquet(f"{root}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_language_id": op2_language_id,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_licence_scan": op7_licence_scan,
+    "op8_token_files": op8_token_files,
+    "op9_personal_data": op9_personal_data,
+    "op10_decontamination": op10_decontamination,
 }
