@@ -270,10 +270,8 @@ def _products(bands: Bands):
     return run
 
 
-def _linked(tasks: DataFrame, docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+def _linked(tasks: DataFrame, texts: DataFrame, k: int, bands: Bands) -> DataFrame:
     """Links (a, b) found by the block products of ``tasks`` (task, side, id)."""
-    wanted = tasks.select("id").distinct()
-    texts = docs.join(wanted, "id", "left_semi")
     sets = texts.select("id", "text").mapInArrow(_sets(k), "id bigint, grams binary")
     rows = tasks.join(sets, "id").select("task", "side", "id", "grams")
     rows = rows.repartition("task").sortWithinPartitions("task")
@@ -322,6 +320,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         return j.withColumn(c, F.coalesce("rep", c)).drop("rep")
 
     pairs = staged(known(known(pairs, "doc_id"), "centre").filter("doc_id <> centre").distinct(), "stars")
+    ids = pairs.select(F.explode(F.array("centre", "doc_id")).alias("id")).distinct()
+    texts = staged(docs.join(ids, "id", "left_semi"), "candidates")
     # the centre against its rows, in chunks
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("g"))
     dealt = pairs.join(sizes, "centre").withColumn("chunk", F.pmod(F.hash("doc_id"), _spread("g")))
@@ -329,7 +329,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     tasks = dealt.select(task, F.lit(1).alias("side"), F.col("doc_id").alias("id")).unionByName(
         dealt.select(task, F.lit(0).alias("side"), F.col("centre").alias("id")).distinct()
     )
-    stars = staged(_linked(tasks, docs, k, bands), "links")
+    stars = staged(_linked(tasks, texts, k, bands), "links")
     # rows that are not linked to their centre against the others of its group
     hit = stars.select(F.col("a").alias("centre"), F.col("b").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
     rest = pairs.join(hit, ["centre", "doc_id"], "left").withColumn("miss", F.col("hit").isNull()).drop("hit")
@@ -342,7 +342,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         .unionByName(rest.select("centre", every("nu").alias("i"), j.alias("j"), F.lit(1).alias("side"), F.col("doc_id").alias("id")))
         .select(F.xxhash64("centre", "i", "j", F.lit(2)).alias("task"), "side", "id")
     )
-    links = stars.unionByName(_linked(staged(tasks, "blocks"), docs, k, bands))
+    tasks = staged(tasks, "blocks")
+    texts = texts.join(tasks.select("id").distinct(), "id", "left_semi")
+    links = stars.unionByName(_linked(tasks, texts, k, bands))
     comp = components(links).select(F.col("id").alias("rep"), "component")
     labels = classes.join(comp, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = base.join(labels, ["d1", "d2"], "left")
