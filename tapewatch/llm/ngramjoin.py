@@ -309,9 +309,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     met = staged(
         entries.filter("kind < 2").repartition("sig").mapInArrow(_meet, "sig bigint, doc_id bigint, centre bigint"), "met"
     )
-    centres = met.groupBy("sig").agg(F.min("centre").alias("centre"))
+    # stored sides of joins on keys that may be hot: Spark can split the other side
+    centres = staged(met.groupBy("sig").agg(F.min("centre").alias("centre")), "centres")
     others = entries.filter("kind = 2").join(centres, "sig").select("doc_id", "centre")
-    classes = base.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    classes = staged(base.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
     copies = base.filter("n > 0").join(classes, ["d1", "d2"]).filter("id <> rep").select("id", "rep").distinct()
     pairs = met.select("doc_id", "centre").unionByName(others).filter("doc_id <> centre").distinct()
 
@@ -323,7 +324,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     ids = pairs.select(F.explode(F.array("centre", "doc_id")).alias("id")).distinct()
     texts = staged(docs.join(ids, "id", "left_semi"), "candidates")
     # the centre against its rows, in chunks
-    sizes = pairs.groupBy("centre").agg(F.count("*").alias("g"))
+    sizes = staged(pairs.groupBy("centre").agg(F.count("*").alias("g")), "sizes")
     dealt = pairs.join(sizes, "centre").withColumn("chunk", F.pmod(F.hash("doc_id"), _spread("g")))
     task = F.xxhash64("centre", "chunk").alias("task")
     tasks = dealt.select(task, F.lit(1).alias("side"), F.col("doc_id").alias("id")).unionByName(
@@ -333,7 +334,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # rows that are not linked to their centre against the others of its group
     hit = stars.select(F.col("a").alias("centre"), F.col("b").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
     rest = pairs.join(hit, ["centre", "doc_id"], "left").withColumn("miss", F.col("hit").isNull()).drop("hit")
+    rest = staged(rest, "rest")
     sizes = rest.groupBy("centre").agg(F.count("*").alias("g"), F.sum(F.col("miss").cast("long")).alias("u")).filter("g > 1 and u > 0")
+    sizes = staged(sizes, "sizes")
     rest = rest.join(sizes, "centre").withColumns({"nu": _spread("u"), "ng": _spread("g")})
     i, j = F.pmod(F.hash("doc_id"), F.col("nu")), F.pmod(F.hash("doc_id"), F.col("ng"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -346,7 +349,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     texts = texts.join(tasks.select("id").distinct(), "id", "left_semi")
     links = stars.unionByName(_linked(tasks, texts, k, bands))
     comp = components(links).select(F.col("id").alias("rep"), "component")
-    labels = classes.join(comp, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
+    labels = staged(classes.join(comp, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c")), "labels")
     out = base.join(labels, ["d1", "d2"], "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id"), "d1", "d2"
