@@ -348,7 +348,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     tasks = staged(tasks, "blocks")
     texts = texts.join(tasks.select("id").distinct(), "id", "left_semi")
     links = stars.unionByName(_linked(tasks, texts, k, bands))
-    comp = components(links).select(F.col("id").alias("rep"), "component")
+    # an id whose rows have different sets ties their classes together
+    many = base.filter("n > 0 and id is not null").groupBy("id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).filter("x <> y")
+    ties = copies.join(many, "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    comp = components(links.unionByName(ties)).select(F.col("id").alias("rep"), "component")
     labels = staged(classes.join(comp, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c")), "labels")
     out = base.join(labels, ["d1", "d2"], "left")
     return out.select(
