@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-SHARD_BYTES = 32 << 20  # text of one shard
+SHARD_BYTES = 16 << 20  # text of one shard; a task holds some 20 times that
 BLOCK_SYMBOLS = 1 << 18  # of one block; a document is never cut
 WORD_PAIRS = 4  # least occurrences of a pair replaced inside words
 SEQ_PAIRS = 64  # and between words
-WORDS_KEPT = 300_000  # tokenized words kept by a worker
+WORDS_KEPT = 400_000  # tokenized words kept by a worker, about 80 MB
+TOGETHER = 32  # a round replaces pairs within this factor of the most frequent one
 END_ID = 1
 SCHEMA = (
     "shard int, block int, first_id bigint, last_id bigint, doc_ids binary, null_ids binary, symbols_of binary, "
@@ -45,20 +47,24 @@ def tokenizer(path: str):
 
 
 class Words:
-    """Token ids of distinct words, kept between shards of a worker."""
+    """Token ids of distinct words, kept between shards of a worker as bytes."""
 
     def __init__(self, path: str):
         self.tok, self.known = tokenizer(path), {}
 
-    def __call__(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in a row, and how many each word has."""
         new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > WORDS_KEPT:
+            self.known.clear()
+            new = words
         for lo in range(0, len(new), 10_000):
             part = new[lo : lo + 10_000]
             for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.int64)
-        return [self.known[w] for w in words]
+                self.known[w] = array("i", e.ids).tobytes()
+        raw = [self.known[w] for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        return np.frombuffer(b"".join(raw), np.int32).astype(np.int64), sizes
 
 
 @lru_cache(maxsize=2)
@@ -80,7 +86,6 @@ def replace_pairs(sym: np.ndarray, group: np.ndarray, weight: np.ndarray | None,
     ``weight``: how often each place counts. New symbols are numbered from
     ``first`` by their place in ``rules``. Returns the symbols and groups left.
     """
-    floor = None
     while len(sym) > 1:
         code = (sym[:-1] << 32) | sym[1:]
         same = group[:-1] == group[1:]
@@ -95,19 +100,21 @@ def replace_pairs(sym: np.ndarray, group: np.ndarray, weight: np.ndarray | None,
         top = count.max()
         if top < least:
             break
-        # the most frequent ones first: a round takes those within a factor of four
-        floor = max(least, min(top / 4, floor if floor is not None else top))
-        chosen = count >= floor
+        # the most frequent ones first
+        chosen = count >= max(least, top / TOGETHER)
         rank = np.zeros(len(pairs), np.int64)
         rank[chosen] = np.argsort(np.lexsort((pairs[chosen], -count[chosen]))) + 1
         best = int(chosen.sum()) + 1
         prio = np.zeros(len(code) + 2, np.int64)
         r = rank[where]
         prio[maybe + 1] = np.where(r > 0, best - r, 0)
-        take = np.flatnonzero((prio[1:-1] > 0) & (prio[1:-1] > prio[:-2]) & (prio[1:-1] >= prio[2:]))
-        if not len(take):
-            floor = least
-            continue
+        # of overlapping places the more frequent pair; in a run of one pair every other place
+        start = np.flatnonzero(prio[1:-1] != prio[:-2]) + 1
+        stop = np.append(start[1:], len(prio) - 1)
+        wins = (prio[start] > 0) & (prio[start] > prio[start - 1]) & (prio[start] > prio[stop])
+        start, size = start[wins], (stop - start)[wins]
+        half = (size + 1) // 2
+        take = np.repeat(start - 1 - 2 * (np.cumsum(half) - half), half) + 2 * np.arange(int(half.sum()))
         used, new = np.unique(code[take], return_inverse=True)
         sym = sym.copy()
         sym[take] = first + len(rules) + new
@@ -115,18 +122,18 @@ def replace_pairs(sym: np.ndarray, group: np.ndarray, weight: np.ndarray | None,
         keep = np.ones(len(sym), bool)
         keep[take + 1] = False
         sym, group = sym[keep], group[keep]
-        floor = max(least, floor / 2)
     return sym, group
 
 
-def compress(word_ids: np.ndarray, doc_words: np.ndarray, words: list[np.ndarray], end_id: int, first: int):
-    """Symbols with their document numbers, and the rules, of one shard."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.concatenate(words) if len(words) else np.zeros(0, np.int64)
+def compress(word_ids: np.ndarray, doc_words: np.ndarray, flat: np.ndarray, sizes: np.ndarray, end_id: int, first: int):
+    """Symbols with their document numbers, and the rules, of one shard.
+
+    ``flat`` and ``sizes``: the ids of the distinct words that ``word_ids`` number.
+    """
     rules: list[tuple[int, int]] = []
-    often = np.bincount(word_ids, minlength=len(words)).astype(np.float64)
-    flat, owner = replace_pairs(flat, np.repeat(np.arange(len(words)), sizes), often, WORD_PAIRS, rules, first)
-    sizes = np.bincount(owner, minlength=len(words))
+    often = np.bincount(word_ids, minlength=len(sizes)).astype(np.float64)
+    flat, owner = replace_pairs(flat, np.repeat(np.arange(len(sizes)), sizes), often, WORD_PAIRS, rules, first)
+    sizes = np.bincount(owner, minlength=len(sizes))
     begin = np.cumsum(sizes) - sizes
     # each word's symbols in its place, then the end id
     n = sizes[word_ids]
@@ -165,9 +172,11 @@ def _write(path: str, end_id: int):
         if shard is None:
             return
         first = tokenizer(path).get_vocab_size(with_added_tokens=True)
-        words = words_of(path)(list(numbers))
+        flat, sizes = words_of(path)(list(numbers))
         del numbers
-        sym, doc, rules = compress(np.concatenate(seqs), np.array(counts), words, end_id, first)
+        word_ids = np.concatenate(seqs)
+        del seqs
+        sym, doc, rules = compress(word_ids, np.array(counts), flat, sizes, end_id, first)
         pairs = np.array(rules, np.int64).reshape(-1, 2)
         lengths = expansion_lengths(pairs, first)
         ids, nulls = np.concatenate(ids), np.concatenate(nulls)
