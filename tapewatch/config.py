@@ -90,7 +90,6 @@ FIXTURE = Settings(
     during_ms=HOUR,
     buffer_ms=9 * HOUR,
     neg_ratio_train=10.0,
-    neg_cap_eval=4.0,
     sigma_window=100,
     sigma_min=20,
     min_chunk_trades=30,

@@ -42,10 +42,14 @@ def radix_bucket(x: str | Column, per_octave: int = 64) -> Column:
 
     Only monotonicity matters for the results that use it. The log scale keeps
     buckets small for scores of any magnitude without a first pass over them.
+    Infinities fall in the end buckets, NaN above all, as Spark sorts it.
     """
     v = col(x).cast("double")
-    mag = F.floor(F.log2(F.abs(v)) * per_octave).cast("bigint") + F.lit(1_100 * per_octave)
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, mag + 1).otherwise(-mag - 1)
+    most = F.lit(2_200 * per_octave).cast("bigint")
+    finite = F.when(F.abs(v) < float("inf"), v)
+    mag = F.floor(F.log2(F.abs(finite)) * per_octave).cast("bigint") + F.lit(1_100 * per_octave)
+    mag = F.coalesce(mag + 1, most)
+    return F.when(F.isnan(v), most + 1).when(v == 0, F.lit(0).cast("bigint")).when(v > 0, mag).otherwise(-mag)
 
 
 def tape_order(time: str | Column, agg_id: str | Column, origin: Column, span_ms: int, wide: bool = False) -> Column:

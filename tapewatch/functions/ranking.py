@@ -3,7 +3,9 @@
 A window with no partition key, or with a hot one, runs in one task. The
 functions here cut the order into buckets by an expression that never
 decreases along it, total each bucket (a small frame), and add those totals to
-running sums taken inside the buckets.
+running sums taken inside the buckets. Buckets of values come from a mergeable
+quantile sketch of the values themselves, so they stay even however the values
+crowd; ranks are exact because the counts inside buckets are.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .keys import col, radix_bucket
 
 SALTS = 64
+PARTS = 64  # quantile bounds of a key's values
+RADIX_SPAN = 1 << 20  # more than twice the largest radix bucket
 
 
 def attach(df: DataFrame, few: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner") -> DataFrame:
@@ -29,6 +33,21 @@ def attach(df: DataFrame, few: DataFrame, on: Sequence[str], spread: Sequence[st
     return df.join(few, [*on, "__salt"], how).drop("__salt")
 
 
+def even_buckets(df: DataFrame, keys: Sequence[str], value: str, name: str, spread: Sequence[str]) -> DataFrame:
+    """Adds ``name``, a bigint that never decreases with ``value`` and holds about 1 / PARTS of a key's rows.
+
+    The sketch's bounds come first, the radix bucket splits what lies between
+    two of them. NaN sorts above all, as in Spark.
+    """
+    v = F.col(value).cast("double")
+    known = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    cuts = F.percentile_approx(known, [i / PARTS for i in range(1, PARTS)], 20 * PARTS)
+    bounds = df.groupBy(*keys).agg(F.array_distinct(F.coalesce(cuts, F.array().cast("array<double>"))).alias("__cuts"))
+    out = attach(df, bounds, keys, spread)
+    above = F.size(F.filter("__cuts", lambda c: c < v)).cast("bigint")
+    return out.withColumn(name, above * RADIX_SPAN + radix_bucket(v)).drop("__cuts")
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -78,7 +97,7 @@ def exact_quantiles(
     df = df.filter(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("__v"), w.cast("bigint").alias("__w")
     )
-    df = df.withColumn("__b", radix_bucket("__v"))
+    df = even_buckets(df, keys, "__v", "__b", ["__v", "__w"])
     hist = df.groupBy(*keys, "__b").agg(F.sum("__w").alias("__n"))
     part = W.partitionBy(*keys, F.lit(0))
     upto = part.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)
@@ -90,10 +109,9 @@ def exact_quantiles(
         # zero-based ranks floor(pos) and floor(pos)+1 fall in these buckets
         hits = hits | ((F.floor(pos) + 1 >= F.col("__base")) & (F.floor(pos) < F.col("__cum")))
     wanted = hist.filter(hits).select(*keys, "__b", "__base", "__total")
-    vals = (
-        df.groupBy(*keys, "__b", "__v")
-        .agg(F.sum("__w").alias("__n"))
-        .join(wanted, [*keys, "__b"])
+    # the rows of other buckets go before anything is grouped
+    vals = df.join(wanted, [*keys, "__b"]).groupBy(*keys, "__b", "__v").agg(
+        F.sum("__w").alias("__n"), F.first("__base").alias("__base"), F.first("__total").alias("__total")
     )
     inside = W.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     vals = vals.withColumn("__cum", F.col("__base") + F.sum("__n").over(inside))

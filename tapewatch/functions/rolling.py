@@ -1,8 +1,8 @@
 """Moments over the last ``width`` rows.
 
 Spark evaluates a moving ROWS frame from scratch for every row, so a 720-row
-z-score costs 720 updates per bar. Above ``DIRECT_LIMIT`` the same frame is
-put together from two running frames instead: the rows are cut into blocks of
+z-score costs 720 updates per bar. Here the frame is put together from two
+running frames instead, for every width: the rows are cut into blocks of
 ``width``, and every frame is the end of one block plus the start of the next.
 Running frames cost one update per row, and merging (count, mean, M2) keeps
 the precision that prefix sums would lose.
@@ -14,8 +14,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-DIRECT_LIMIT = 128
-
 
 def sliding_moments(
     df: DataFrame,
@@ -23,15 +21,13 @@ def sliding_moments(
     position: str,
     columns: Sequence[str],
     width: int,
-    method: str = "auto",
+    method: str = "blocks",
 ) -> DataFrame:
     """Add ``{c}__n``, ``{c}__mean`` and ``{c}__sd`` (sample) for each column.
 
     ``position`` is a dense row number within ``keys``; nulls in a column are
-    not counted.
+    not counted. ``method="direct"`` is the plain moving frame, for comparison.
     """
-    if method == "auto":
-        method = "direct" if width <= DIRECT_LIMIT else "blocks"
     if method == "direct":
         w = W.partitionBy(*keys).orderBy(position).rowsBetween(-(width - 1), 0)
         add = {}

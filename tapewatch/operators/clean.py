@@ -202,14 +202,21 @@ def clean_trades(
     return flag_trades(trades, mode, cfg, days).filter(~F.col("removed")).drop("removed")
 
 
-def cleaning_stats(raw: DataFrame, flagged: DataFrame, labels: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+def cleaning_stats(
+    raw: DataFrame, flagged: DataFrame, labels: DataFrame, cfg: Settings = DEFAULT, days: DataFrame | None = None
+) -> DataFrame:
     """One row: trades in and out, removed, and where the removed ones lay.
 
+    ``days``: the active pair-days that ``flagged`` was limited to, if it was;
+    trades of other days count nowhere.
+
     A duplicate counts as removed but is in neither bucket, because its id
     survives in the cleaned tape.
     """
     from .windows import near_label
 
+    if days is not None:
+        raw = raw.withColumn("day", day_of("time")).join(days.select("pair", "day"), ["pair", "day"], "left_semi")
     total = raw.groupBy().agg(F.count(F.lit(1)).alias("ticks_in"))
     bad = near_label(flagged, labels, "time", cfg)
     per = bad.groupBy().agg(

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import DEFAULT, HOUR, Settings
-from ..functions.keys import day_of, draw_int, draw_key, floor_to, key_bucket, radix_bucket
-from ..functions.ranking import attach, exact_quantiles, running_totals, smallest_keys
+from ..functions.keys import day_of, draw_int, draw_key, floor_to, key_bucket
+from ..functions.ranking import attach, even_buckets, exact_quantiles, running_totals, smallest_keys
 from ..session import staged
 
 SPREAD = ["pair", "end_ms"]
@@ -91,7 +91,8 @@ def window_metrics(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def _curve(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per distinct score: positives and rows, and both counted from the top."""
     c = scored.groupBy(*by, "score").agg(F.sum("y").cast("bigint").alias("p"), F.count(F.lit(1)).alias("n"))
-    return running_totals(c, by, radix_bucket("score"), ["score"], {"tp": "p", "called": "n"}, descending=True)
+    c = even_buckets(c, by, "score", "__even", ["score"])
+    return running_totals(c, by, "__even", ["score"], {"tp": "p", "called": "n"}, descending=True).drop("__even")
 
 
 def ranking_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -191,6 +192,9 @@ def full_eval(
 ) -> DataFrame:
     """One result row per run: threshold from ``val``, everything else on ``test``."""
     by = list(by)
+    if not by:
+        one = F.lit(0).alias("__run")
+        return full_eval(test.select("*", one), val.select("*", one), labels, cfg, ["__run"], n_boot).drop("__run")
     thr = tune_threshold(val, by).withColumnRenamed("f1", "val_f1")
     # read by every part below
     pred = staged(with_prediction(test, thr.select(*by, "thr", "val_f1"), by, ["val_f1"]), "predicted")
@@ -213,7 +217,8 @@ def ks_two_sample(a: DataFrame, b: DataFrame, column: str, by: Sequence[str] = (
     c = side(a, 0).unionAll(side(b, 1)).groupBy(*by, "v").agg(
         F.sum(1 - F.col("k")).alias("a"), F.sum("k").alias("b")
     )
-    c = running_totals(c, by, radix_bucket("v"), ["v"], {"ca": "a", "cb": "b"})
+    c = even_buckets(c, by, "v", "__even", ["v"])
+    c = running_totals(c, by, "__even", ["v"], {"ca": "a", "cb": "b"}).drop("__even")
     n = c.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     # one more pass over the counted values, with the totals at hand
     g = attach(c, n, by, ["v"]).groupBy(*by).agg(

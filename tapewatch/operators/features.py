@@ -9,7 +9,7 @@ from ..functions.keys import finite_or_zero, positive_log, ratio
 from ..functions.rolling import sliding_moments
 
 
-def bar_features(bars: DataFrame, cfg: Settings = DEFAULT, method: str = "auto") -> DataFrame:
+def bar_features(bars: DataFrame, cfg: Settings = DEFAULT, method: str = "blocks") -> DataFrame:
     """Features of a gap-free grid; inf, NaN and warm-up values become 0.
 
     All frames share one partitioning and one sort. On segmented bars the

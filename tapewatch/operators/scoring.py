@@ -74,9 +74,9 @@ def with_weight(win: DataFrame) -> DataFrame:
     return attach(win, w.select("y", "weight"), ["y"], ["pair", "end_ms"])
 
 
-def score_separation(scored: DataFrame) -> DataFrame:
-    """Mean score of positives and negatives, and whether they part the right way."""
-    return scored.agg(
+def score_separation(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean score of positives and negatives of each run, and whether they part the right way."""
+    return scored.groupBy(*(by or [])).agg(
         F.avg(F.when(F.col("y") == 1, F.col("score"))).alias("pos_mean"),
         F.avg(F.when(F.col("y") == 0, F.col("score"))).alias("neg_mean"),
     ).withColumn("separates", F.col("pos_mean") > F.col("neg_mean"))

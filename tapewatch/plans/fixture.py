@@ -7,33 +7,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..config import FIXTURE, MINUTE
+from ..config import DAY, MINUTE
 from ..functions.keys import floor_to
 
+# event times carry no zone; they are UTC, whatever the session's zone is
+EPOCH_US = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 WEEK = 7 * 86_400_000  # weeks begin on Monday: the epoch was a Thursday
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
-    # event times carry no zone; they are UTC
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{root}/events.parquet")
 
 
 def trade_columns() -> list[Column]:
+    """Trades of events. Two days after the 7th and one after the 18th stay empty, so each pair has three chunks."""
+    day = F.dayofmonth("ts")
+    shift = F.when(day >= 19, 3).when(day >= 8, 2).otherwise(0)
     return [
         F.col("event_type").alias("pair"),
         F.col("event_id").alias("agg_id"),
         F.col("value").alias("price"),
         F.get_json_object("props", "$.k").cast("double").alias("qty"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("time"),
+        (F.floor(F.expr(EPOCH_US) / 1000) + shift * DAY).cast("bigint").alias("time"),
         (F.col("event_id") % 2 == 1).alias("is_buyer_maker"),
     ]
 
 
 def trades(spark: SparkSession, root: str) -> DataFrame:
-    """The tape; three days of the month are closed, so each pair has three chunks."""
-    e = events(spark, root).filter(~F.dayofmonth("ts").isin(8, 9, 19))
-    return e.select(*trade_columns())
+    """The whole tape."""
+    return events(spark, root).select(*trade_columns())
 
 
 def trades_dup(spark: SparkSession, root: str) -> DataFrame:
@@ -81,7 +83,7 @@ def label_feed(spark: SparkSession, root: str) -> DataFrame:
     """Labels as a text feed: odd spelling, two time formats, other exchanges, repeats."""
     p = pumps(spark, root)
     n = F.row_number().over(W.partitionBy("pair").orderBy("pump_ms"))
-    ts = F.timestamp_millis("pump_ms")
+    ts = F.expr("timestampadd(MILLISECOND, pump_ms, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
     p = p.withColumn("n", n)
     feed = p.select(
         F.lower("pair").alias(" Symbol"),
@@ -129,5 +131,3 @@ def envelope_json(spark: SparkSession, root: str) -> DataFrame:
     )
     return t.select(F.to_json(F.struct(body.alias("data"))).alias("value"))
 
-
-CFG = FIXTURE

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from ..config import FEATURES, FIXTURE as C, HOUR, MINUTE
 
 GAP_MS = 65 * MINUTE
@@ -21,8 +23,8 @@ BASE = f"""
 trades AS MATERIALIZED (
   SELECT event_type AS pair, event_id AS agg_id, value AS price,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS qty,
-         epoch_us(ts) // 1000 AS time, event_id % 2 = 1 AS is_buyer_maker
-  FROM events WHERE day(ts) NOT IN (8, 9, 19)),
+         epoch_us(ts) // 1000 + CASE WHEN day(ts) >= 19 THEN 3 WHEN day(ts) >= 8 THEN 2 ELSE 0 END * {DAY} AS time, event_id % 2 = 1 AS is_buyer_maker
+  FROM events),
 trades_dup AS (SELECT * FROM trades UNION ALL SELECT * FROM trades WHERE agg_id % 50 = 0),
 pumps AS MATERIALIZED (
   SELECT pair, time // {MINUTE} * {MINUTE} AS pump_ms, 'g' || (agg_id % 3) AS grp, 'synthetic' AS source
@@ -289,7 +291,7 @@ RESULTS = ",".join([
     shares("valw", "ev", "runs", "vr"),
     f"vlong AS MATERIALIZED ({long_form('vr', 'label_frac, seed')})",
     f"tlong AS MATERIALIZED ({long_form('(SELECT * FROM wide, runs WHERE split = $$test$$)', 'label_frac, seed')})",
-    tuned("vlong", RUN_KEYS), predicted("tlong", "best", RUN_KEYS), metrics("pred", RUN_KEYS, 200),
+    tuned("vlong", RUN_KEYS), predicted("tlong", "best", RUN_KEYS), metrics("pred", RUN_KEYS, 1000),
     f"""results AS MATERIALIZED (SELECT *, model || CASE WHEN label_frac < 1 THEN '_f' || CAST(label_frac * 100 AS INT) ELSE '' END
         || '_s' || seed AS tag FROM m_w JOIN m_k USING ({RUN_KEYS}) LEFT JOIN m_e USING ({RUN_KEYS}) JOIN m_b USING ({RUN_KEYS}))""",
     r"based AS (SELECT *, regexp_replace(tag, '_s\d+$', '') AS base FROM results)",
@@ -337,7 +339,8 @@ align AS (SELECT pair, pump_ms, CASE WHEN n < 100 THEN 'NO_DATA' WHEN minutes <
      WHEN spike > 2.0 THEN 'ALIGNED' ELSE 'WEAK' END AS status, spike FROM al1)"""
 
 SESSIONS = f"""
-sess_t AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY pair ORDER BY time, agg_id) <= {GAP_MS} THEN 0 ELSE 1 END AS new FROM trades WHERE price > 150),
+sess_t AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY pair ORDER BY time, agg_id) <= {GAP_MS} THEN 0 ELSE 1 END AS new
+   FROM (SELECT t.* FROM trades t JOIN pumps p ON t.pair = p.pair AND time >= pump_ms - {C.pre_ms} AND time <= pump_ms + {C.during_ms})),
 sess_i AS (SELECT *, sum(new) OVER (PARTITION BY pair ORDER BY time, agg_id) AS sid FROM sess_t),
 sess AS (SELECT pair, min(time) AS first_ms, max(time) AS last_ms, count(*) AS windows FROM sess_i GROUP BY pair, sid)"""
 
@@ -373,7 +376,7 @@ def statements() -> dict[str, str]:
     barcols = "pair, bar_ms, open, high, low, close, volume, n_trades, taker_buy_vol, round(quote_vol, 6) + 0.0 AS quote_vol"
     o = {}
     o["trade_scan"] = q("SELECT pair, CAST(day AS INT) AS day, n FROM day_n")
-    o["tape_round_trip"] = q(f"SELECT pair, CAST(time // {DAY} AS INT) AS day, count(*) AS n, round(sum(price), 4) AS price_sum FROM trades WHERE pair = 'purchase' GROUP BY ALL")
+    o["tape_round_trip"] = q(f"SELECT pair, CAST(time // {DAY} AS INT) AS day, count(*) AS n, round(sum(price), 4) AS price_sum FROM trades GROUP BY ALL")
     ingest = "SELECT agg_id, price, qty, time, is_buyer_maker FROM trades WHERE agg_id % 97 <> 0"
     o["dump_ingest"] = o["dump_ingest_csv"] = q(ingest)
     o["label_scan"] = q("SELECT pair, lower(pair) AS symbol, grp, source, pump_ms FROM pumps")
@@ -386,11 +389,12 @@ def statements() -> dict[str, str]:
     o["dataset_sink"] = q(f"SELECT pair, end_ms, y, {SCALED.format(*['', '_last'] * len(FEATURES))} FROM ds WHERE split = 'val'", full, SCALER)
     o["dataset_pool"] = q("SELECT pair, count(*) AS n, min(end_ms) AS first_ms FROM ds WHERE split = 'train' AND y = 0 GROUP BY pair", base)
     o["result_files"] = q("SELECT base, tag, f1, precision, recall FROM newest", RESULTS)
+    odd = ", ".join(str(d) for d in range(19_700, 19_800) if zlib.crc32(str(d).encode()) % 5 == 0)
     digest = f"pair AS grp, CAST(time // {DAY} AS VARCHAR) AS path, md5(count(*) || '|' || sum(agg_id)) AS h"
     o["manifest_diff"] = q(f"""SELECT grp, CAST(sum(CASE WHEN g.h IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing,
           CAST(sum(CASE WHEN w.h IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS extra, CAST(sum(CASE WHEN w.h <> g.h THEN 1 ELSE 0 END) AS BIGINT) AS changed,
           CASE WHEN sum(CASE WHEN g.h IS NULL OR w.h <> g.h THEN 1 ELSE 0 END) > 0 THEN 'MISMATCH' ELSE 'OK' END AS status
-        FROM (SELECT {digest} FROM trades WHERE agg_id > 100 GROUP BY pair, time // {DAY}) w
+        FROM (SELECT grp, CASE WHEN day IN ({odd}) THEN 'old-' || path ELSE path END AS path, h FROM (SELECT {digest}, time // {DAY} AS day FROM trades GROUP BY pair, time // {DAY})) w
         FULL JOIN (SELECT {digest} FROM mcl WHERE NOT removed GROUP BY pair, time // {DAY}) g USING (grp, path) GROUP BY grp""",
         cleaned("static", "mcl", "trades", 6.0))
     o["event_days"] = q("SELECT * FROM ev_days", PLAN)
@@ -411,6 +415,10 @@ def statements() -> dict[str, str]:
         round(median(s), 6) + 0.0 AS median_sigma FROM d_static GROUP BY ALL""", dup["static"])
     o["adaptive_clean"] = q("SELECT pair, agg_id, time, price FROM d_adaptive WHERE NOT removed", dup["adaptive"])
     o["cleaning_stats"] = q(" UNION ALL ".join(stats_row(m, f"d_{m}") for m in dup), *dup.values())
+    act = "act AS (SELECT pair, chunk_id FROM chunks_dup WHERE n >= (SELECT avg(n) FROM chunks_dup))"
+    chunks_dup = f"chunks_dup AS MATERIALIZED (SELECT pair, chunk_id, count(*) AS n FROM trades_dup t JOIN day_c c USING (pair) WHERE t.time // {DAY} = c.day GROUP BY pair, chunk_id)"
+    raw_act = f"trades_act AS MATERIALIZED (SELECT t.* FROM trades_dup t JOIN day_c c ON t.pair = c.pair AND t.time // {DAY} = c.day SEMI JOIN act ON act.pair = t.pair AND act.chunk_id = c.chunk_id)"
+    o["cleaning_stats_active"] = q(" UNION ALL ".join(stats_row(m, f"(SELECT * FROM d_{m} SEMI JOIN act USING (pair, chunk_id))").replace("trades_dup", "trades_act") for m in dup), *dup.values(), chunks_dup, act, raw_act)
     o["removed_trades"] = q(f"SELECT pair, CAST(time // {DAY} AS INT) AS day, count(*) AS n FROM mcl WHERE removed GROUP BY ALL", cleaned("static", "mcl", "trades", 6.0))
     o["bars_filled"] = q("SELECT * EXCLUDE (quote_vol, vwap), round(quote_vol, 6) + 0.0 AS quote_vol, round(vwap, 6) + 0.0 AS vwap FROM grid", bars_sql("", "trades"))
     o["bars_regrid"] = q("SELECT pair, chunk_id, bar_ms, close, volume, round(vwap, 6) + 0.0 AS vwap FROM grid", bars_sql("", "trades"))
@@ -420,9 +428,12 @@ def statements() -> dict[str, str]:
     o["bar_features_blocks"] = q(f"SELECT pair, bar_ms, {', '.join(rnd(x) for x in ('z_vol', 'z_ntr', 'z_ret', 'roll_sigma'))} FROM feats", base)
     o["strided_windows"] = q("SELECT pair, chunk_id, end_ms FROM win", base)
     tw = f"WINDOW w AS (PARTITION BY pair, chunk_id ORDER BY bar_ms ROWS BETWEEN {T - 1} PRECEDING AND CURRENT ROW)"
-    o["window_tensor"] = q(f"""SELECT pair, end_ms, {T} AS t, {len(FEATURES)} AS f, round(CAST(fl AS FLOAT)::DOUBLE, 4) AS first_log_vol,
-          round(CAST(ll AS FLOAT)::DOUBLE, 4) AS last_log_vol, round(ns, 3) AS ntr_sum, false AS has_nan
-        FROM (SELECT pair, chunk_id, bar_ms AS end_ms, first_value(log_vol) OVER w AS fl, log_vol AS ll, sum(CAST(log_ntr AS FLOAT)::DOUBLE) OVER w AS ns FROM feats {tw})
+    tensor = ", ".join(
+        f"round(sum(CAST({x} AS FLOAT)::DOUBLE) OVER w, 2) + 0.0 AS {x}_sum, round(sum(CAST({x} AS FLOAT)::DOUBLE * rn) OVER w - (max(rn) OVER w - {T}) * sum(CAST({x} AS FLOAT)::DOUBLE) OVER w, 1) + 0.0 AS {x}_placed"
+        for x in FEATURES
+    )
+    o["window_tensor"] = q(f"""SELECT pair, end_ms, {T} AS t, {len(FEATURES)} AS f, {', '.join(f'{x}_sum, {x}_placed' for x in FEATURES)}
+        FROM (SELECT pair, chunk_id, bar_ms AS end_ms, {tensor} FROM (SELECT *, row_number() OVER (PARTITION BY pair, chunk_id ORDER BY bar_ms) AS rn FROM feats) {tw})
         JOIN win USING (pair, chunk_id, end_ms)""", base)
     o["window_labels"] = q("SELECT pair, end_ms, y, mask FROM lab", base)
     o["split_bounds"] = q("SELECT round(t1, 3) + 0.0 AS t1, round(t2, 3) + 0.0 AS t2 FROM bounds", base)
@@ -490,7 +501,7 @@ def statements() -> dict[str, str]:
     o["ablation_table"] = q(f"""SELECT ord, mode, {', '.join(REPORT)} FROM (VALUES (0, 'none'), (1, 'static'), (2, 'adaptive')) t(ord, mode)
           LEFT JOIN (SELECT * FROM m_w JOIN m_k USING (mode) LEFT JOIN m_e USING (mode) JOIN m_b USING (mode)) USING (mode)""",
         *[chain(f"{m[:2]}_", m) for m in ("none", "static", "adaptive")], f"abl AS MATERIALIZED ({ab})",
-        tuned("(SELECT * FROM abl WHERE split = 'val')", "mode"), predicted("(SELECT * EXCLUDE split FROM abl WHERE split = 'test')", "best", "mode"), metrics("pred", "mode", 200))
+        tuned("(SELECT * FROM abl WHERE split = 'val')", "mode"), predicted("(SELECT * EXCLUDE split FROM abl WHERE split = 'test')", "best", "mode"), metrics("pred", "mode", 1000))
     o["label_efficiency"] = q("""SELECT model, label_frac, count(*) AS runs, round(avg(f1), 4) AS mean, round(stddev_pop(f1), 4) AS std,
         string_agg(format('{:.4f}', f1), ',' ORDER BY f1) AS vals, round(avg(event_recall), 4) AS event_recall_mean FROM results GROUP BY ALL""", RESULTS)
     o["missing_runs"] = q("SELECT model, label_frac, 3 AS seed FROM (SELECT DISTINCT model, label_frac FROM results)", RESULTS)

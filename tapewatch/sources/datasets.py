@@ -13,16 +13,18 @@ def write_dataset(win: DataFrame, stats: DataFrame | None, root: str) -> None:
     """Windows by mode and split, the train scaler of each mode, cleaning stats.
 
     Windows are written first and the scaler is fitted from the stored rows,
-    so the tape is worked through once.
+    so the tape is worked through once. Writing again replaces the splits that
+    are written, so a repeated run changes nothing. ``stats`` has a row for
+    each mode, told apart by ``mode``.
     """
-    win.write.partitionBy("mode", "split").mode("append").parquet(f"{root}/windows")
-    spark = win.sparkSession
-    stored = spark.read.parquet(f"{root}/windows")
-    modes = [r["mode"] for r in stored.select("mode").distinct().collect()]
-    for m in modes:
+    w = win.write.partitionBy("mode", "split").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    w.parquet(f"{root}/windows")
+    stored = win.sparkSession.read.parquet(f"{root}/windows")
+    for m in [r["mode"] for r in stored.select("mode").distinct().collect()]:
         fit_scaler(stored.filter(F.col("mode") == m)).write.mode("overwrite").json(f"{root}/scaler/mode={m}")
-        if stats is not None:
-            stats.write.mode("overwrite").json(f"{root}/cleaning_stats/mode={m}")
+    if stats is not None:
+        s = stats.write.partitionBy("mode").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        s.json(f"{root}/cleaning_stats")
 
 
 def read_split(spark: SparkSession, root: str, mode: str, split: str) -> DataFrame:
@@ -31,6 +33,11 @@ def read_split(spark: SparkSession, root: str, mode: str, split: str) -> DataFra
     return w.filter((F.col("mode") == mode) & (F.col("split") == split))
 
 
+def read_stats(spark: SparkSession, root: str, mode: str) -> DataFrame:
+    """Cleaning stats of one mode."""
+    return spark.read.json(f"{root}/cleaning_stats").filter(F.col("mode") == mode)
+
+
 def read_pool(spark: SparkSession, root: str, mode: str) -> DataFrame:
     return pretrain_pool(read_split(spark, root, mode, "train"))
 
@@ -47,8 +54,9 @@ def scale_last(win: DataFrame, scaler: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- results
 def write_result(rows: DataFrame, root: str, mode: str) -> None:
-    """One JSON file per run, in a folder named after its tag."""
-    rows.withColumn("run", F.col("tag")).repartition("run").write.mode("append").partitionBy("run").json(f"{root}/{mode}")
+    """One JSON file per run, in a folder named after its tag; a tag written again is replaced."""
+    w = rows.withColumn("run", F.col("tag")).repartition("run").write.partitionBy("run")
+    w.mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{root}/{mode}")
 
 
 def read_results(spark: SparkSession, root: str, mode: str) -> DataFrame:

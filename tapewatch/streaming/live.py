@@ -7,13 +7,16 @@ bars of the store.
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..config import DEFAULT, Settings
-from ..functions.keys import day_of, floor_to
+from ..functions.keys import floor_to
 from ..operators.bars import bar_aggregates, segment_bars
 from ..operators.events import allow_pairs
 from ..operators.features import bar_features
@@ -25,16 +28,11 @@ SPARE_BARS = 32
 
 
 # ----------------------------------------------------------------- sources
-def read_trade_stream(spark: SparkSession, bootstrap: str, topic: str, offsets: str = "latest") -> DataFrame:
-    """Trades of a Kafka topic (needs the Kafka connector on the class path)."""
-    raw = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", bootstrap)
-        .option("subscribe", topic)
-        .option("startingOffsets", offsets)
-        .load()
-    )
-    return decode_trades(raw)
+def read_trade_stream(spark: SparkSession, fmt: str = "kafka", schema: str | None = None, path: str | None = None, **options: str) -> DataFrame:
+    """Trades of a stream of JSON messages in ``value``: a topic (its connector must be on the class path) or text files."""
+    raw = spark.readStream.format(fmt).options(**options)
+    raw = raw.schema(schema) if schema else raw
+    return decode_trades(raw.load(path) if path else raw.load())
 
 
 def dedup_stream(trades: DataFrame, delay: str = "30 seconds") -> DataFrame:
@@ -80,21 +78,53 @@ def write_stream(
 
 
 # ------------------------------------------------------------ online scores
-def keep_ms(cfg: Settings) -> int:
-    return (cfg.z_window + cfg.window_bars + SPARE_BARS) * cfg.bar_ms
+STORED = (
+    "pair string, bar_ms bigint, epoch bigint, open double, high double, low double, close double, volume double, "
+    "n_trades bigint, taker_buy_vol double, quote_vol double"
+)
+
 
+def keep_bars(cfg: Settings) -> int:
+    """Bars of a pair that its newest window can depend on."""
+    return cfg.z_window + cfg.window_bars + SPARE_BARS
 
-def store_bars(bars: DataFrame, store: str, epoch: int) -> None:
-    """Keep a batch's bars by day. Writing the same batch again replaces it."""
-    b = bars.select("pair", "bar_ms", *BAR_COLUMNS).withColumns({"day": day_of("bar_ms"), "epoch": F.lit(epoch)})
-    b.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "epoch").parquet(store)
 
+def stored_bars(spark: SparkSession, store: str, before: int) -> tuple[DataFrame, str]:
+    """The newest snapshot of an epoch below ``before``, and the folder that the next one may replace.
 
-def recent_bars(spark: SparkSession, store: str, since_ms: int) -> DataFrame:
-    """Stored bars from ``since_ms`` on; of a bar sent twice the later one counts."""
-    b = spark.read.parquet(store).filter((F.col("day") >= since_ms // 86_400_000) & (F.col("bar_ms") >= since_ms))
+    Two folders take turns, so neither files nor listings grow, and an epoch
+    that is run again finds the snapshot it began from.
+    """
+    found = []
+    for side in ("a", "b"):
+        try:
+            df = spark.read.schema(STORED).parquet(f"{store}/{side}").filter(F.col("epoch") < before)
+        except AnalysisException:  # not written yet
+            continue
+        last = df.agg(F.max("epoch")).first()[0]
+        if last is not None:
+            found.append((last, side, df))
+    if not found:
+        return spark.createDataFrame([], STORED), "a"
+    _, side, df = max(found, key=lambda x: x[0])
+    return df, "b" if side == "a" else "a"
+
+
+def roll_bars(batch: DataFrame, store: str, epoch: int, cfg: Settings = DEFAULT) -> DataFrame:
+    """Stored bars and a batch's; of a bar sent twice the later one counts.
+
+    Leaves the last ``keep_bars`` bars of every pair as the next snapshot,
+    however far back in time they lie.
+    """
+    old, side = stored_bars(batch.sparkSession, store, epoch)
+    new = batch.select("pair", "bar_ms", F.lit(epoch).cast("bigint").alias("epoch"), *BAR_COLUMNS)
+    both = old.unionByName(new)
     last = [F.max_by(c, "epoch").alias(c) for c in BAR_COLUMNS]
-    return b.groupBy("pair", "bar_ms").agg(*last)
+    bars = both.groupBy("pair", "bar_ms").agg(*last)
+    newest = W.partitionBy("pair").orderBy(F.desc("bar_ms"))
+    kept = bars.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= keep_bars(cfg)).drop("__n")
+    kept.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{store}/{side}")
+    return bars
 
 
 def online_windows(bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -124,11 +154,9 @@ def score_batch(
     batch: DataFrame, epoch: int, store: str, cfg: Settings, scorer: Callable[[DataFrame], DataFrame]
 ) -> DataFrame | None:
     """Scores of a batch's bars: ``scorer`` adds ``score`` to window measures."""
-    span = batch.agg(F.min("bar_ms").alias("lo")).first()
-    if span["lo"] is None:
+    if batch.isEmpty():
         return None
-    store_bars(batch, store, epoch)
-    recent = recent_bars(batch.sparkSession, store, span["lo"] - keep_ms(cfg))
+    recent = roll_bars(batch, store, epoch, cfg)
     # only pairs that moved need scores
     recent = recent.join(batch.select("pair").distinct(), "pair", "left_semi")
     fresh = batch.select("pair", F.col("bar_ms").alias("end_ms")).distinct()
@@ -177,12 +205,34 @@ def latency_percentiles(latest: DataFrame, column: str = "age_ms", order: str =
     return g.select("n", at(0).alias("p50"), at(1).alias("p95"))
 
 
-def throughput(query: StreamingQuery) -> dict[str, float]:
-    """Trades read so far (in the kept progress) and per second."""
-    progress = [p for p in query.recentProgress]
-    rows = sum(p["numInputRows"] for p in progress)
-    ms = sum(p["durationMs"].get("triggerExecution", 0) for p in progress)
-    return {"trades": rows, "trades_per_sec": rows / max(ms / 1000.0, 1e-9)}
+class Throughput(StreamingQueryListener):
+    """Rows and working time of queries over their whole run, however many batches they have."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = defaultdict(int)
+        self.ms: dict[str, int] = defaultdict(int)
+        self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.rows[str(p.runId)] += p.numInputRows
+        self.ms[str(p.runId)] += p.durationMs.get("triggerExecution", 0)
+
+    def onQueryTerminated(self, event):
+        self.ended[str(event.runId)].set()
+
+    def of(self, query: StreamingQuery, wait: float = 60.0) -> dict[str, float]:
+        """Trades and trades per second; of an ended query once its last report is in."""
+        run = str(query.runId)
+        if not query.isActive:
+            self.ended[run].wait(wait)
+        return {"trades": self.rows[run], "trades_per_sec": self.rows[run] / max(self.ms[run] / 1000.0, 1e-9)}
 
 
 def session_events(scored: DataFrame, gap_ms: int) -> DataFrame:

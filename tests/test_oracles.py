@@ -12,7 +12,8 @@ from tools.check import TABLES, compare
 LIGHT = [
     "trade_scan", "dump_ingest", "dump_ingest_csv", "label_scan", "label_normalise", "envelope_decode", "trade_decode",
     "bar_messages", "event_days", "normal_days", "pair_day_plan", "first_pairs", "trade_dedup", "static_clean",
-    "chunk_sigma", "adaptive_clean", "cleaning_stats", "removed_trades", "day_chunks", "bars_ohlcv", "bars_filled", "bars_regrid",
+    "tape_round_trip", "manifest_diff", "threshold_tuning", "ks_features", "full_evaluation", "stream_alerts", "stream_throughput",
+    "cleaning_stats_active", "chunk_sigma", "adaptive_clean", "cleaning_stats", "removed_trades", "day_chunks", "bars_ohlcv", "bars_filled", "bars_regrid",
     "minute_closes", "bar_features", "bar_features_blocks", "window_labels", "window_stats", "microstructure",
     "window_tensor", "negatives_sampled", "events_sampled", "labels_merged", "label_alignment", "ranking_metrics",
     "bootstrap_ci", "event_metrics", "price_quantiles", "stream_bars", "stream_dedup", "stream_sessions", "stream_scores",

@@ -47,12 +47,29 @@ def test_last_write_wins_in_the_store(spark):
     store = scratch_dir(spark, "store")
     cols = "pair string, bar_ms bigint, open double, high double, low double, close double, volume double, n_trades bigint, taker_buy_vol double, quote_vol double"
     row = lambda c: spark.createDataFrame([("A", 0, 1.0, 1.0, 1.0, c, 1.0, 1, 1.0, 1.0)], cols)
-    live.store_bars(row(1.0), store, 0)
-    live.store_bars(row(2.0), store, 1)
-    live.store_bars(row(2.0), store, 1)  # a retried batch replaces itself
-    got = live.recent_bars(spark, store, -1).collect()
-    assert [r["close"] for r in got] == [2.0]
-    assert spark.read.parquet(store).count() == 2
+    for epoch, close in ((0, 1.0), (1, 2.0), (1, 2.0), (3, 3.0)):  # epoch 1 is retried, 2 had no bars
+        live.roll_bars(row(close), store, epoch)
+    got = live.stored_bars(spark, store, 9)[0].collect()
+    assert [(r["close"], r["epoch"]) for r in got] == [(3.0, 3)]
+    assert live.stored_bars(spark, store, 3)[0].first()["close"] == 2.0
+    assert {r.epoch for side in "ab" for r in spark.read.parquet(f"{store}/{side}").collect()} == {1, 3}
+
+
+def test_thin_pairs_are_scored_from_their_last_bars(spark):
+    """Bars of a pair further apart than the whole buffer: its re-grid spans enough bars from the second one on."""
+    cfg = FIXTURE.with_(z_window=24, window_bars=8, vol_window=12)
+    bars = spark.createDataFrame(
+        [("A", i * 157 * cfg.bar_ms, 1.0 + i, 2.0 + i, 1.0, 1.5 + i, 1.0, 1, 0.5, 1.5) for i in range(4)],
+        "pair string, bar_ms bigint, open double, high double, low double, close double, volume double, n_trades bigint, taker_buy_vol double, quote_vol double",
+    )
+    scorer = lambda w: w.withColumn("score", F.col("max_z_vol"))
+    want = {r.end_ms: r.max_z_vol for r in live.online_windows(bars, cfg).collect()}
+    store = scratch_dir(spark, "store")
+    for i in range(4):
+        batch = bars.filter(F.col("bar_ms") == i * 157 * cfg.bar_ms)
+        got = live.score_batch(batch, i, store, cfg, scorer).select("end_ms", "score").collect()
+        assert [r.end_ms for r in got] == ([] if i == 0 else [i * 157 * cfg.bar_ms])
+        assert all(abs(r.score - want[r.end_ms]) < 1e-9 for r in got)
 
 
 def test_online_scores_equal_batch(spark, root):
@@ -69,9 +86,7 @@ def test_online_scores_equal_batch(spark, root):
     second = live.score_batch(bars.filter(F.col("bar_ms") > mid), 1, store, cfg, scorer).select("pair", "end_ms", "score").toPandas()
     got = pd.concat([first, second]).merge(whole.toPandas(), on=["pair", "end_ms"])
     assert len(second) > 50 and len(got) == len(first) + len(second)
-    # history shorter than the buffer only shortens warm-up at its very start
-    close = (got["score"] - got["want"]).abs() < 1e-9
-    assert close.mean() > 0.99
+    assert ((got["score"] - got["want"]).abs() < 1e-9).all()
 
 
 def test_latency_needs_more_than_ten(spark):
