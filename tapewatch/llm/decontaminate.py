@@ -30,9 +30,9 @@ from .textscan import U64, Scan, ids_of, text_batches
 
 HOP = 16  # words; a passage is two hops, an item's part one
 PARTS_ROWS = 256  # words of the vocabulary in one partial product
-RANK, EXTRA = 128, 16
+RANK, EXTRA = 96, 16
 BLOCK_BYTES = 256 << 10  # benchmark text worked on at once: at most 16 MB of products
-COSINE = 0.4
+COSINE = 0.45
 WHOLE, PART = 0.8, 0.55  # share of the item in order: enough alone, enough with the answer
 ANSWER = 0.6  # share of the answer's words
 SEED = 5
@@ -213,8 +213,6 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 def verified(item: np.ndarray, answer: int, words: np.ndarray) -> tuple[int, int] | None:
     """Common subsequence and answer words found, if they amount to the item."""
     n = len(item)
-    if np.isin(item, words).sum() < PART * n:
-        return None
     lcs = common_subsequence(item, words)
     end = item[answer:]
     found = common_subsequence(end, words)
@@ -226,6 +224,10 @@ def verified(item: np.ndarray, answer: int, words: np.ndarray) -> tuple[int, int
 def _search(items: Items, space: np.ndarray):
     owner, lists = items.parts()
     target = np.stack([space[w].sum(0) for w in lists])
+    of_item = np.zeros((len(items.words), len(items.vocab)), bool)
+    numbers = [np.searchsorted(items.vocab, w) for w in items.words]
+    for q, w in enumerate(numbers):
+        of_item[q, w] = True
     target = (target / np.maximum(np.linalg.norm(target, axis=1), 1e-9)[:, None]).T.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +250,7 @@ def _search(items: Items, space: np.ndarray):
             text_start = np.searchsorted(doc, np.arange(len(texts)))
             text_end = np.searchsorted(doc, np.arange(len(texts)), "right")
             best: dict[tuple[int, int], tuple] = {}
+            here = np.zeros(len(items.vocab), bool)
             for lo in range(0, len(pair), 4096):
                 cos = pair[lo : lo + 4096] @ target
                 x, y = np.nonzero(cos >= COSINE)
@@ -255,6 +258,16 @@ def _search(items: Items, space: np.ndarray):
                     q, t = int(owner[j]), int(of[i])
                     n = len(items.words[q])
                     a, e = max(text_start[t], at[i] - n), min(text_end[t], at[i] + 2 * HOP + n)
+                    # no common subsequence is longer than the words either side has in common
+                    lo_w, hi_w = np.searchsorted(place, (a, e))
+                    near = word[lo_w:hi_w]
+                    if of_item[q, near].sum() < PART * n:
+                        continue
+                    here[near] = True
+                    enough = here[numbers[q]].sum() >= PART * n
+                    here[near] = False
+                    if not enough:
+                        continue
                     got = verified(items.words[q], items.answer[q], h[a:e])
                     if got:
                         have = best.get((t, q))
