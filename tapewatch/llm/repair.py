@@ -15,8 +15,8 @@ ends a token and which it drops; each distinct word is tokenized once a worker.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +28,7 @@ SHARD_BYTES = 16 << 20  # text of one shard; a task holds some 20 times that
 BLOCK_SYMBOLS = 1 << 18  # of one block; a document is never cut
 WORD_PAIRS = 4  # least occurrences of a pair replaced inside words
 SEQ_PAIRS = 64  # and between words
-WORDS_KEPT = 400_000  # tokenized words kept by a worker, about 80 MB
+WORDS_KEPT = 500_000  # tokenized words kept by a worker, about 100 MB
 TOGETHER = 32  # a round replaces pairs within this factor of the most frequent one
 END_ID = 1
 SCHEMA = (
@@ -47,22 +47,47 @@ def tokenizer(path: str):
 
 
 class Words:
-    """Token ids of distinct words, kept between shards of a worker as bytes."""
+    """Token ids of distinct words, kept between shards of a worker as bytes.
+
+    A word of Latin letters before points and commas is kept without these and
+    in lower case: the tokenizer lower-cases, and ends a token between the two.
+    Half of the table is the generation before, so frequent words stay.
+    """
+
+    plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)").fullmatch
 
     def __init__(self, path: str):
-        self.tok, self.known = tokenizer(path), {}
+        self.tok, self.known, self.before = tokenizer(path), {}, {}
+
+    def _encode(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
+            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, np.int32)
+            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)) if len(ids) else np.zeros(len(part), np.int64)
+            stop = np.cumsum(n)
+            for w, i, j in zip(part, (stop - n).tolist(), stop.tolist(), strict=True):
+                self.known[w] = ids[i:j].tobytes()
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids in a row, and how many each word has."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = words
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = array("i", e.ids).tobytes()
-        raw = [self.known[w] for w in words]
+        if len(self.known) > WORDS_KEPT // 2:
+            self.known, self.before = {}, self.known
+        parts: list[tuple[str, str]] = []
+        for w in words:
+            m = self.plain(w)
+            parts.append((m[1].lower(), m[2]) if m else (w, ""))
+        known, before = self.known, self.before
+        new = set()
+        for p in parts:
+            for w in p:
+                if w not in known:
+                    if w in before:
+                        known[w] = before[w]
+                    else:
+                        new.add(w)
+        self._encode(sorted(new))
+        raw = [known[a] + known[b] for a, b in parts]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         return np.frombuffer(b"".join(raw), np.int32).astype(np.int64), sizes
 
