@@ -8,8 +8,8 @@ words and inside documents. Rules, the expansion length of every rule, and
 the remaining symbols in blocks of whole documents are stored as Parquet rows,
 so one document is read by its block, its shard's rules and its symbols.
 
-Words are cut at single spaces and line ends, at which the tokenizer always
-ends a token and which it drops; each distinct word is tokenized once a worker.
+Words are cut at white space, at which the tokenizer always ends a token and
+which it drops; distinct words are tokenized once and kept by a worker.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from .textscan import Scan, text_batches
+
 SHARD_BYTES = 16 << 20  # text of one shard; a task holds some 20 times that
 BLOCK_SYMBOLS = 1 << 18  # of one block; a document is never cut
 WORD_PAIRS = 4  # least occurrences of a pair replaced inside words
 SEQ_PAIRS = 64  # and between words
-WORDS_KEPT = 500_000  # tokenized words kept by a worker, about 100 MB
-TOGETHER = 32  # a round replaces pairs within this factor of the most frequent one
+WORDS_KEPT = 800_000  # tokenized words kept by a worker, about 160 MB
 END_ID = 1
 SCHEMA = (
     "shard int, block int, first_id bigint, last_id bigint, doc_ids binary, null_ids binary, symbols_of binary, "
@@ -63,31 +64,36 @@ class Words:
         for lo in range(0, len(words), 2000):
             part = words[lo : lo + 2000]
             e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, np.int32)
-            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)) if len(ids) else np.zeros(len(part), np.int64)
-            stop = np.cumsum(n)
-            for w, i, j in zip(part, (stop - n).tolist(), stop.tolist(), strict=True):
-                self.known[w] = ids[i:j].tobytes()
+            raw = np.array(e.ids, np.int32).tobytes()
+            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)) if raw else np.zeros(len(part), np.int64)
+            stop = 4 * np.cumsum(n)
+            for w, i, j in zip(part, (stop - 4 * n).tolist(), stop.tolist(), strict=True):
+                self.known[w] = raw[i:j]
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids in a row, and how many each word has."""
         if len(self.known) > WORDS_KEPT // 2:
             self.known, self.before = {}, self.known
-        parts: list[tuple[str, str]] = []
-        for w in words:
-            m = self.plain(w)
-            parts.append((m[1].lower(), m[2]) if m else (w, ""))
-        known, before = self.known, self.before
-        new = set()
-        for p in parts:
-            for w in p:
-                if w not in known:
-                    if w in before:
-                        known[w] = before[w]
+        known, before, plain = self.known, self.before, self.plain
+        raw: list[bytes] = [b""] * len(words)
+        wait: list[tuple[int, str, str]] = []
+        new: dict[str, None] = {}
+        for i, w in enumerate(words):
+            m = plain(w)
+            a, b = (m[1].lower(), m[2]) if m else (w, "")
+            for p in (a, b) if b else (a,):
+                if p not in known:
+                    if p in before:
+                        known[p] = before[p]
                     else:
-                        new.add(w)
-        self._encode(sorted(new))
-        raw = [known[a] + known[b] for a, b in parts]
+                        new[p] = None
+            if a in new or b in new:
+                wait.append((i, a, b))
+            else:
+                raw[i] = known[a] + known[b] if b else known[a]
+        self._encode(list(new))
+        for i, a, b in wait:
+            raw[i] = known[a] + known[b] if b else known[a]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         return np.frombuffer(b"".join(raw), np.int32).astype(np.int64), sizes
 
@@ -97,12 +103,32 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-class Numbers(dict):
-    """Numbers words in the order in which they first occur."""
+class ShardWords:
+    """The words of a shard's texts by two hashes, numbered at the end."""
+
+    def __init__(self):
+        self.data: list[bytes] = []
+        self.size = 0
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.counts: list[np.ndarray] = []
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
+    def add(self, texts: list[bytes]) -> None:
+        scan = Scan(texts, lower=False)
+        start, end, doc = scan.words()
+        self.parts.append((scan.hashes(start, end), scan.hashes(start, end, 1), start + self.size, end + self.size))
+        self.counts.append(np.bincount(doc, minlength=len(texts)))
+        self.data.append(scan.data.tobytes())
+        self.size += len(scan.data)
+
+    def numbered(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words, the number of every word in order, and the words of each text."""
+        h1, h2, start, end = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        _, first, number = np.unique(h1, return_index=True, return_inverse=True)
+        if (h2 != h2[first][number]).any():
+            _, first, number = np.unique(np.stack([h1, h2], 1), axis=0, return_index=True, return_inverse=True)
+        data = b"".join(self.data)
+        words = [data[i:j].decode() for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        return words, number.reshape(-1).astype(np.int32), np.concatenate(self.counts)
 
 
 def replace_pairs(sym: np.ndarray, group: np.ndarray, weight: np.ndarray | None, least: int, rules: list[tuple[int, int]], first: int):
@@ -122,11 +148,10 @@ def replace_pairs(sym: np.ndarray, group: np.ndarray, weight: np.ndarray | None,
             break
         pairs, where = np.unique(code[maybe], return_inverse=True)
         count = np.bincount(where, None if w is None else w[maybe])
-        top = count.max()
-        if top < least:
+        # all frequent pairs at once; where places overlap the more frequent pair goes first
+        chosen = count >= least
+        if not chosen.any():
             break
-        # the most frequent ones first
-        chosen = count >= max(least, top / TOGETHER)
         rank = np.zeros(len(pairs), np.int64)
         rank[chosen] = np.argsort(np.lexsort((pairs[chosen], -count[chosen]))) + 1
         best = int(chosen.sum()) + 1
@@ -181,27 +206,20 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, seqs, counts, ids, nulls, shard = Numbers(), [], [], [], [], None
-        for b in batches:
-            if not b.num_rows:
-                continue
+        found, ids, nulls, shard = ShardWords(), [], [], None
+        for b, texts in text_batches(batches, 2):
             shard = b.column(0)[0].as_py()
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids.append(part.column(1).fill_null(0).to_numpy(zero_copy_only=False))
-                nulls.append(part.column(1).is_null().to_numpy(zero_copy_only=False))
-                for text in part.column(2).to_pylist():
-                    words = (text or "").replace("\n", " ").split(" ")
-                    seqs.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                    counts.append(len(words))
+            ids.append(b.column(1).fill_null(0).to_numpy(zero_copy_only=False))
+            nulls.append(b.column(1).is_null().to_numpy(zero_copy_only=False))
+            found.add(texts)
         if shard is None:
             return
         first = tokenizer(path).get_vocab_size(with_added_tokens=True)
-        flat, sizes = words_of(path)(list(numbers))
-        del numbers
-        word_ids = np.concatenate(seqs)
-        del seqs
-        sym, doc, rules = compress(word_ids, np.array(counts), flat, sizes, end_id, first)
+        words, word_ids, counts = found.numbered()
+        del found
+        flat, sizes = words_of(path)(words)
+        del words
+        sym, doc, rules = compress(word_ids, counts, flat, sizes, end_id, first)
         pairs = np.array(rules, np.int64).reshape(-1, 2)
         lengths = expansion_lengths(pairs, first)
         ids, nulls = np.concatenate(ids), np.concatenate(nulls)

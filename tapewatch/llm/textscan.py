@@ -58,16 +58,16 @@ class Scan:
     ``ends[i]`` is the place of the separator behind text i.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], lower: bool = True):
         self.data = np.frombuffer(b"\n".join(texts) + b"\n" if texts else b"", np.uint8)
         lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.ends = np.cumsum(lens + 1) - 1
         self.starts = self.ends - lens
-        self.low = _LOWER[self.data]
+        self.low = _LOWER[self.data] if lower else self.data
         self._sums: dict[int, np.ndarray] = {}
 
     def hashes(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-        """Hash of the lower-cased bytes of each span; depends on content alone."""
+        """Hash of the (lower-cased) bytes of each span; depends on content alone."""
         n = len(self.data) + 1
         if seed not in self._sums:
             with np.errstate(over="ignore"):
