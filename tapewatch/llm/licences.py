@@ -60,10 +60,7 @@ TEMPLATES = {
     "public-domain": ["This work has been released into the public domain.", "This is free and unencumbered software released into the public domain."],
 }
 # Everyday words that say nothing about a licence.
-EVERYDAY = frozenset(
-    "a all and any are as by compliance conditions copy except file files following for form forms free general has in into "
-    "is met not of or person provided subject that the this to under use used v version with without work you may".split()
-)
+EVERYDAY = frozenset("a all and any are as been by except for has in into is may not of or that the this to under use used with without you".split())
 
 
 def words_of(text: str) -> list[str]:
