@@ -37,6 +37,7 @@ from .textscan import U64, Scan, ids_of, mix, shingle_sets, text_batches
 CHUNK = 1_000_000  # n-grams or block entries combined before they leave a task
 BLOCK = 256  # rows of one side of a block product
 COLUMNS = 4096  # columns multiplied at once
+FILTER_BITS = 1 << 24
 COMMON_SHARE = 2000  # an n-gram in more than one of so many documents is common
 COMMON_MOST = 1 << 16  # common n-grams sent to tasks (512 KB); any choice gives the same result
 
@@ -278,6 +279,32 @@ def _linked(tasks: DataFrame, texts: DataFrame, k: int, bands: Bands) -> DataFra
     return rows.mapInArrow(_products(bands), "a bigint, b bigint")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with one of ``ids``, and maybe some others, without moving texts.
+
+    A bit for each id's hash makes a filter of at most ``FILTER_BITS`` (2 MB),
+    whose size is checked first; with more ids the texts are joined instead.
+    """
+    bits = 1 << max(10, (16 * ids.count()).bit_length())
+    if bits > FILTER_BITS:
+        return docs.join(ids, "id", "left_semi")
+    slot = f"pmod(xxhash64(id), {bits}L)"
+    words = ids.select(F.expr(f"{slot} div 64").alias("w"), F.expr(f"shiftleft(1L, cast({slot} % 64 as int))").alias("b"))
+    table = np.zeros(bits // 64, np.int64)
+    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        table[r.w] = r.b
+    table = table.view(U64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2).to_numpy(zero_copy_only=False)
+            keep = (table[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    rows = docs.filter("id is not null").select("id", "text", F.expr(slot).alias("slot"))
+    return rows.mapInArrow(run, "id bigint, text string")
+
+
 def _spread(n: str) -> F.Column:
     return F.ceil(F.col(n) / BLOCK).cast("int")
 
@@ -321,8 +348,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         return j.withColumn(c, F.coalesce("rep", c)).drop("rep")
 
     pairs = staged(known(known(pairs, "doc_id"), "centre").filter("doc_id <> centre").distinct(), "stars")
-    ids = pairs.select(F.explode(F.array("centre", "doc_id")).alias("id")).distinct()
-    texts = staged(docs.join(ids, "id", "left_semi"), "candidates")
+    ids = staged(pairs.select(F.explode(F.array("centre", "doc_id")).alias("id")).distinct(), "ids")
+    texts = staged(_texts(docs, ids), "candidates")
     # the centre against its rows, in chunks
     sizes = staged(pairs.groupBy("centre").agg(F.count("*").alias("g")), "sizes")
     dealt = pairs.join(sizes, "centre").withColumn("chunk", F.pmod(F.hash("doc_id"), _spread("g")))
@@ -346,7 +373,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         .select(F.xxhash64("centre", "i", "j", F.lit(2)).alias("task"), "side", "id")
     )
     tasks = staged(tasks, "blocks")
-    texts = texts.join(tasks.select("id").distinct(), "id", "left_semi")
+    texts = _texts(texts, staged(tasks.select("id").distinct(), "ids"))
     links = stars.unionByName(_linked(tasks, texts, k, bands))
     # an id whose rows have different sets ties their classes together
     many = base.filter("n > 0 and id is not null").groupBy("id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).filter("x <> y")
