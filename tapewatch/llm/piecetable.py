@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from .tables import with_columns
 
 SPACE = "▁"
-STRETCHES = 300_000  # kept by a worker, about 100 MB; then the table starts anew
-PAIRS = 2_000_000
+STRETCHES = 100_000  # a worker keeps this many new ones and as many of the generation before, about 80 MB
+PAIRS = 300_000  # tested pairs kept, about 40 MB; then they are tested anew
 _STRETCH = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 NORMAL, BYTE = 1, 6  # kinds of pieces in a model file
 OUTPUTS = {
@@ -74,8 +74,9 @@ class PieceTable:
             if isinstance(tree, int):  # else merging its text gives other tokens: it never occurs
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.before: dict[str, tuple[str, int, str]] = {}
 
     def _merge(self, text: str):
         """The token a piece's text merges to, noting its last merge, or None."""
@@ -101,7 +102,7 @@ class PieceTable:
         return path[::-1]
 
     def compatible(self, a: int, b: int) -> bool:
-        key = (a, b)
+        key = a << 32 | b
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= PAIRS:
@@ -179,9 +180,12 @@ class PieceTable:
         found = self.known.get(text)
         if found is None:
             if len(self.known) >= STRETCHES:
-                self.known.clear()
-            ids = self.encode_stretch(text)
-            found = self.known[text] = (",".join(map(str, ids)), len(ids), self.decode(ids, first=False))
+                self.known, self.before = {}, self.known
+            found = self.before.get(text)
+            if found is None:
+                ids = self.encode_stretch(text)
+                found = (",".join(map(str, ids)), len(ids), self.decode(ids, first=False))
+            self.known[text] = found
         return found
 
     def document(self, text: str) -> list[tuple[str, int, str]]:
