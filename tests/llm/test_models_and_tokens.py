@@ -1,6 +1,7 @@
 """Tokenizers against their libraries; language ID, licences, neighbours and the pipeline."""
 
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -220,3 +221,24 @@ def test_pipeline_stages(spark, root, edge):
         rows = stage(spark, rows, root)
         assert rows.count() > 0
         rows = rows.cache()
+
+
+def test_licences_wrapped_and_dual(spark, docs):
+    """Notices wrapped at 70 columns, several in one line, and families whose words nearly agree."""
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    prose = " ".join(f"word{i} thing" for i in range(60))
+    wrapped = [(bsd, "bsd"), (gpl.format("", 3), "gpl-3.0"), (gpl.format("", 2), "gpl-2.0"), (gpl.format("Affero ", 3), "agpl-3.0"), (isc, "isc")]
+    rows = [("\n".join(["x", "", *(f" * {x}" for x in textwrap.wrap(t, 70)), "", "y"]), f, 2) for t, f in wrapped]
+    rows += [
+        ("Licensed under the MIT License or the Apache License, Version 2.0.", "apache-2.0,mit", 0),
+        (f"{prose} {bsd} {prose} {isc} {prose} Licensed under CC BY-NC 4.0. {prose}", "bsd,cc-by-nc-4.0,isc", 0),
+        (f"{bsd} {prose} {bsd}", "bsd", 0),
+        ("All rights\n\nin the world\n\nare reserved", "", 0),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, want string, begins int")
+    got = sorted(licences.scan(df, licences.learn(docs)).collect())
+    assert [r.families for r in got] == [r.want for r in got]
+    assert all(r.licences[0].line == r.begins for r in got if r.want)
+    assert got[7].n_licences == 2
