@@ -6,7 +6,10 @@ graph is hierarchical: a node is in level l with probability M**-l, and its
 links in a level are chosen from its nearest nodes there so that no chosen
 node is nearer to another chosen one than to the node itself; links are also
 kept in the other direction while there is room. A graph is stored as flat
-arrays of neighbour numbers. Every query goes through every shard's graph, a
+arrays of neighbour numbers. Close groups larger than the choice of links leave
+the lowest level in islands, so a search starts in many of them: each island
+has a node among the entries, and the beam begins with the entries nearest to
+the query and the nearest one of each of its nearest islands. Every query goes through every shard's graph, a
 block of queries in step, and the shards' results are merged.
 """
 
@@ -25,6 +28,7 @@ SHARD_ROWS = 8192
 LINKS = 16  # in upper levels; twice as many in the lowest
 NEAR = 64  # nearest nodes from which links are chosen
 BEAM = 128
+START = 32  # nearest entries, and nearest islands, from which a beam starts
 QUERIES = 256  # searched in step
 SEED = 11
 
@@ -93,6 +97,46 @@ def build(x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return nodes, graph
 
 
+def islands(nb: np.ndarray) -> np.ndarray:
+    """For each node the smallest node of its island, the nodes it reaches by links that go in both directions."""
+    n = len(nb)
+    src, col = np.nonzero(nb >= 0)
+    dst = nb[src, col].astype(np.int64)
+    both = np.isin(src * n + dst, dst * n + src)
+    src, dst = src[both], dst[both]
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, src, low[dst])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def entries(nodes: list[np.ndarray], graph: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes a search can start from, ordered by island, and where each island's begin."""
+    island = islands(graph[0])
+    first = np.unique(island, return_index=True)[1]
+    own = np.unique(np.concatenate([first, *nodes[1:2]]))
+    own = own[np.argsort(island[own], kind="stable")]
+    return own, np.flatnonzero(np.diff(island[own], prepend=-1))
+
+
+def starts(x: np.ndarray, own: np.ndarray, begin: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each query START nearest entries and the nearest ones of START islands (one may come twice)."""
+    e = x[own]
+    d = np.einsum("ij,ij->i", e, e)[None, :] - 2 * (q @ e.T)
+    k = min(START, len(own))
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    low = np.minimum.reduceat(d, begin, axis=1)
+    k = min(START, len(begin))
+    isle = np.argpartition(low, k - 1, axis=1)[:, :k]
+    stop = np.append(begin[1:], len(own))
+    best = [[begin[i] + d[r, begin[i] : stop[i]].argmin() for i in row] for r, row in enumerate(isle)]
+    return own[np.concatenate([near, np.array(best, np.int64)], 1)]
+
+
 def search(x: np.ndarray, nodes: list[np.ndarray], graph: list[np.ndarray], q: np.ndarray, beam: int) -> np.ndarray:
     """Node numbers in each query's beam (-1: none), in no order."""
     nq, rows = len(q), np.arange(len(q))
@@ -115,10 +159,14 @@ def search(x: np.ndarray, nodes: list[np.ndarray], graph: list[np.ndarray], q: n
                 break
             cur, best = np.where(better, nb[rows, j], cur), np.where(better, d[rows, j], best)
     beam = min(beam, len(x))
+    at = np.sort(np.concatenate([cur[:, None], starts(x, *entries(nodes, graph), q)], 1), axis=1)
+    d = np.where(np.diff(at, axis=1, prepend=-1) == 0, np.inf, far(at)).astype(np.float32)
+    first = np.argsort(d, axis=1, kind="stable")[:, :beam]
+    at, d = np.take_along_axis(at, first, 1), np.take_along_axis(d, first, 1)
     ids, dist, done = np.full((nq, beam), -1, np.int64), np.full((nq, beam), np.inf, np.float32), np.zeros((nq, beam), bool)
-    ids[:, 0], dist[:, 0] = cur, best
+    ids[:, : at.shape[1]], dist[:, : at.shape[1]] = np.where(np.isfinite(d), at, -1), d
     seen = np.zeros((nq, len(x)), bool)
-    seen[rows, cur] = True
+    seen[rows[:, None], at] = True
     while True:
         open_ = np.where(done | (ids < 0), np.inf, dist)
         j = open_.argmin(1)

@@ -242,3 +242,20 @@ def test_licences_wrapped_and_dual(spark, docs):
     assert [r.families for r in got] == [r.want for r in got]
     assert all(r.licences[0].line == r.begins for r in got if r.want)
     assert got[7].n_licences == 2
+
+
+@pytest.mark.parametrize("kind", ["plain", "groups", "near"])
+def test_neighbours_recall_in_a_whole_shard(kind):
+    """Recall in one shard of 8,192: no clusters, 100 tight groups, and a third of the rows near one vector."""
+    n = hnsw.SHARD_ROWS
+    x = np.random.default_rng(3).standard_normal((n, 64))
+    if kind == "groups":
+        x = x[:100][np.arange(n) % 100] + 0.05 * x
+    if kind == "near":
+        x[: n // 3] = x[0] + 0.05 * x[: n // 3]
+    x = x.astype(np.float32)
+    q = x[::54]
+    got = hnsw.search(x, *hnsw.build(x), q, hnsw.BEAM)
+    dist = (q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q.astype(float) @ x.T.astype(float)
+    hits = [len(set(a) & set(b)) for a, b in zip(np.argsort(dist, 1)[:, :10].tolist(), got.tolist(), strict=True)]
+    assert sum(hits) >= 0.99 * 10 * len(q) and min(hits) > 0
