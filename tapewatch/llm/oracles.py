@@ -24,6 +24,49 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+# A checksum by bits: bytes of the decimal id, each followed by eight shifts (-1).
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+    string_split(doc_id::VARCHAR, ''), lambda d: list_concat([ascii(d)::BIGINT], list_resize([]::BIGINT[], 8, -1))))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+
+PERIODIC_RUNS = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS ws, {_CRC32} AS h FROM documents),
+parts AS (SELECT *, len(ws) AS n, h // 10 AS g FROM docs),
+planted AS (
+  SELECT *, h % 10 = 0 AND n > 0 AS changed, CASE WHEN n > 0 THEN g % n END AS a,
+         CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p
+  FROM parts
+),
+words AS (
+  SELECT doc_id, n, i, ws[1 + CASE WHEN changed AND i >= a THEN a + (i - a) % p ELSE i END] AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM planted)
+),
+same AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM same),
+stretches AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM islands GROUP BY doc_id, q, isle
+  HAVING count(*) + q >= greatest(6, 4 * q)
+),
+runs AS (SELECT doc_id, s, l, min(q) AS q FROM stretches GROUP BY doc_id, s, l),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id
+),
+best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) = 1
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period,
+       (1000 * l // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 SQL = {
+    "op11_periodic_runs": PERIODIC_RUNS,
     "op5_line_dedup": LINE_DEDUP,
 }

@@ -16,6 +16,7 @@ from .piecetable import sentencepiece_documents
 from .repair import read_token_shards, write_token_shards
 from .tables import documents
 from .tokencount import count_tokens
+from .wordruns import periodic_runs, with_repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +82,29 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return contaminated(documents(spark, root), spark.read.parquet(f"{root}/benchmark.parquet"))
 
 
+def op11_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
+    docs = with_repetition(documents(spark, root).select("doc_id", "text"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    # greatest length / period by whole numbers; the runs come by start and period, so the first of equals stays
+    best = F.aggregate(
+        "runs", F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b)
+    )
+    return (
+        periodic_runs(docs)
+        .withColumn("best", best)
+        .select(
+            "doc_id",
+            F.size("runs").cast("bigint").alias("n_runs"),
+            "best.start",
+            "best.length",
+            "best.period",
+            F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
@@ -92,4 +116,5 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
 }
