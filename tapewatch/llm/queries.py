@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_dir
 from . import langid, licences, pii
+from .bayesdedup import near_duplicates
 from .decontaminate import contaminated
 from .hnsw import nearest_neighbours
 from .linededup import dedup_lines
@@ -105,6 +106,11 @@ def op11_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op13_minhash_dedup(spark: SparkSession, root: str) -> DataFrame:
+    out = near_duplicates(documents(spark, root), k=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
@@ -117,4 +123,5 @@ QUERIES: dict[str, Query] = {
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
