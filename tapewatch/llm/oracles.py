@@ -66,7 +66,56 @@ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::B
 FROM docs d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+HARD_NEGATIVES = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+),
+negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+"""
+
+# Bigrams met by hash of their words would do as well; the words themselves leave no doubt.
+MINHASH_DEDUP = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, {_WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE
+         list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS grams
+  FROM docs
+),
+sized AS (SELECT doc_id, grams, len(grams) AS n, min(doc_id) OVER (PARTITION BY list_sort(grams)) AS rep FROM sets),
+grams AS (SELECT doc_id, n, unnest(grams) AS g FROM sized WHERE n > 0 AND doc_id = rep),
+near AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reached AS (SELECT a, a AS r FROM links UNION SELECT l.a, r.r FROM links l JOIN reached r ON l.b = r.a),
+found AS (SELECT a, min(r) AS c FROM reached GROUP BY a)
+SELECT doc_id, n::BIGINT AS n_shingles, CASE WHEN n > 0 THEN coalesce(c, rep) ELSE doc_id END AS component_id,
+       doc_id = CASE WHEN n > 0 THEN coalesce(c, rep) ELSE doc_id END AS kept
+FROM sized LEFT JOIN found ON a = rep
+"""
+
 SQL = {
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_minhash_dedup": MINHASH_DEDUP,
     "op11_periodic_runs": PERIODIC_RUNS,
     "op5_line_dedup": LINE_DEDUP,
 }

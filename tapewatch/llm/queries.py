@@ -10,6 +10,7 @@ from ..session import scratch_dir
 from . import langid, licences, pii
 from .bayesdedup import near_duplicates
 from .decontaminate import contaminated
+from .hardnegatives import hard_negatives
 from .hnsw import nearest_neighbours
 from .linededup import dedup_lines
 from .ngramjoin import jaccard_components
@@ -106,6 +107,12 @@ def op11_periodic_runs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    rows = spark.read.parquet(f"{root}/embeddings.parquet").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op13_minhash_dedup(spark: SparkSession, root: str) -> DataFrame:
     out = near_duplicates(documents(spark, root), k=2, percent=80)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -123,5 +130,6 @@ QUERIES: dict[str, Query] = {
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_minhash_dedup": op13_minhash_dedup,
 }
