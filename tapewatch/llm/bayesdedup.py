@@ -17,7 +17,9 @@ probability 1.3e-7, and pruning at 1e-7 adds less than one in a million.
 Pairs inside a band's bucket are not made one by one. The smallest class of a
 bucket is its centre; all others are compared with it. Only members that are
 not linked to it are compared with the whole group, in blocks of at most
-``BLOCK`` by ``BLOCK`` classes a task.
+``BLOCK`` by ``BLOCK`` classes a task. A block returns only links that join
+classes not joined before, so a group of many similar texts does not return
+all its pairs.
 """
 
 from __future__ import annotations
@@ -137,14 +139,20 @@ def compatible(left: np.ndarray, right: np.ndarray, percent: int, miss: float, b
     return x, y
 
 
-def _sides(batches: Iterator[pa.RecordBatch], kind) -> Iterator[tuple]:
-    """Classes and rows (``kind`` numbers each) of the two sides of each task."""
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """The two sides of each task, where both are there."""
     for t in runs(batches):
-        side, c = t.column("side").to_numpy(), t.column("c").to_numpy()
-        held = [np.frombuffer(v, kind) for v in t.column("held").to_pylist()]
-        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if len(l) and len(r):
-            yield c[l], c[r], [held[i] for i in l], [held[i] for i in r]
+        side = t.column("side").to_numpy()
+        if (side == 0).any() and (side == 1).any():
+            yield t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
+
+
+def _classes(t: pa.Table) -> np.ndarray:
+    return t.column("c").to_numpy()
+
+
+def _rows(t: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(v, kind) for v in t.column(name).to_pylist()]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -152,25 +160,80 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
 
 
-def _prune(percent: int, miss: float, batches_at: tuple[int, ...]):
+def _prune(percent: int, miss: float, steps: tuple[int, ...]):
+    """Pairs (a, b) of a star that the signatures leave."""
+
     def run(batches):
-        for cl, cr, left, right in _sides(batches, np.uint32):
-            x, y = compatible(np.stack(left), np.stack(right), percent, miss, batches_at)
-            yield _pairs(cl[x], cr[y])
+        for l, r in _sides(batches):
+            x, y = compatible(np.stack(_rows(l, "sig", np.uint32)), np.stack(_rows(r, "sig", np.uint32)), percent, miss, steps)
+            yield _pairs(_classes(l)[x], _classes(r)[y])
 
     return run
 
 
+def _survivors(percent: int, miss: float, steps: tuple[int, ...]):
+    """The rows of a block that have a partner in it which the signatures leave; not the pairs, which may be many."""
+
+    def run(batches):
+        for l, r in _sides(batches):
+            cl, cr = _classes(l), _classes(r)
+            x, y = compatible(np.stack(_rows(l, "sig", np.uint32)), np.stack(_rows(r, "sig", np.uint32)), percent, miss, steps)
+            other = cl[x] != cr[y]
+            kl, kr = cl[np.unique(x[other])], cr[np.unique(y[other])]
+            c = np.concatenate([kl, kr])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(c), l.column("task")[0].as_py())), pa.array(np.repeat([0, 1], [len(kl), len(kr)]).astype(np.int32)), pa.array(c)],
+                ["task", "side", "c"],
+            )
+
+    return run
+
+
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the intersections of a sorted set with others, and their sizes."""
+    cat, sizes = np.concatenate(others), np.array([len(v) for v in others])
+    i = np.minimum(np.searchsorted(one, cat), len(one) - 1)
+    return np.bincount(np.repeat(np.arange(len(others)), sizes), one[i] == cat, len(others)).astype(np.int64), sizes
+
+
 def _confirm(percent: int):
+    """Links of a star by the full sets."""
+
     def run(batches):
-        for cl, cr, left, right in _sides(batches, U64):
-            # one class against its partners
-            one = left[0]
-            cat, sizes = np.concatenate(right), np.array([len(v) for v in right])
-            i = np.minimum(np.searchsorted(one, cat), len(one) - 1)
-            both = np.bincount(np.repeat(np.arange(len(right)), sizes), one[i] == cat, len(right)).astype(np.int64)
+        for l, r in _sides(batches):
+            one = _rows(l, "grams", U64)[0]
+            both, sizes = overlaps(one, _rows(r, "grams", U64))
             linked = 100 * both >= percent * (len(one) + sizes - both)
-            yield _pairs(np.full(int(linked.sum()), cl[0]), cr[linked])
+            yield _pairs(np.full(int(linked.sum()), _classes(l)[0]), _classes(r)[linked])
+
+    return run
+
+
+def _forest(percent: int, miss: float, steps: tuple[int, ...]):
+    """Verified links that join a block's classes as all its links do: a pair already joined needs no look."""
+
+    def run(batches):
+        for l, r in _sides(batches):
+            cl, cr = _classes(l), _classes(r)
+            left, right = _rows(l, "grams", U64), _rows(r, "grams", U64)
+            x, y = compatible(np.stack(_rows(l, "sig", np.uint32)), np.stack(_rows(r, "sig", np.uint32)), percent, miss, steps)
+            ids, at = np.unique(np.concatenate([cl, cr]), return_inverse=True)
+            group = np.arange(len(ids))
+            found: list[tuple[int, int]] = []
+            for i in np.unique(x):
+                u = at[i]
+                ys = y[x == i]
+                ys = ys[group[at[len(cl) + ys]] != group[u]]
+                if not len(ys):
+                    continue
+                both, sizes = overlaps(left[i], [right[j] for j in ys])
+                for j in ys[100 * both >= percent * (len(left[i]) + sizes - both)]:
+                    v = at[len(cl) + j]
+                    if group[v] != group[u]:
+                        group[group == group[v]] = group[u]
+                        found.append((cl[i], cr[j]))
+            if found:
+                yield _pairs(*np.array(found, np.int64).T)
 
     return run
 
@@ -186,7 +249,7 @@ def _sets(k: int, bits: int, table: np.ndarray):
             stop = np.cumsum(n)
             at = np.flatnonzero(fresh)
             raw = [s[stop[i] - n[i] : stop[i]].tobytes() for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(d1[at].view(np.int64)), pa.array(d2[at].view(np.int64)), pa.array(raw, pa.binary())], ["d1", "d2", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(d1[at].view(np.int64)), pa.array(d2[at].view(np.int64)), pa.array(raw, pa.binary())], ["d1", "d2", "grams"])
 
     return run
 
@@ -225,10 +288,12 @@ def _stars(pairs: DataFrame, centre: str, other: str) -> DataFrame:
     )
 
 
-def _work(tasks: DataFrame, held: DataFrame, fn) -> DataFrame:
-    """Pairs (a, b) that ``fn`` returns for the tasks, with the rows of ``held`` (c, held) in place."""
-    rows = tasks.join(held, "c").select("task", "side", "c", "held")
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(fn, "a bigint, b bigint")
+def _work(tasks: DataFrame, held: list[DataFrame], fn, ddl: str = "a bigint, b bigint") -> DataFrame:
+    """What ``fn`` returns for the tasks, with the classes' signatures or sets beside them."""
+    for h in held:
+        tasks = tasks.join(h, "c")
+    tasks = tasks.select("task", *[c for c in tasks.columns if c != "task"])
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(fn, ddl)
 
 
 def near_duplicates(
@@ -245,9 +310,8 @@ def near_duplicates(
 
     Returns a row for each row of ``docs``: ``id_col``; ``n_shingles``; the
     digests ``d1``, ``d2`` of the set (equal for equal sets); ``component_id``,
-    the smallest id reachable by links, itself included; ``n_links``, the
-    number of other classes that the row's class was verified to be linked with;
-    ``kept``, whether the row's id is its component.
+    the smallest id reachable by links, itself included; ``kept``, whether the
+    row's id is its component.
 
     A null text or one without words has an empty set, is linked with nothing
     and is its own component. A text of fewer than k words has its whole
@@ -269,7 +333,7 @@ def near_duplicates(
         .agg(F.min(F.when(F.col("sig").isNotNull(), F.col("r"))).alias("c"), F.min("id").alias("rep")),
         "classes",
     )
-    signed = seen.filter("sig is not null").select(F.col("r").alias("c"), F.col("sig").alias("held"))
+    signed = seen.filter("sig is not null").select(F.col("r").alias("c"), "sig")
     signed = staged(signed.join(classes.select("c"), "c"), "classes")
     entries = staged(signed.mapInArrow(_bands(bands, rows), "band bigint, c bigint"), "bands")
     # stored sides of joins on keys that may be hot: Spark can split the other side
@@ -277,15 +341,12 @@ def near_duplicates(
     pairs = staged(entries.join(centres, "band").filter("c <> centre").select("c", "centre").distinct(), "stars")
     met = staged(pairs.select(F.explode(F.array("c", "centre")).alias("c")).distinct(), "met")
     wanted = staged(classes.join(met, "c").select("c", "d1", "d2"), "wanted")
-    sets = docs.mapInArrow(_sets(k, *_wanted_bits(wanted)), "d1 bigint, d2 bigint, held binary")
-    sets = staged(sets.join(wanted, ["d1", "d2"]).select("c", "held").dropDuplicates(["c"]), "sets")
+    sets = docs.mapInArrow(_sets(k, *_wanted_bits(wanted)), "d1 bigint, d2 bigint, grams binary")
+    sets = staged(sets.join(wanted, ["d1", "d2"]).select("c", "grams").dropDuplicates(["c"]), "sets")
     signed = staged(signed.join(met, "c"), "signed")
 
-    def linked(tasks):
-        close = staged(_work(tasks, signed, _prune(percent, miss, steps)).distinct(), "close")
-        return staged(_work(_stars(close, "a", "b"), sets, _confirm(percent)), "links")
-
-    links = linked(_stars(pairs, "centre", "c"))
+    close = staged(_work(_stars(pairs, "centre", "c"), [signed], _prune(percent, miss, steps)), "close")
+    links = staged(_work(_stars(close, "a", "b"), [sets], _confirm(percent)), "links")
     # members that are not linked to their centre against all of its group
     hit = links.select(F.col("a").alias("centre"), F.col("b").alias("c"), F.lit(True).alias("hit"))
     rest = staged(pairs.join(hit, ["centre", "c"], "left").select("centre", "c", F.col("hit").isNull().alias("miss")), "rest")
@@ -298,23 +359,21 @@ def near_duplicates(
         .unionByName(rest.select("centre", every("nu").alias("i"), j.alias("j"), F.lit(1).alias("side"), "c"))
         .select(F.xxhash64("centre", "i", "j").alias("task"), "side", "c")
     )
-    links = links.unionByName(linked(staged(blocks, "blocks"))).distinct()
+    near = _work(staged(blocks, "blocks"), [signed], _survivors(percent, miss, steps), "task bigint, side int, c bigint")
+    links = links.unionByName(_work(staged(near, "near"), [signed, sets], _forest(percent, miss, steps)))
     # an id whose rows have different sets ties their classes together
     named = base.filter("n > 0 and id is not null").join(classes, ["d1", "d2"]).select("id", "c")
     ties = named.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("id", "a")
     ties = named.join(ties, "id").filter("a <> c").select("a", F.col("c").alias("b"))
-    links = staged(links.withColumn("tie", F.lit(0)).unionByName(ties.distinct().withColumn("tie", F.lit(1))), "links")
-    comp = components(links.select("a", "b")).withColumnRenamed("id", "c")
-    ends = links.filter("tie = 0").select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
-    named = staged(classes.join(comp, "c", "left").join(ends, "c", "left").withColumn("component", F.coalesce("component", "c")), "named")
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    labels = staged(named.join(least, "component").select("d1", "d2", "least", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
+    comp = components(links.unionByName(ties)).withColumnRenamed("id", "c")
+    named = staged(classes.join(comp, "c", "left").withColumn("component", F.coalesce("component", "c")), "named")
+    least = staged(named.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    labels = staged(named.join(least, "component").select("d1", "d2", "least"), "labels")
     out = base.join(labels, ["d1", "d2"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")))
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         "component_id",
-        F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"),
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
         "d1",
         "d2",
