@@ -32,14 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .tables import runs, staged
+from .tables import KeyFilter, runs, staged
 from .textscan import U64, Scan, ids_of, mix, shingle_sets, text_batches
 
 BANDS, ROWS = 40, 5
 BATCHES = (25, 50, 100, 200)  # places of a signature compared by then
 MISS = 1e-7
 BLOCK = 256  # classes of one side of a block
-FILTER_BITS = 1 << 24
 
 
 def factors(n: int) -> np.ndarray:
@@ -238,43 +237,19 @@ def _forest(percent: int, miss: float, steps: tuple[int, ...]):
     return run
 
 
-def _sets(k: int, bits: int, table: np.ndarray):
+def _sets(k: int, wanted: KeyFilter):
     """(d1, d2, shingles) of the rows whose digest may be wanted, each set once a task."""
 
     def run(batches):
         for _, n, d1, d2, fresh, d, s in _fresh_sets(batches, k):
-            if bits:
-                at = mix(d1) % U64(bits)
-                fresh = fresh & ((table[at >> U64(6)] >> (at & U64(63))) & U64(1) == 1)
             stop = np.cumsum(n)
-            at = np.flatnonzero(fresh)
+            at = np.flatnonzero(fresh & wanted.may_hold(d1))
             raw = [s[stop[i] - n[i] : stop[i]].tobytes() for i in at]
             yield pa.RecordBatch.from_arrays([pa.array(d1[at].view(np.int64)), pa.array(d2[at].view(np.int64)), pa.array(raw, pa.binary())], ["d1", "d2", "grams"])
 
     return run
 
 
-def _wanted_bits(wanted: DataFrame) -> tuple[int, np.ndarray]:
-    """A bit for each wanted digest, in at most ``FILTER_BITS`` (2 MB); (0, nothing) where more would be needed."""
-    bits = 1 << max(10, (16 * wanted.count()).bit_length())
-    if bits > FILTER_BITS:
-        return 0, np.zeros(0, U64)
-
-    def part(batches):
-        table = np.zeros(bits // 64, U64)
-        for b in batches:
-            at = mix(b.column(0).to_numpy().view(U64)) % U64(bits)
-            np.bitwise_or.at(table, at >> U64(6), U64(1) << (at & U64(63)))
-        w = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(table[w].view(np.int64))], ["w", "v"])
-
-    words = wanted.select("d1").mapInArrow(part, "w bigint, v bigint").groupBy("w").agg(F.bit_or("v").alias("v"))
-    table = np.zeros(bits // 64, U64)
-    for r in words.collect():
-        table[r.w] = np.int64(r.v).view(U64)
-    return bits, table
-
-
 def _chunks(n: str) -> F.Column:
     return F.ceil(F.col(n) / BLOCK).cast("int")
 
@@ -341,7 +316,7 @@ def near_duplicates(
     pairs = staged(entries.join(centres, "band").filter("c <> centre").select("c", "centre").distinct(), "stars")
     met = staged(pairs.select(F.explode(F.array("c", "centre")).alias("c")).distinct(), "met")
     wanted = staged(classes.join(met, "c").select("c", "d1", "d2"), "wanted")
-    sets = docs.mapInArrow(_sets(k, *_wanted_bits(wanted)), "d1 bigint, d2 bigint, grams binary")
+    sets = docs.mapInArrow(_sets(k, KeyFilter(wanted, "d1")), "d1 bigint, d2 bigint, grams binary")
     sets = staged(sets.join(wanted, ["d1", "d2"]).select("c", "grams").dropDuplicates(["c"]), "sets")
     signed = staged(signed.join(met, "c"), "signed")
 

@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     e, state = staged(e, "edges"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # a stored side: Spark can split a node with very many edges
+        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "lowest")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")

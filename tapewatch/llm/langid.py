@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import with_columns
+from .tables import hold, with_columns
 from .textscan import BATCH_BYTES
 
 DIM = 1024
@@ -26,6 +26,7 @@ N = 3
 SEED = 71
 UNKNOWN = "und"
 COLUMNS = 4096  # n-grams multiplied at once
+ROWS = 512  # texts multiplied at once
 DENSE = 1 << 22  # largest table of n-gram numbers kept as a flat array
 _place = np.full(0x110000, -1, np.int32)  # letter number of a code point, 0: no letter, -1: not met
 _letters: list[int] = [32]
@@ -102,7 +103,7 @@ def _pieces(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     lo = size = 0
     for i, x in enumerate(b.column(at)):
         size += len(x.as_buffer()) if x.is_valid else 0
-        if size > BATCH_BYTES:
+        if size > BATCH_BYTES or i + 1 - lo >= ROWS:
             yield b.slice(lo, i + 1 - lo)
             lo, size = i + 1, 0
     if lo < b.num_rows:
@@ -111,6 +112,7 @@ def _pieces(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bundled vector for each language in this part: rows (lang, text)."""
+    hold("langid", letter_vector.cache_clear)
     sums: dict[str, np.ndarray] = {}
     for whole in batches:
         for b in _pieces(whole, 1):
@@ -159,6 +161,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
 def _predict(at: int, profiles: Profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("langid", letter_vector.cache_clear)
         for whole in batches:
             for b in _pieces(whole, at):
                 vec = text_vectors([x or "" for x in b.column(at).to_pylist()])

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import staged, with_columns
+from .tables import staged, unused, with_columns
 from .textscan import U64, Scan, ids_of, mix, text_batches
 
 SHARD_KEYS = 250_000  # keys of one shard, about 6 MB of arrays
@@ -63,6 +63,11 @@ def line_keys(scan: Scan) -> tuple[np.ndarray, ...]:
     return start, end, doc, scan.hashes(a, b), scan.hashes(a, b, 1), scan.code_points(a, b)
 
 
+def both(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """One value of a key's two hashes."""
+    return mix(h1) ^ h2
+
+
 def _keys(min_points: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_batches(batches):
@@ -70,10 +75,10 @@ def _keys(min_points: int):
             ids, null = ids_of(b)
             ok = (points >= min_points) & ~null[doc]
             d, h1, h2 = doc[ok], h1[ok], h2[ok]
-            order = np.lexsort((h1, d))
+            order = np.lexsort((h2, h1, d))
             d, h1, h2 = d[order], h1[order], h2[order]
             new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (h1[1:] != h1[:-1])
+            new[1:] = (d[1:] != d[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             cols = [h1[new].view(np.int64), h2[new].view(np.int64), ids[d[new]]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "doc_id"])
 
@@ -83,8 +88,10 @@ def _keys(min_points: int):
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     """One shard's arrays from its distinct keys."""
     h1 = pdf["h1"].to_numpy(np.int64).view(U64)
-    # equal first hashes with other second ones (never seen) would not end the levels
+    # of keys with equal first hashes one is indexed; the others, hardly any, are listed beside the arrays
     h1, first = np.unique(h1, return_index=True)
+    more = np.setdiff1d(np.arange(len(pdf)), first)
+    extra = np.stack([pdf[c].to_numpy(np.int64)[more] for c in ("h1", "h2", "n", "owner")])
     levels = build_mph(h1)
     at = lookup_mph(levels, h1)
     finger, count, owner = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.uint8), np.zeros(len(h1), np.int64)
@@ -99,12 +106,13 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
             "finger": [finger.tobytes()],
             "count": [count.tobytes()],
             "owner": [owner.tobytes()],
+            "extra": [extra.tobytes()],
         }
     )
 
 
 def _probe(probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-    out = pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "h1": pd.Series([], dtype="int64")})
+    out = pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "line": pd.Series([], dtype="int64")})
     if not len(probes) or not len(shard):
         return out
     s = shard.iloc[0]
@@ -114,14 +122,17 @@ def _probe(probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
     h1, doc = probes["h1"].to_numpy(np.int64), probes["doc_id"].to_numpy(np.int64)
     at = lookup_mph(levels, h1.view(U64))
     lost = (at >= 0) & (finger[at] == probes["h2"].to_numpy(np.int64)) & (count[at] >= 2) & (owner[at] != doc)
-    return pd.DataFrame({"doc_id": doc[lost], "h1": h1[lost]})
+    h2 = probes["h2"].to_numpy(np.int64)
+    for a, b, n, own in np.frombuffer(s["extra"], np.int64).reshape(4, -1).T:
+        lost |= (h1 == a) & (h2 == b) & (n >= 2) & (doc != own)
+    return pd.DataFrame({"doc_id": doc[lost], "line": both(h1.view(U64), h2.view(U64))[lost].view(np.int64)})
 
 
 def _kept(names: list[str], text_at: int, min_points: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_batches(batches, text_at):
             scan = Scan(texts)
-            start, end, doc, h1, _, points = line_keys(scan)
+            start, end, doc, h1, h2, points = line_keys(scan)
             lists = b.column(b.num_columns - 1)
             lens = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
             lens = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, lens)
@@ -132,7 +143,7 @@ def _kept(names: list[str], text_at: int, min_points: int):
                 own = np.repeat(np.arange(len(texts)), lens)
                 # (text, hash) pairs as structured values, compared within the batch
                 have = np.sort(mix(gone.view(U64) ^ mix(own.astype(U64))))
-                want = mix(h1 ^ mix(doc.astype(U64)))
+                want = mix(both(h1, h2) ^ mix(doc.astype(U64)))
                 i = np.minimum(np.searchsorted(have, want), len(have) - 1)
                 drop = (have[i] == want) & (points >= min_points)
             lost = np.bincount(doc[drop], minlength=len(texts))
@@ -178,7 +189,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards = max(1, -(-distinct.count() // SHARD_KEYS))
     shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard")
     arrays = distinct.select("*", shard).groupBy("shard").applyInPandas(
-        _build, "shard int, sizes array<int>, levels binary, finger binary, count binary, owner binary"
+        _build, "shard int, sizes array<int>, levels binary, finger binary, count binary, owner binary, extra binary"
     )
     probes = keys.select("*", shard)
     parts = probes.groupBy("shard").agg(F.ceil(F.count("*") / PROBE_ROWS).cast("int").alias("parts"))
@@ -188,13 +199,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = (
         probes.select("shard", "part", "h1", "h2", "doc_id").groupBy("shard", "part")
         .cogroup(spread.drop("parts").groupBy("shard", "part"))
-        .applyInPandas(_probe, "doc_id bigint, h1 bigint")
+        .applyInPandas(_probe, "doc_id bigint, line bigint")
     )
     # one document's lines only: no longer than its text
-    mine = lost.groupBy("doc_id").agg(F.collect_list("h1").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    names = [text_col, "n_lines", "n_dropped"]
     base = docs.drop("n_lines", "n_dropped")
-    joined = base.join(mine, F.col(id_col).cast("bigint") == F.col("__id"), "left").drop("__id")
+    key, gone = unused(base, "__id"), unused(base, "__gone")
+    mine = lost.groupBy("doc_id").agg(F.collect_list("line").alias(gone)).withColumnRenamed("doc_id", key)
+    names = [text_col, "n_lines", "n_dropped"]
+    joined = base.join(mine, F.col(id_col).cast("bigint") == F.col(key), "left").drop(key)
     schema = with_columns(base, f"{text_col} string, n_lines bigint, n_dropped bigint")
     return joined.mapInArrow(_kept(names, base.columns.index(text_col), min_points), schema)
 

@@ -31,13 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .tables import runs, staged
+from .tables import KeyFilter, runs, staged
 from .textscan import U64, Scan, ids_of, mix, shingle_sets, text_batches
 
 CHUNK = 1_000_000  # n-grams or block entries combined before they leave a task
 BLOCK = 256  # rows of one side of a block product
 COLUMNS = 4096  # columns multiplied at once
-FILTER_BITS = 1 << 24
 COMMON_SHARE = 2000  # an n-gram in more than one of so many documents is common
 COMMON_MOST = 1 << 16  # common n-grams sent to tasks (512 KB); any choice gives the same result
 
@@ -67,8 +66,9 @@ class Bands:
         return -((-self.num * (a + b)) // (self.num + self.den))
 
 
-def _distinct_texts(batches, k: int) -> Iterator[tuple]:
+def _distinct_texts(batches, k: int, seed: int) -> Iterator[tuple]:
     """(ids, nulls, sizes, digests, text number, n-gram); a task's second copy of a set has no n-grams."""
+    salt = mix(np.array([seed], U64))
     seen: set[tuple[int, int]] = set()
     for b, texts in text_batches(batches):
         d, s = shingle_sets(Scan(texts), k)
@@ -78,8 +78,8 @@ def _distinct_texts(batches, k: int) -> Iterator[tuple]:
             some = n > 0
             d1, d2 = np.zeros(len(n), U64), np.zeros(len(n), U64)
             if len(s):
-                d1[some] = np.add.reduceat(mix(s ^ U64(0xA5A5A5A5)), at[some])
-                d2[some] = np.add.reduceat(mix(s ^ U64(0x5A5A5A5A5A)), at[some])
+                d1[some] = np.add.reduceat(mix(s ^ U64(0xA5A5A5A5) ^ salt), at[some])
+                d2[some] = np.add.reduceat(mix(s ^ U64(0x5A5A5A5A5A) ^ salt), at[some])
         ids, null = ids_of(b)
         fresh = np.zeros(len(n), bool)
         for i in np.flatnonzero(some & ~null):
@@ -99,7 +99,7 @@ def _rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _base(k: int):
+def _base(k: int, seed: int):
     """Documents (kind 0: id, size, digest) and n-grams common in a task's part (kind 1: n-gram, count)."""
 
     def run(batches):
@@ -111,7 +111,7 @@ def _base(k: int):
             z = np.zeros(int(often.sum()))
             return _rows(1, t[often].view(np.int64), c[often], z, z)
 
-        for ids, null, n, d1, d2, d, s in _distinct_texts(batches, k):
+        for ids, null, n, d1, d2, d, s in _distinct_texts(batches, k, seed):
             yield _rows(0, pa.array(ids, pa.int64(), mask=null), n, d1, d2)
             held.append(s)
             size, docs = size + len(s), docs + len(n)
@@ -124,8 +124,8 @@ def _base(k: int):
     return run
 
 
-def _entries(k: int, bands: Bands, common: np.ndarray):
-    """(entry, id, kind) of every column block of every row.
+def _entries(k: int, seed: int, bands: Bands, common: np.ndarray):
+    """(entry, class, kind) of every column block of every class's set.
 
     kind 0: no other row of this part has the entry; 1: the smallest of
     several; 2: the others. Only kinds 0 and 1 need to meet other parts.
@@ -138,11 +138,11 @@ def _entries(k: int, bands: Bands, common: np.ndarray):
         first[1:] = sig[1:] != sig[:-1]
         again = np.append(~first[1:], False)
         kind = np.where(first, again.astype(np.int32), 2).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc), pa.array(kind)], ["sig", "doc_id", "kind"])
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc), pa.array(kind)], ["sig", "c", "kind"])
 
     def run(batches):
         sigs, docs, size = [], [], 0
-        for ids, _, n, _, _, d, s in _distinct_texts(batches, k):
+        for _, _, n, d1, _, d, s in _distinct_texts(batches, k, seed):
             if not len(s):
                 continue
             if len(common):
@@ -176,7 +176,7 @@ def _entries(k: int, bands: Bands, common: np.ndarray):
                     where = mix(band[row].astype(U64) * U64(1 << 32) + (np.arange(total) - base[row]).astype(U64))
                     sig = mix((lo + (hi << U64(32))) ^ where)
                 sigs.append(sig[use])
-                docs.append(ids[row[use]])
+                docs.append(d1[row[use]])
                 size += len(sigs[-1])
             if size >= CHUNK:
                 yield part(np.concatenate(sigs), np.concatenate(docs))
@@ -205,17 +205,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several = (np.bincount(group) > 1) | (np.bincount(group, kind) > 0)
     keep = several[group]
     centre = doc[np.flatnonzero(first)][group]
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, doc, centre)], ["sig", "doc_id", "centre"])
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, doc, centre)], ["sig", "c", "centre"])
 
 
-def _sets(k: int):
+def _sets(k: int, seed: int, wanted: KeyFilter):
+    """(class, n-grams) of the rows that may be of a wanted class, each set once a task."""
+
     def run(batches):
-        for b, texts in text_batches(batches):
-            d, s = shingle_sets(Scan(texts), k)
-            n = np.bincount(d, minlength=len(texts))
-            stop = np.cumsum(n)
-            raw = [s[e - c : e].tobytes() for e, c in zip(stop, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["id", "grams"])
+        for _, _, n, d1, _, d, s in _distinct_texts(batches, k, seed):
+            size = np.bincount(d, minlength=len(n))
+            at = np.flatnonzero((size > 0) & wanted.may_hold(d1))
+            stop = np.cumsum(size)
+            raw = [s[stop[i] - size[i] : stop[i]].tobytes() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(d1[at]), pa.array(raw, pa.binary())], ["c", "grams"])
 
     return run
 
@@ -258,7 +260,7 @@ def _products(bands: Bands):
     def run(batches):
         for t in runs(batches):
             side = t.column("side").to_numpy()
-            ids = t.column("id").to_numpy()
+            ids = t.column("c").to_numpy()
             grams = [np.frombuffer(x, U64) for x in t.column("grams").to_pylist()]
             li, ri = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(li) or not len(ri):
@@ -271,38 +273,27 @@ def _products(bands: Bands):
     return run
 
 
-def _linked(tasks: DataFrame, texts: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """Links (a, b) found by the block products of ``tasks`` (task, side, id)."""
-    sets = texts.select("id", "text").mapInArrow(_sets(k), "id bigint, grams binary")
-    rows = tasks.join(sets, "id").select("task", "side", "id", "grams")
+def _linked(tasks: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Links (a, b) found by the block products of ``tasks`` (task, side, c)."""
+    rows = tasks.join(sets, "c").select("task", "side", "c", "grams")
     rows = rows.repartition("task").sortWithinPartitions("task")
     return rows.mapInArrow(_products(bands), "a bigint, b bigint")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with one of ``ids``, and maybe some others, without moving texts.
+def _classes(docs: DataFrame, k: int) -> tuple[int, DataFrame, DataFrame]:
+    """The digests' seed, what ``_base`` returns, and the classes: (c, rep) with the digest d1 as name.
 
-    A bit for each id's hash makes a filter of at most ``FILTER_BITS`` (2 MB),
-    whose size is checked first; with more ids the texts are joined instead.
+    Two sets with one name differ in the second digest; then another seed is taken.
     """
-    bits = 1 << max(10, (16 * ids.count()).bit_length())
-    if bits > FILTER_BITS:
-        return docs.join(ids, "id", "left_semi")
-    slot = f"pmod(xxhash64(id), {bits}L)"
-    words = ids.select(F.expr(f"{slot} div 64").alias("w"), F.expr(f"shiftleft(1L, cast({slot} % 64 as int))").alias("b"))
-    table = np.zeros(bits // 64, np.int64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        table[r.w] = r.b
-    table = table.view(U64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(2).to_numpy(zero_copy_only=False)
-            keep = (table[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
-            yield b.select([0, 1]).filter(pa.array(keep))
-
-    rows = docs.filter("id is not null").select("id", "text", F.expr(slot).alias("slot"))
-    return rows.mapInArrow(run, "id bigint, text string")
+    seed = 0
+    while True:
+        seen = staged(docs.mapInArrow(_base(k, seed), "kind int, a bigint, n bigint, d1 bigint, d2 bigint"), "sets")
+        named = seen.filter("kind = 0 and n > 0").groupBy(F.col("d1").alias("c"))
+        named = named.agg(F.min("a").alias("rep"), F.min("d2").alias("lo"), F.max("d2").alias("hi"))
+        named = staged(named, "classes")
+        if named.filter("lo <> hi").isEmpty():
+            return seed, seen, named.filter("rep is not null").select("c", "rep")
+        seed += 1
 
 
 def _spread(n: str) -> F.Column:
@@ -325,62 +316,54 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     """
     bands = Bands(percent, 100)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    seen = staged(docs.mapInArrow(_base(k), "kind int, a bigint, n bigint, d1 bigint, d2 bigint"), "sets")
+    seed, seen, classes = _classes(docs, k)
     base = seen.filter("kind = 0").select(F.col("a").alias("id"), "n", "d1", "d2")
     often = seen.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
     least = max(8, base.count() // COMMON_SHARE)
     top = often.filter(F.col("n") >= least).orderBy(F.desc("n"), "a").limit(COMMON_MOST)
     common = np.sort(np.array([r.a for r in top.select("a").collect()], np.int64).view(U64))
 
-    entries = staged(docs.mapInArrow(_entries(k, bands, common), "sig bigint, doc_id bigint, kind int"), "entries")
-    met = staged(
-        entries.filter("kind < 2").repartition("sig").mapInArrow(_meet, "sig bigint, doc_id bigint, centre bigint"), "met"
-    )
+    entries = staged(docs.mapInArrow(_entries(k, seed, bands, common), "sig bigint, c bigint, kind int"), "entries")
+    met = staged(entries.filter("kind < 2").repartition("sig").mapInArrow(_meet, "sig bigint, c bigint, centre bigint"), "met")
     # stored sides of joins on keys that may be hot: Spark can split the other side
     centres = staged(met.groupBy("sig").agg(F.min("centre").alias("centre")), "centres")
-    others = entries.filter("kind = 2").join(centres, "sig").select("doc_id", "centre")
-    classes = staged(base.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    copies = base.filter("n > 0").join(classes, ["d1", "d2"]).filter("id <> rep").select("id", "rep").distinct()
-    pairs = met.select("doc_id", "centre").unionByName(others).filter("doc_id <> centre").distinct()
-
-    def known(df, c):
-        j = df.join(copies.withColumnRenamed("id", c), c, "left")
-        return j.withColumn(c, F.coalesce("rep", c)).drop("rep")
-
-    pairs = staged(known(known(pairs, "doc_id"), "centre").filter("doc_id <> centre").distinct(), "stars")
-    ids = staged(pairs.select(F.explode(F.array("centre", "doc_id")).alias("id")).distinct(), "ids")
-    texts = staged(_texts(docs, ids), "candidates")
+    others = entries.filter("kind = 2").join(centres, "sig").select("c", "centre")
+    pairs = staged(met.select("c", "centre").unionByName(others).filter("c <> centre").distinct(), "stars")
+    wanted = staged(pairs.select(F.explode(F.array("centre", "c")).alias("c")).distinct(), "wanted")
+    sets = docs.mapInArrow(_sets(k, seed, KeyFilter(wanted, "c")), "c bigint, grams binary")
+    sets = staged(sets.join(wanted, "c").dropDuplicates(["c"]), "candidates")
     # the centre against its rows, in chunks
     sizes = staged(pairs.groupBy("centre").agg(F.count("*").alias("g")), "sizes")
-    dealt = pairs.join(sizes, "centre").withColumn("chunk", F.pmod(F.hash("doc_id"), _spread("g")))
+    dealt = pairs.join(sizes, "centre").withColumn("chunk", F.pmod(F.hash("c"), _spread("g")))
     task = F.xxhash64("centre", "chunk").alias("task")
-    tasks = dealt.select(task, F.lit(1).alias("side"), F.col("doc_id").alias("id")).unionByName(
-        dealt.select(task, F.lit(0).alias("side"), F.col("centre").alias("id")).distinct()
+    tasks = dealt.select(task, F.lit(1).alias("side"), "c").unionByName(
+        dealt.select(task, F.lit(0).alias("side"), F.col("centre").alias("c")).distinct()
     )
-    stars = staged(_linked(tasks, texts, k, bands), "links")
+    stars = staged(_linked(tasks, sets, bands), "links")
     # rows that are not linked to their centre against the others of its group
-    hit = stars.select(F.col("a").alias("centre"), F.col("b").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
-    rest = pairs.join(hit, ["centre", "doc_id"], "left").withColumn("miss", F.col("hit").isNull()).drop("hit")
+    hit = stars.select(F.col("a").alias("centre"), F.col("b").alias("c")).distinct().withColumn("hit", F.lit(True))
+    rest = pairs.join(hit, ["centre", "c"], "left").withColumn("miss", F.col("hit").isNull()).drop("hit")
     rest = staged(rest, "rest")
     sizes = rest.groupBy("centre").agg(F.count("*").alias("g"), F.sum(F.col("miss").cast("long")).alias("u")).filter("g > 1 and u > 0")
     sizes = staged(sizes, "sizes")
     rest = rest.join(sizes, "centre").withColumns({"nu": _spread("u"), "ng": _spread("g")})
-    i, j = F.pmod(F.hash("doc_id"), F.col("nu")), F.pmod(F.hash("doc_id"), F.col("ng"))
+    i, j = F.pmod(F.hash("c"), F.col("nu")), F.pmod(F.hash("c"), F.col("ng"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tasks = (
-        rest.filter("miss").select("centre", i.alias("i"), every("ng").alias("j"), F.lit(0).alias("side"), F.col("doc_id").alias("id"))
-        .unionByName(rest.select("centre", every("nu").alias("i"), j.alias("j"), F.lit(1).alias("side"), F.col("doc_id").alias("id")))
-        .select(F.xxhash64("centre", "i", "j", F.lit(2)).alias("task"), "side", "id")
+        rest.filter("miss").select("centre", i.alias("i"), every("ng").alias("j"), F.lit(0).alias("side"), "c")
+        .unionByName(rest.select("centre", every("nu").alias("i"), j.alias("j"), F.lit(1).alias("side"), "c"))
+        .select(F.xxhash64("centre", "i", "j", F.lit(2)).alias("task"), "side", "c")
     )
-    tasks = staged(tasks, "blocks")
-    texts = _texts(texts, staged(tasks.select("id").distinct(), "ids"))
-    links = stars.unionByName(_linked(tasks, texts, k, bands))
+    links = stars.unionByName(_linked(staged(tasks, "blocks"), sets, bands))
     # an id whose rows have different sets ties their classes together
-    many = base.filter("n > 0 and id is not null").groupBy("id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).filter("x <> y")
-    ties = copies.join(many, "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    comp = components(links.unionByName(ties)).select(F.col("id").alias("rep"), "component")
-    labels = staged(classes.join(comp, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c")), "labels")
-    out = base.join(labels, ["d1", "d2"], "left")
+    named = base.filter("n > 0 and id is not null").select("id", F.col("d1").alias("c"))
+    ties = named.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z").select("id", "a")
+    ties = named.join(staged(ties, "ties"), "id").filter("a <> c").select("a", F.col("c").alias("b")).distinct()
+    comp = components(links.unionByName(ties)).withColumnRenamed("id", "c")
+    named = staged(classes.join(comp, "c", "left").withColumn("component", F.coalesce("component", "c")), "named")
+    smallest = staged(named.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    labels = staged(named.join(smallest, "component").select(F.col("c").alias("d1"), F.col("least").alias("c")), "labels")
+    out = base.join(labels, "d1", "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id"), "d1", "d2"
     )

@@ -24,14 +24,16 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tables import with_columns
+from .tables import hold, with_columns
 
 SPACE = "▁"
-STRETCHES = 100_000  # a worker keeps this many new ones and as many of the generation before, about 80 MB
+TABLE_BYTES = 48 << 20  # of stretches a worker keeps in a generation, beside as much of the one before
 PAIRS = 300_000  # tested pairs kept, about 40 MB; then they are tested anew
+ENTRY = 200  # bytes of an entry beside its characters
 _STRETCH = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 NORMAL, BYTE = 1, 6  # kinds of pieces in a model file
 OUTPUTS = {
@@ -74,9 +76,13 @@ class PieceTable:
             if isinstance(tree, int):  # else merging its text gives other tokens: it never occurs
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
+        self.chars = frozenset(p for p in self.id if len(p) == 1)
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[str, int, str]] = {}
-        self.before: dict[str, tuple[str, int, str]] = {}
+        # stretch: its ids, each with a comma behind; those that decode to other text than their own are in ``odd``
+        self.known: dict[str, str] = {}
+        self.before: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
+        self.bytes = 0
 
     def _merge(self, text: str):
         """The token a piece's text merges to, noting its last merge, or None."""
@@ -102,12 +108,10 @@ class PieceTable:
         return path[::-1]
 
     def compatible(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self._test(a, b)
+        """Whether two tokens may stand side by side; noted in ``pairs``."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[a << 32 | b] = self._test(a, b)
         return found
 
     def _test(self, a: int, b: int) -> bool:
@@ -128,10 +132,12 @@ class PieceTable:
 
     def encode_stretch(self, text: str) -> list[int]:
         """Ids of text in which spaces are already replaced."""
+        if self.chars.issuperset(text):
+            return self._encode_run(text)
         out: list[int] = []
         run: list[str] = []
         for c in text:
-            if c in self.id:
+            if c in self.chars:
                 run.append(c)
                 continue
             out += self._encode_run("".join(run))
@@ -142,19 +148,27 @@ class PieceTable:
     def _encode_run(self, text: str) -> list[int]:
         if not text:
             return []
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
-        compatible = self.compatible
+        # the last token of every prefix, -1 while it is not known, and its length
+        last, width = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        known, test = self.pairs.get, self.compatible
         for end, (token, size) in self.automaton.iter(text):
             at = end + 1
-            if last[at] is None:
+            if last[at] >= 0:
+                continue
+            if at != size:
                 before = last[at - size]
-                if at == size or (before is not None and compatible(before[0], token)):
-                    last[at] = (token, size)
+                if before < 0:
+                    continue
+                fits = known(before << 32 | token)
+                if fits is None:
+                    fits = test(before, token)
+                if not fits:
+                    continue
+            last[at], width[at] = token, size
         ids, at = [], len(text)
         while at:
-            token, size = last[at]
-            ids.append(token)
-            at -= size
+            ids.append(last[at])
+            at -= width[at]
         return ids[::-1]
 
     def decode(self, ids: list[int], first: bool = True) -> str:
@@ -175,25 +189,42 @@ class PieceTable:
         text = "".join(out)
         return text[1:] if first and self.prefix and text[:1] == " " else text
 
-    def stretch(self, text: str) -> tuple[str, int, str]:
-        """Ids as text, their number, and their decoding, of one stretch."""
+    def stretch(self, text: str) -> str:
+        """Ids of one stretch as text."""
         found = self.known.get(text)
         if found is None:
-            if len(self.known) >= STRETCHES:
-                self.known, self.before = {}, self.known
+            if self.bytes > TABLE_BYTES:
+                self.known, self.before, self.bytes = {}, self.known, 0
+                self.odd = {k: v for k, v in self.odd.items() if k in self.before}
             found = self.before.get(text)
             if found is None:
                 ids = self.encode_stretch(text)
-                found = (",".join(map(str, ids)), len(ids), self.decode(ids, first=False))
+                found = ",".join(map(str, ids)) + ","
+                back = self.decode(ids, first=False)
+                if back != text.replace(SPACE, " "):
+                    self.odd[text] = back
+            self.bytes += ENTRY + len(found) + (len(text) if text.isascii() else 2 * len(text))
             self.known[text] = found
         return found
 
-    def document(self, text: str) -> list[tuple[str, int, str]]:
+    def document(self, text: str) -> tuple[str, str]:
+        """Ids of a text, joined by commas, and the text decoded from them."""
         if not text:
-            return []
+            return "", ""
         text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         known, make = self.known.get, self.stretch
-        return [known(s) or make(s) for s in _STRETCH.findall(text)]
+        parts = _STRETCH.findall(text)
+        ids = "".join([known(s) or make(s) for s in parts])[:-1]
+        odd = self.odd
+        if odd and not odd.keys().isdisjoint(parts):
+            back = "".join([odd[s] if s in odd else s.replace(SPACE, " ") for s in parts])
+        else:
+            back = text.replace(SPACE, " ")
+        return ids, back[1:] if self.prefix and back[:1] == " " else back
+
+    def forget(self) -> None:
+        self.known, self.before, self.odd, self.bytes = {}, {}, {}, 0
+        self.pairs.clear()
 
 
 @lru_cache(maxsize=2)
@@ -204,26 +235,23 @@ def table(path: str) -> PieceTable:
 def _encode(path: str, at: int, outputs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(path)
+        hold("piecetable", t.forget)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 made: dict[str, list] = {c: [] for c in outputs}
                 for text in part.column(at).to_pylist():
-                    found = t.document(text or "")
-                    ids = ",".join([x[0] for x in found])
+                    ids, back = t.document(text or "")
                     if "n_tokens" in made:
-                        made["n_tokens"].append(sum([x[1] for x in found]))
+                        made["n_tokens"].append(ids.count(",") + 1 if ids else 0)
                     if "ids" in made:
-                        made["ids"].append([int(x) for x in ids.split(",")] if ids else [])
+                        made["ids"].append(np.fromstring(ids, np.int32, sep=",") if ids else [])
                     if "ids_sha256" in made:
                         made["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                    if "decoded" in made or "decoded_sha256" in made:
-                        back = "".join([x[2] for x in found])
-                        back = back[1:] if t.prefix and back[:1] == " " else back
-                        if "decoded" in made:
-                            made["decoded"].append(back)
-                        if "decoded_sha256" in made:
-                            made["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
+                    if "decoded" in made:
+                        made["decoded"].append(back)
+                    if "decoded_sha256" in made:
+                        made["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
                 cols = {c: part.column(i) for i, c in enumerate(part.schema.names) if c not in made}
                 kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
                 for c in outputs:

@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import staged
 
-__all__ = ["documents", "staged", "runs", "with_columns"]
+__all__ = ["documents", "KeyFilter", "hold", "staged", "runs", "unused", "with_columns"]
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Called by a task that begins to use tables kept in its Python worker.
+
+    Workers serve one operator after another. The tables of all others are
+    dropped (``drop`` empties them), so a worker's memory is that of one
+    operator; tasks of the same operator find their tables again.
+    """
+    others = [k for k in _held if k != name]
+    for k in others:
+        _held.pop(k)()
+    _held[name] = drop
+    if others:
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: freed memory is reused all the same
+            pass
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
@@ -42,3 +70,33 @@ def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
             last = k[lo]
     if held:
         yield pa.Table.from_batches(held)
+
+
+FILTER_BITS = 1 << 24
+
+
+class KeyFilter:
+    """A bit for each of a table's keys (well mixed 64-bit numbers), in at most ``FILTER_BITS`` (2 MB).
+
+    Tells which rows may have one of the keys without moving any. With more
+    keys than that serves, it lets all rows pass.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        self.bits = 1 << max(10, (16 * keys.count()).bit_length())
+        if self.bits > FILTER_BITS:
+            self.bits, self.table = 0, np.zeros(0, np.uint64)
+            return
+        bits = self.bits
+        slot = f"(`{column}` & {bits - 1}L)"
+        words = keys.select(F.expr(f"shiftright({slot}, 6)").alias("w"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("b"))
+        self.table = np.zeros(bits // 64, np.uint64)
+        for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+            self.table[r.w] = np.int64(r.b).view(np.uint64)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.ones(len(keys), bool)
+        at = keys.view(np.uint64) & np.uint64(self.bits - 1)
+        return (self.table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BATCH_BYTES = 1 << 20  # texts worked on at once; bounds what a task holds
+POWERS = BATCH_BYTES + (1 << 17)  # powers kept, 9 MB for each of four tables; longer batches make their own
 _RNG = np.random.default_rng(20240607)
 _BYTE_VALUES = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.int64).view(U64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -42,12 +43,12 @@ def powers(n: int, seed: int, inverse: bool = False) -> np.ndarray:
     have = _powers.get(key)
     if have is None or len(have) < n:
         base = _BASE[seed] if not inverse else pow(_BASE[seed], -1, 1 << 64)
-        size = max(n, 1 << 16)
+        size = max(n, POWERS)
         p = np.full(size, U64(base))
         p[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(p)
-        if size <= 4 * BATCH_BYTES:
+        if size <= POWERS:
             _powers[key] = have
     return have[:n]
 

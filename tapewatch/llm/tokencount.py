@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import staged, with_columns
+from .tables import staged, unused, with_columns
 
 CHUNK = 1 << 16  # bytes
 OVERLAP = 512  # bytes
@@ -55,18 +55,22 @@ def _short(path: str, at: int):
 def cuts(raw: bytes, chunk: int, overlap: int) -> list[tuple[int, int]]:
     """Start and end of each chunk, at code point borders; neighbours share ``overlap`` bytes or more."""
 
-    def border(at: int) -> int:
+    if chunk < 4:
+        raise ValueError("a chunk must hold any code point")
+
+    def border(at: int, way: int) -> int:
         while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
-            at -= 1
+            at += way
         return at
 
     out, start = [], 0
     while True:
-        end = border(start + chunk + overlap) if start + chunk + 2 * overlap < len(raw) else len(raw)
+        # ends are moved on and starts back, so that a start lies behind the one before
+        end = border(start + chunk + overlap, 1) if start + chunk + 2 * overlap < len(raw) else len(raw)
         out.append((start, end))
         if end == len(raw):
             return out
-        start = border(end - overlap)
+        start = border(end - overlap, -1)
 
 
 def _chunks(chunk: int, overlap: int):
@@ -164,10 +168,11 @@ def count_tokens(
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
     at = base.columns.index(text_col)
     short = base.filter(size <= chunk).mapInArrow(_short(model, at), with_columns(base, "n_tokens bigint"))
-    key = F.sha2(text_col, 256).alias("__key")
+    name = unused(base, "__key")
+    key = F.sha2(text_col, 256)
     long = base.filter(size > chunk)
     texts = long.select(key.alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
-    counts = long_counts(texts, model, chunk, overlap).select(F.col("key").alias("__key"), F.col("tokens").alias("n_tokens"))
-    long = long.withColumn("__key", key).join(counts, "__key").drop("__key")
+    counts = long_counts(texts, model, chunk, overlap).select(F.col("key").alias(name), F.col("tokens").alias("n_tokens"))
+    long = long.withColumn(name, key).join(counts, name).drop(name)
     both = short.unionByName(long)
     return both.select(*base.columns, size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

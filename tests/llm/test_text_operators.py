@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from tapewatch.llm import pii
@@ -233,3 +234,28 @@ def test_decontamination_finds_every_item(spark, docs, root, edge, nothing):
     assert contaminated(edge, bench).count() == 0
     assert contaminated(nothing, bench).count() == 0
     assert contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_own_names_do_not_clash(spark, edge):
+    """Columns named like those the operators use inside come back untouched."""
+    from tapewatch.llm.queries import vocabulary
+    from tapewatch.llm.tokencount import count_tokens
+
+    odd = ("__id", "__gone", "__key", "key", "line", "shard", "h1", "h2", "part", "parts", "id", "n", "sig", "rep", "tokens")
+    df = edge.withColumns({c: F.lit("clash") for c in odd})
+    for got in (dedup_lines(df), count_tokens(df, vocabulary("piece_bpe_32k.model"), chunk=400)):
+        assert got.count() == df.count()
+        assert got.filter(" or ".join(f"`{c}` <> 'clash'" for c in odd)).count() == 0
+
+
+def test_keys_with_equal_first_hashes(spark):
+    """Of line keys that share their first hash every one keeps its own count and owner."""
+    import pandas as pd
+
+    from tapewatch.llm.linededup import _build, _probe, both
+
+    rows = pd.DataFrame({"h1": [5, 5, 5, 9], "h2": [1, 2, 3, 1], "owner": [10, 20, 30, 40], "n": [2, 1, 2, 2], "shard": 0})
+    probes = pd.DataFrame({"h1": [5, 5, 5, 9, 5], "h2": [1, 2, 3, 1, 3], "doc_id": [11, 21, 31, 41, 30]})
+    got = _probe(probes, _build(rows))
+    assert sorted(got["doc_id"]) == [11, 31, 41]
+    assert got.set_index("doc_id")["line"][31] == both(np.array([5], U64), np.array([3], U64)).view(np.int64)[0]
