@@ -28,8 +28,10 @@ def attach(df: DataFrame, few: DataFrame, on: Sequence[str], spread: Sequence[st
     task. The small side is repeated per salt so they spread; when it is small
     enough Spark broadcasts it and no row moves.
     """
-    df = df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # as many as there are tasks, so that the spread grows with the cluster
+    salts = max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    df = df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return df.join(few, [*on, "__salt"], how).drop("__salt")
 
 

@@ -75,10 +75,15 @@ def with_prediction(
 # ----------------------------------------------------------- window level
 def window_metrics(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """precision, recall, f1 of ``pred``; 0 where the denominator is 0."""
+    return _rates(_outcomes(pred, by), by)
+
+
+def _outcomes(pred: DataFrame, by: Sequence[str]) -> DataFrame:
     p, y = F.col("pred"), F.col("y")
-    g = pred.groupBy(*by).agg(
-        F.sum(p * y).alias("tp"), F.sum(p * (1 - y)).alias("fp"), F.sum((1 - p) * y).alias("fn")
-    )
+    return pred.groupBy(*by).agg(F.sum(p * y).alias("tp"), F.sum(p * (1 - y)).alias("fp"), F.sum((1 - p) * y).alias("fn"))
+
+
+def _rates(g: DataFrame, by: Sequence[str]) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return g.select(
         *by,
@@ -115,8 +120,10 @@ def ranking_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------ event level
-def event_hits(pred: DataFrame, labels: DataFrame, cfg: Settings = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
-    """by..., pair, pump_ms, detected: the events with a window in [t-pre, t+during]."""
+def event_hits(
+    pred: DataFrame, labels: DataFrame, cfg: Settings = DEFAULT, by: Sequence[str] = (), what: str = "pred"
+) -> DataFrame:
+    """by..., pair, pump_ms, detected: the events with a window in [t-pre, t+during], and their greatest ``what``."""
     width = cfg.pre_ms + cfg.during_ms
     spans = labels.select("pair", "pump_ms").withColumn(
         "bucket",
@@ -126,25 +133,30 @@ def event_hits(pred: DataFrame, labels: DataFrame, cfg: Settings = DEFAULT, by:
             )
         ),
     )
-    p = pred.select(*by, "pair", "end_ms", "pred", floor_to("end_ms", width).alias("bucket"))
+    p = pred.select(*by, "pair", "end_ms", what, floor_to("end_ms", width).alias("bucket"))
     hit = p.join(spans, ["pair", "bucket"]).filter(
         (F.col("end_ms") >= F.col("pump_ms") - cfg.pre_ms) & (F.col("end_ms") <= F.col("pump_ms") + cfg.during_ms)
     )
-    return hit.groupBy(*by, "pair", "pump_ms").agg(F.max("pred").alias("detected"))
+    return hit.groupBy(*by, "pair", "pump_ms").agg(F.max(what).alias("detected"))
 
 
 def event_metrics(pred: DataFrame, labels: DataFrame, cfg: Settings = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
     """Event recall with its counts, and false alarms per symbol-day."""
     by = list(by)
-    ev = event_hits(pred, labels, cfg, by).groupBy(*by).agg(
-        F.sum("detected").alias("d"), F.count(F.lit(1)).alias("t"), F.lit(0).alias("fp"), F.lit(0).alias("days")
-    )
+    ev = event_hits(pred, labels, cfg, by)
     # per (pair, day) first, so counting days needs no distinct set in one task
     per = pred.groupBy(*by, "pair", day_of("end_ms").alias("day")).agg(F.sum(F.col("pred") * (1 - F.col("y"))).alias("fp"))
-    fa = per.groupBy(*by).agg(
-        F.lit(0).alias("d"), F.lit(0).alias("t"), F.sum("fp").alias("fp"), F.count(F.lit(1)).alias("days")
+    return _event_rates(ev, per.groupBy(*by).agg(F.sum("fp").alias("fp"), F.count(F.lit(1)).alias("days")), by)
+
+
+def _event_rates(ev: DataFrame, alarms: DataFrame, by: list[str]) -> DataFrame:
+    """From detected events (by..., detected) and false alarms (by..., fp, days)."""
+    ev = ev.groupBy(*by).agg(F.sum("detected").alias("d"), F.count(F.lit(1)).alias("t"))
+    none = F.lit(0).cast("bigint")
+    both = ev.select(*by, "d", "t", none.alias("fp"), none.alias("days")).unionByName(
+        alarms.select(*by, none.alias("d"), none.alias("t"), "fp", "days")
     )
-    g = ev.unionByName(fa).groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("d", "t", "fp", "days")])
+    g = both.groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("d", "t", "fp", "days")])
     d, t = F.col("d"), F.col("t")
     return g.select(
         *by,
@@ -163,11 +175,10 @@ def bootstrap_draws(pred: DataFrame, by: Sequence[str] = (), n_boot: int = 1000,
     slot) picks the pair whose rank a hash names; resamples without positives
     are left out.
     """
-    by = list(by)
-    p, y = F.col("pred"), F.col("y")
-    per = pred.groupBy(*by, "pair").agg(
-        F.sum(p * y).alias("tp"), F.sum(p * (1 - y)).alias("fp"), F.sum((1 - p) * y).alias("fn")
-    )
+    return _draws(_outcomes(pred, [*by, "pair"]), list(by), n_boot, seed)
+
+
+def _draws(per: DataFrame, by: list[str], n_boot: int, seed: int) -> DataFrame:
     total = per.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"))
     per = attach(per.withColumn("__key", draw_key(0, "pair")), total, by, ["pair"])
     per = smallest_keys(per, by, key_bucket("__key"), ["__key"], "pairs").withColumn("slot", F.col("rank") - 1)
@@ -181,9 +192,13 @@ def bootstrap_draws(pred: DataFrame, by: Sequence[str] = (), n_boot: int = 1000,
 
 
 def bootstrap_ci(pred: DataFrame, by: Sequence[str] = (), n_boot: int = 1000, seed: int = 0) -> DataFrame:
+    return _interval(bootstrap_draws(pred, by, n_boot, seed), by)
+
+
+def _interval(draws: DataFrame, by: Sequence[str]) -> DataFrame:
     # at most n_boot values per run reach the percentile
     q = F.percentile("f1", F.array(F.lit(0.025), F.lit(0.975)))
-    g = bootstrap_draws(pred, by, n_boot, seed).groupBy(*by).agg(q.alias("q"))
+    g = draws.groupBy(*by).agg(q.alias("q"))
     return g.select(*by, F.round(F.col("q")[0], 4).alias("f1_lo"), F.round(F.col("q")[1], 4).alias("f1_hi"))
 
 
@@ -205,6 +220,44 @@ def full_eval(
     return out.withColumns({"thr": F.round("thr", 6), "val_f1": F.round("val_f1", 4)})
 
 
+def full_eval_runs(
+    test: DataFrame, val: DataFrame, labels: DataFrame, cfg: Settings = DEFAULT, model: str = "model",
+    runs: Sequence[str] = ("label_frac", "seed"), n_boot: int = 1000,
+) -> DataFrame:
+    """:func:`full_eval` where many runs of a model differ in their threshold alone.
+
+    ``val`` has the columns ``runs``, ``test`` has each window once a model. A
+    window's cell is the number of its model's thresholds it reaches, so a run
+    calls the cells from its threshold's rank on. Counts by pair and cell, and
+    each event's greatest cell, serve all runs; no window is repeated for them.
+    """
+    by = [model, *runs]
+    thr = staged(tune_threshold(val, by), "thresholds")  # a row a run
+    cuts = thr.groupBy(model).agg(F.array_sort(F.collect_set("thr")).alias("__cuts"))
+    cell = F.size(F.filter("__cuts", lambda c: c <= F.col("score"))).alias("cell")
+    cells = staged(attach(test, cuts, [model], SPREAD).select(model, *SPREAD, "y", "score", cell), "cells")
+    rank = F.array_position("__cuts", F.col("thr")).alias("__rank")
+    ranks = staged(thr.join(cuts, model).select(*by, "thr", F.col("f1").alias("val_f1"), rank), "ranks")
+
+    days = cells.groupBy(model, "pair", day_of("end_ms").alias("day"), "cell").agg(F.sum("y").cast("bigint").alias("p"), F.count(F.lit(1)).alias("n"))
+    days = staged(days, "days")
+    counts = days.groupBy(model, "pair", "cell").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).join(ranks, model)
+    called = F.col("cell") >= F.col("__rank")
+    total = lambda c, v: F.sum(F.when(c, v).otherwise(0))
+    per = counts.groupBy(*by, "pair").agg(
+        total(called, F.col("p")).alias("tp"), total(called, F.col("n") - F.col("p")).alias("fp"), total(~called, F.col("p")).alias("fn")
+    )
+    per = staged(per, "outcomes")
+    sums = per.groupBy(*by).agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
+    n_days = days.select(model, "pair", "day").distinct().groupBy(model).agg(F.count(F.lit(1)).alias("days"))
+    hits = event_hits(cells, labels, cfg, [model], "cell").join(ranks, model)
+    hits = hits.withColumn("detected", (F.col("detected") >= F.col("__rank")).cast("int"))
+    out = _rates(sums, by).join(ranks.drop("__rank"), by).join(ranking_metrics(cells, [model]), model, "left")
+    for part in (_event_rates(hits, sums.join(n_days, model), by), _interval(_draws(per, by, n_boot, 0), by)):
+        out = out.join(part, by, "left")
+    return out.withColumns({"thr": F.round("thr", 6), "val_f1": F.round("val_f1", 4)})
+
+
 # ------------------------------------------------------------------ tests
 def ks_two_sample(a: DataFrame, b: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Largest distance of the two empirical distributions, over all rows.

@@ -11,11 +11,18 @@ from pyspark.sql import DataFrame, functions as F
 from .measures import MICRO, STATS
 from .scoring import with_weight
 
+PART_ROWS = 50_000
+
 
 def _prepare(win: DataFrame) -> DataFrame:
     return with_weight(win).withColumn("label", F.col("y").cast("double"))
 
 
+def _even(win: DataFrame) -> DataFrame:
+    """Training rows in parts of about ``PART_ROWS``: every level of every tree is a job over all parts."""
+    return _prepare(win).repartition(max(1, -(-win.count() // PART_ROWS)))
+
+
 def _front(columns: list[str], scale: bool) -> list:
     stages = [VectorAssembler(inputCols=columns, outputCol="raw" if scale else "features")]
     if scale:
@@ -43,10 +50,10 @@ def fit_stat_logistic(win: DataFrame) -> PipelineModel:
     return fit_logistic(win, STATS, 3000)
 
 
-def fit_forest(win: DataFrame, trees: int = 300, depth: int = 12, seed: int = 42) -> PipelineModel:
-    """Balanced random forest on the window statistics; depth is bounded (MLlib: 30 at most)."""
-    rf = RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[*_front(STATS, False), rf]).fit(_prepare(win))
+def fit_forest(win: DataFrame, trees: int = 300, depth: int = 30, seed: int = 42) -> PipelineModel:
+    """Balanced random forest on the window statistics; 30 levels are the most that MLlib grows."""
+    rf = RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
+    return Pipeline(stages=[*_front(STATS, False), rf]).fit(_even(win))
 
 
 def fit_boosted(win: DataFrame, rounds: int = 400, depth: int = 6, rate: float = 0.05, seed: int = 42) -> PipelineModel:
@@ -59,7 +66,7 @@ def fit_boosted(win: DataFrame, rounds: int = 400, depth: int = 6, rate: float =
         weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
     )
-    return Pipeline(stages=[*_front(STATS, False), gbt]).fit(_prepare(win))
+    return Pipeline(stages=[*_front(STATS, False), gbt]).fit(_even(win))
 
 
 def score_model(model: PipelineModel, win: DataFrame) -> DataFrame:

@@ -96,28 +96,25 @@ def assign_split(win: DataFrame, bounds: DataFrame) -> DataFrame:
     return w.withColumn("split", split.otherwise("test")).drop("t1", "t2")
 
 
-def subsample_negatives(win: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """All positives and, per split, the first ratio x positives negatives by draw.
+def subsample_negatives(win: DataFrame, cfg: Settings = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
+    """All positives and, per split (and ``by``), the first ratio x positives negatives by draw.
 
     The draw is a hash of the window's identity, so it does not depend on the
     order rows arrive in. Only the draw's cut value is ranked for; the windows
     themselves, with all their columns, are filtered in place.
     """
+    keys = [*by, "split"]
     ratio = F.when(F.col("split") == "train", F.lit(cfg.neg_ratio_train)).otherwise(F.lit(cfg.neg_cap_eval))
-    caps = win.groupBy("split").agg(F.sum("y").alias("__pos"))
-    caps = caps.select("split", F.floor(ratio * F.greatest("__pos", F.lit(1))).cast("bigint").alias("cap"))
+    caps = win.groupBy(*keys).agg(F.sum("y").alias("__pos"))
+    caps = caps.select(*keys, F.floor(ratio * F.greatest("__pos", F.lit(1))).cast("bigint").alias("cap"))
     w = win.withColumn("__draw", draw_key(cfg.seed, "pair", "end_ms"))
-    neg = attach(w.filter("y = 0").select("split", "__draw"), caps, ["split"], ["__draw"])
-    kept = smallest_keys(neg, ["split"], key_bucket("__draw"), ["__draw"], "cap")
-    cut = kept.groupBy("split").agg(F.max("__draw").alias("__cut"))
-    w = _attach_left(w, cut)
+    neg = attach(w.filter("y = 0").select(*keys, "__draw"), caps, keys, ["__draw"])
+    kept = smallest_keys(neg, keys, key_bucket("__draw"), ["__draw"], "cap")
+    cut = kept.groupBy(*keys).agg(F.max("__draw").alias("__cut"))
+    w = attach(w, cut, keys, ["pair", "end_ms"], "left")
     return w.filter((F.col("y") == 1) | (F.col("__draw") <= F.col("__cut"))).drop("__draw", "__cut")
 
 
-def _attach_left(w: DataFrame, cut: DataFrame) -> DataFrame:
-    return attach(w, cut, ["split"], ["pair", "end_ms"], "left")
-
-
 def fit_scaler(stats: DataFrame) -> DataFrame:
     """Rows (feature, mean, std) over every value of the kept train windows.
 

@@ -405,6 +405,25 @@ def statements() -> dict[str, str]:
     o["active_chunks"] = q("SELECT pair, day, n, chunk_id, CAST(chunk_trades AS BIGINT) AS chunk_trades FROM chunks WHERE chunk_trades >= 600")
     o["day_chunks"] = q("SELECT pair, day, n, chunk_id, CAST(chunk_trades AS BIGINT) AS chunk_trades FROM chunks")
     o["allowed_pairs"] = q("SELECT pair, count(*) AS bars, round(sum(volume), 4) AS volume FROM bars WHERE pair IN ('purchase', 'view') GROUP BY pair", bars_sql("", "trades"))
+    listed = f"""ld AS (SELECT pair, day, n FROM day_n UNION ALL
+        SELECT pair, unnest(range(last + 1, last + 1 + length(pair) % 3)) AS day, 0 AS n FROM (SELECT pair, max(day) AS last FROM day_c WHERE chunk_id = 0 GROUP BY pair)),
+      lc AS (SELECT pair, CAST(day AS INT) AS day, n, CAST(sum(new) OVER (PARTITION BY pair ORDER BY day) - 1 AS INT) AS chunk_id
+        FROM (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY pair ORDER BY day) = 1 THEN 0 ELSE 1 END AS new FROM ld)),
+      lchunks AS (SELECT *, sum(n) OVER (PARTITION BY pair, chunk_id) AS chunk_trades FROM lc)"""
+    o["day_file_chunks"] = q("SELECT pair, day, n, chunk_id, CAST(chunk_trades AS BIGINT) AS chunk_trades FROM lchunks", listed)
+    o["day_file_bars"] = q("""SELECT pair, chunk_id, count(*) AS bars, min(bar_ms) AS first_ms, max(bar_ms) AS last_ms, CAST(sum(n_trades) AS BIGINT) AS trades, round(sum(volume), 4) AS volume
+        FROM grid GROUP BY ALL""", listed, bars_sql("", "trades").replace("JOIN chunks c", "JOIN lchunks c"))
+    whole = chain(mode="adaptive", stats=True, k0=C.k0)
+    bars_of = f"""xb AS (SELECT d.pair, d.end_ms, d.y, d.split, CAST({T - 1} - (d.rn - f.rn) AS INT) AS bar, {', '.join(f'f.{x}' for x in FEATURES)}
+        FROM (SELECT ds.*, r.rn FROM ds JOIN fr r ON ds.pair = r.pair AND ds.chunk_id = r.chunk_id AND ds.end_ms = r.bar_ms) d
+        JOIN fr f ON d.pair = f.pair AND d.chunk_id = f.chunk_id AND f.rn BETWEEN d.rn - {T - 1} AND d.rn)"""
+    fr = f"fr AS MATERIALIZED (SELECT pair, chunk_id, bar_ms, {', '.join(f'CAST({x} AS FLOAT)::DOUBLE AS {x}' for x in FEATURES)}, row_number() OVER (PARTITION BY pair, chunk_id ORDER BY bar_ms) AS rn FROM feats)"
+    wide4 = SCALED.format(*["", ""] * len(FEATURES)).replace(", 6) + 0.0", ", 4) + 0.0")
+    o["dataset_tensor"] = q(f"SELECT pair, end_ms, y, bar, {wide4} FROM xb WHERE split = 'val'", whole, SCALER, fr, bars_of)
+    pool = ", ".join(
+        f"round(sum(({x} - (SELECT mean FROM scaler WHERE feature = '{x}')) / (SELECT std FROM scaler WHERE feature = '{x}')), 2) + 0.0 AS {x}" for x in FEATURES
+    )
+    o["dataset_tensor_pool"] = q(f"SELECT pair, count(*) AS n, {pool} FROM xb WHERE split = 'train' AND y = 0 GROUP BY pair", whole, SCALER, fr, bars_of)
     o["standardised_features"] = q(f"SELECT pair, bar_ms, {SCALED.format(*['', ''] * len(FEATURES))} FROM feats", full, SCALER)
     o["trade_dedup"] = q("SELECT * FROM trades")
     o["trade_returns"] = q("SELECT pair, agg_id, chunk_id, round(ret, 6) + 0.0 AS ret, round(next_ret, 6) + 0.0 AS next_ret FROM d_static", dup["static"])
@@ -465,12 +484,8 @@ def statements() -> dict[str, str]:
     o["class_weights"] = q("""SELECT y, n, round(sum(n) OVER () / (2 * n), 6) + 0.0 AS weight,
         round(sum(CASE WHEN y = 0 THEN n END) OVER () / greatest(sum(CASE WHEN y = 1 THEN n END) OVER (), 1), 6) + 0.0 AS pos_weight
         FROM (SELECT y, count(*) AS n FROM ds WHERE split = 'train' GROUP BY y)""", base)
-    facts = q("SELECT pair, end_ms, y, split, true AS valid FROM ds WHERE split <> 'train'", base)
-    for m in ("microstructure", "forest", "logistic", "boosted", "reconstruction"):
-        o[f"model_{m}"] = facts
-    o["signal_gate"] = "SELECT true AS valid, true AS consistent"
     o["file_manifest"] = q(f"""SELECT 'tape' AS grp, length(v) AS size, sha256(v) AS sha256
-        FROM (SELECT string_agg(agg_id, ',' ORDER BY agg_id) || chr(10) AS v FROM trades GROUP BY pair, time // {DAY})""")
+        FROM (SELECT string_agg(agg_id, chr(10) ORDER BY agg_id) || chr(10) AS v FROM trades GROUP BY pair, time // {DAY}, agg_id % 2)""")
     o["score_separation"] = q("""SELECT tag, round(p, 6) + 0.0 AS pos_mean, round(n, 6) + 0.0 AS neg_mean, p > n AS separates FROM
         (SELECT tag, avg(CASE WHEN y = 1 THEN score END) AS p, avg(CASE WHEN y = 0 THEN score END) AS n FROM scored WHERE split = 'val' GROUP BY tag)""", base, scored())
     o["batch_scoring"] = q('SELECT pair, end_ms, round(1 / (1 + exp(-(0.5 * max_z_ret + 0.25 * max_z_vol))), 6) + 0.0 AS score FROM allw', base)
@@ -535,8 +550,10 @@ def statements() -> dict[str, str]:
     o["stream_scores"] = q("SELECT pair, end_ms, round(score, 6) + 0.0 AS score FROM live", online)
     o["stream_alerts"] = q("""SELECT pair, 'rule' AS model, count(*) AS alerts, min(end_ms) AS first_ms, round(max(score), 4) AS top_score
         FROM live WHERE score >= 0.5 GROUP BY pair""", online)
-    o["stream_latency"] = q(f"""SELECT count(*) AS n, quantile_cont(age, 0.5) AS p50, quantile_cont(age, 0.95) AS p95 FROM
-        (SELECT CAST((SELECT max(bar_ms) FROM bars) - bar_ms AS DOUBLE) AS age FROM bars ORDER BY bar_ms DESC LIMIT 1000)""", bars_sql("", "trades"))
+    o["stream_lag"] = q(f"SELECT count(*) AS bars, max(bar_ms) AS newest_ms FROM bars WHERE {CLOSED}", bars_sql("", "trades"))
+    late = "agg_id % 97 = 0 AND agg_id IN (SELECT event_id FROM events WHERE day(ts) <= 8)"
+    o["stream_late_trades"] = q(f"""SELECT count(*) FILTER (NOT ({late})) AS kept, CAST(coalesce(sum(CASE WHEN agg_id % 50 = 0 THEN 2 ELSE 1 END) FILTER ({late}), 0) AS BIGINT) AS late
+        FROM trades""")
     o["stream_sessions"] = q(f"SELECT * FROM sess WHERE last_ms + {GAP_MS + 1} <= (SELECT max(time) FROM trades) - 30000", SESSIONS)
     o["stream_throughput"] = q("SELECT (SELECT count(*) FROM trades) AS kept, (SELECT count(*) FROM events) AS read")
     return o

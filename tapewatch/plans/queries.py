@@ -12,7 +12,7 @@ from ..functions.ranking import attach, exact_quantiles
 from ..operators import bars as B, clean as K, evaluate as E, events as V, features as X
 from ..operators import measures as M, models as L, reports as R, scoring as S, windows as N
 from ..session import scratch_dir, staged
-from ..sources import datasets as D, labels as LB, trades as T
+from ..sources import datasets as D, detectors as DT, labels as LB, trades as T
 from ..streaming import live
 from . import dataset as P, fixture as fx
 
@@ -83,15 +83,10 @@ def run_results(spark, root):
     w = scored_windows(spark, root)
     val = N.subsample_runs(_split(w, "val"), RUN_FRACS, RUN_SEEDS, GAP_MS)
     val = staged(by_method(val, "model"), "val-runs")
-    spec = F.array(
-        *[F.struct(F.lit(f).alias("label_frac"), F.lit(s).alias("seed")) for f in RUN_FRACS for s in RUN_SEEDS]
-    )
-    test = _split(w, "test")
-    test = by_method(test.select(*test.columns, F.inline(spec)), "model")
+    test = by_method(_split(w, "test"), "model")
     frac = F.when(F.col("label_frac") < 1, F.format_string("_f%d", (F.col("label_frac") * 100).cast("int"))).otherwise("")
     tag = F.concat("model", frac, F.lit("_s"), F.col("seed").cast("string"))
-    by = ["model", "label_frac", "seed"]
-    r = E.full_eval(test, val, fx.pumps(spark, root), C, by, RUN_BOOTS)
+    r = E.full_eval_runs(test, val, fx.pumps(spark, root), C, "model", ["label_frac", "seed"], RUN_BOOTS)
     return r.withColumn("tag", tag)
 
 
@@ -111,6 +106,37 @@ def tape_round_trip(spark, root):
     return t.groupBy("pair", "day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 4).alias("price_sum"))
 
 
+def _day_files(spark, root):
+    """The tape as one file for each pair-day, with up to two listed days without rows behind each first chunk."""
+    path = scratch_dir(spark, "day-files")
+    t = fx.trades(spark, root)
+    last = K.chunk_map(K.day_summary(t)).filter("chunk_id = 0").groupBy("pair").agg(F.max("day").alias("last"))
+    n = F.length("pair") % 3
+    empty = last.filter(n > 0).select("pair", F.explode(F.sequence(F.col("last") + 1, F.col("last") + n)).alias("day"))
+    T.write_day_files(t, path, empty)
+    return path
+
+
+@query
+def day_file_chunks(spark, root):
+    """Chunks from the list of day files, those without rows included."""
+    path = _day_files(spark, root)
+    return K.chunk_map(T.listed_days(T.day_files(spark, path), T.read_trades(spark, path)))
+
+
+@query
+def day_file_bars(spark, root):
+    """Bars of the tape read from day files, filled over listed days without trades."""
+    path = _day_files(spark, root)
+    t = T.read_trades(spark, path)
+    days = P.active_days(t, C, T.listed_days(T.day_files(spark, path), t))
+    b = B.fill_bar_gaps(P.tape_bars(t, C, "none", days), C)
+    return b.groupBy("pair", "chunk_id").agg(
+        F.count(F.lit(1)).alias("bars"), F.min("bar_ms").alias("first_ms"), F.max("bar_ms").alias("last_ms"),
+        F.sum("n_trades").alias("trades"), F.round(F.sum("volume"), 4).alias("volume"),
+    )
+
+
 @query
 def dump_ingest(spark, root):
     """Text dump rows to typed trades."""
@@ -183,6 +209,30 @@ def dataset_pool(spark, root):
     return D.read_pool(spark, path, "none").groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min("end_ms").alias("first_ms"))
 
 
+def _tensor_store(spark, root):
+    path = scratch_dir(spark, "dataset")
+    feats = staged(P.tape_features(fx.trades(spark, root), C, "adaptive"), "features")
+    win = staged(P.sampled_windows(feats, fx.pumps(spark, root), C, "adaptive"), "sampled")
+    D.write_dataset(win, None, path)
+    D.write_tensors(feats, win, path, C)
+    return path
+
+
+@query
+def dataset_tensor(spark, root):
+    """Stored tensors of one split, standardised over the whole array; a row for each bar."""
+    x = D.tensor_rows(D.read_tensors(spark, _tensor_store(spark, root), "adaptive", "val"))
+    return rounded(x.select("pair", "end_ms", "y", "bar", *FEATURES), *FEATURES, digits=4)
+
+
+@query
+def dataset_tensor_pool(spark, root):
+    """The standardised tensors of the unlabelled pool: each feature's sum over every bar of a pair."""
+    x = D.tensor_rows(D.read_tensor_pool(spark, _tensor_store(spark, root), "adaptive"))
+    sums = [F.round(F.sum(c), 2) + F.lit(0.0) for c in FEATURES]
+    return x.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), *[v.alias(c) for v, c in zip(sums, FEATURES, strict=True)])
+
+
 @query
 def result_files(spark, root):
     """Result rows stored as JSON, read back, newest run per base tag."""
@@ -194,12 +244,13 @@ def result_files(spark, root):
 
 @query
 def file_manifest(spark, root):
-    """Digests of text files, one for each pair-day of the tape."""
+    """Digests of text files, two for each pair-day of the tape."""
     path = scratch_dir(spark, "files")
-    ids = F.transform(F.sort_array(F.collect_list("agg_id")), lambda x: x.cast("string"))
-    t = fx.trades(spark, root).groupBy("pair", day_of("time").alias("day")).agg(F.array_join(ids, ",").alias("value"))
-    t.write.partitionBy("pair", "day").text(path)
-    return D.file_manifest(spark, {"tape": f"{path}/*/*/*.txt"}).select("grp", "size", "sha256")
+    t = fx.trades(spark, root).select("pair", day_of("time").alias("day"), (F.col("agg_id") % 2).alias("part"), "agg_id")
+    keys = ["pair", "day", "part"]
+    t = t.repartition(*keys).sortWithinPartitions(*keys, "agg_id").select(*keys, F.col("agg_id").cast("string").alias("value"))
+    t.write.partitionBy(*keys).text(path)
+    return D.file_manifest(spark, {"tape": f"{path}/*/*/*/*.txt"}).select("grp", "size", "sha256")
 
 
 def _manifests(spark, root):
@@ -280,7 +331,7 @@ def standardised_features(spark, root):
 @query
 def trade_dedup(spark, root):
     """C1, A8."""
-    return K.dedup_trades(fx.trades_dup(spark, root))
+    return K.dedup_trades(fx.trades_dup(spark, root)).drop("copies")
 
 
 @query
@@ -325,34 +376,24 @@ def adaptive_clean(spark, root):
     return K.clean_trades(fx.trades_dup(spark, root), "adaptive", cfg).select("pair", "agg_id", "time", "price")
 
 
-def _cleaning_stats(spark, root, mode):
-    t = fx.trades_dup(spark, root)
-    cfg = C.with_(k0=1.5)
-    flagged = K.flag_trades(t, mode, cfg)
-    return K.cleaning_stats(t, flagged, fx.pumps(spark, root), cfg).withColumn("mode", F.lit(mode))
+SPIKY = C.with_(k0=1.5)  # limits wide enough to part spikes from moves on this tape
 
 
 @query
 def cleaning_stats(spark, root):
-    """One row per mode."""
-    parts = [_cleaning_stats(spark, root, m) for m in MODES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """One row per mode, from one pass."""
+    return K.cleaning_stats(K.flag_modes(fx.trades_dup(spark, root), MODES, SPIKY), fx.pumps(spark, root), SPIKY)
 
 
 @query
 def cleaning_stats_active(spark, root):
     """One row per mode where the activity limit leaves chunks out."""
     t = fx.trades_dup(spark, root)
-    cfg = C.with_(k0=1.5)
     chunks = K.chunk_map(K.day_summary(t))
     # chunks with less than the mean count of their kind
     limit = chunks.select("pair", "chunk_id", "chunk_trades").distinct().agg(F.avg("chunk_trades").alias("limit"))
     days = staged(attach(chunks, limit, [], ["pair", "day"]).filter(F.col("chunk_trades") >= F.col("limit")), "days")
-    parts = [
-        K.cleaning_stats(t, K.flag_trades(t, m, cfg, days), fx.pumps(spark, root), cfg, days).withColumn("mode", F.lit(m))
-        for m in MODES
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return K.cleaning_stats(K.flag_modes(t, MODES, SPIKY, days), fx.pumps(spark, root), SPIKY)
 
 
 @query
@@ -626,41 +667,34 @@ def _model_scores(spark, root, fit, score=L.score_model):
     return out.select("pair", "end_ms", "y", "split", "score")
 
 
-def _facts(scores: DataFrame, most: float = 1.0) -> DataFrame:
-    """Every scored window, and whether its score can be one (fits differ between engines in the digits)."""
-    known = F.coalesce((F.col("score") >= 0) & (F.col("score") <= most), F.lit(False))
-    return scores.select("pair", "end_ms", "y", "split", known.alias("valid"))
-
-
 @query
 def model_microstructure(spark, root):
     """L3."""
-    return _facts(_model_scores(spark, root, L.fit_microstructure))
+    return _model_scores(spark, root, L.fit_microstructure)
 
 
 @query
 def model_forest(spark, root):
     """L4: 300 trees."""
-    return _facts(_model_scores(spark, root, lambda w: L.fit_forest(w, depth=8)))
+    return _model_scores(spark, root, L.fit_forest)
 
 
 @query
 def model_logistic(spark, root):
     """L5."""
-    return _facts(_model_scores(spark, root, L.fit_stat_logistic))
+    return _model_scores(spark, root, L.fit_stat_logistic)
 
 
 @query
 def model_boosted(spark, root):
-    """L6, with fewer rounds than the library's default to suit a test run."""
-    return _facts(_model_scores(spark, root, lambda w: L.fit_boosted(w, rounds=20, rate=0.2)))
+    """400 rounds."""
+    return _model_scores(spark, root, L.fit_boosted)
 
 
 @query
 def model_reconstruction(spark, root):
     """Fitted on the unlabelled pool only."""
-    scores = _model_scores(spark, root, lambda w: L.fit_reconstruction(w.filter("y = 0")), L.score_reconstruction)
-    return _facts(scores, float("inf"))
+    return _model_scores(spark, root, lambda w: L.fit_reconstruction(w.filter("y = 0")), L.score_reconstruction)
 
 
 @query
@@ -718,17 +752,24 @@ def full_evaluation(spark, root):
     return E.full_eval(_split(s, "test"), _split(s, "val"), fx.pumps(spark, root), C)
 
 
-def _end_bars(spark, root, mode):
-    f = P.tape_features(fx.trades(spark, root), C.with_(k0=1.5), mode).filter("own")
-    ends = M.window_ends(f, C)
+def _end_bars(flagged, days, modes):
+    """End-bar z_ret and z_vol of every mode, one row a value."""
+    ends = M.window_ends(P.modes_features(flagged, days, SPIKY, modes).filter("own"), SPIKY)
     two = F.array(*[F.struct(F.lit(x).alias("feature"), F.round(x, 6).alias("value")) for x in ("z_ret", "z_vol")])
-    return staged(ends.select(F.inline(two)), "end-bars")
+    return staged(P.split_mode(ends).select("mode", F.inline(two)), "end-bars")
+
+
+def _ks_none_adaptive(ends):
+    side = lambda m: ends.filter(F.col("mode") == m).drop("mode")
+    return E.ks_two_sample(side("none"), side("adaptive"), "value", ["feature"])
 
 
 @query
 def ks_features(spark, root):
-    """End-bar z_ret and z_vol, uncleaned against adaptively cleaned."""
-    k = E.ks_two_sample(_end_bars(spark, root, "none"), _end_bars(spark, root, "adaptive"), "value", ["feature"])
+    """End-bar z_ret and z_vol, uncleaned against adaptively cleaned, from one pass over the tape."""
+    t = fx.trades(spark, root)
+    days, modes = P.active_days(t, SPIKY), ["none", "adaptive"]
+    k = _ks_none_adaptive(_end_bars(K.flag_modes(t, modes, SPIKY, days), days, modes))
     return rounded(k, "statistic", "p_value")
 
 
@@ -750,17 +791,19 @@ def alignment_gate(spark, root):
 @query
 def signal_gate(spark, root):
     """Val F1 of the forest against the limit."""
-    s = _model_scores(spark, root, lambda w: L.fit_forest(w, trees=50, depth=8)).filter("split = 'val'")
-    g = E.tune_threshold(s).select("f1")
-    g = g.select(F.col("f1"), R.gate(F.col("f1"), 0.60).alias("verdict"))
-    return g.select(F.col("f1").between(0, 1).alias("valid"), ((F.col("f1") >= 0.60) == (F.col("verdict") == "PASS")).alias("consistent"))
+    s = _model_scores(spark, root, L.fit_forest).filter("split = 'val'")
+    g = E.tune_threshold(s).select(F.round("f1", 4).alias("val_f1"))
+    return g.withColumn("verdict", R.gate(F.col("val_f1"), 0.60))
 
 
 @query
 def cleaning_gate(spark, root):
-    """E12."""
-    stats = _cleaning_stats(spark, root, "static").unionByName(_cleaning_stats(spark, root, "adaptive"))
-    ks = E.ks_two_sample(_end_bars(spark, root, "none"), _end_bars(spark, root, "adaptive"), "value", ["feature"])
+    """Stats of both limits over all trades, and the change of the end bars, from one flagged tape."""
+    flagged = staged(K.flag_modes(fx.trades_dup(spark, root), MODES, SPIKY), "flagged")
+    stats = K.cleaning_stats(flagged, fx.pumps(spark, root), SPIKY, ["static", "adaptive"])
+    days = P.active_days(flagged, SPIKY)
+    active = flagged.join(days.select("pair", "chunk_id").distinct(), ["pair", "chunk_id"], "left_semi")
+    ks = _ks_none_adaptive(_end_bars(active, days, ["none", "adaptive"]))
     return R.cleaning_gate(stats, ks.select(F.lit("adaptive").alias("mode"), "statistic"))
 
 
@@ -777,17 +820,31 @@ def method_table(spark, root):
     return t
 
 
+@query
+def model_table(spark, root):
+    """The result table with the fitted models beside the rules, each tuned on val."""
+    w = _model_data(spark, root)
+    train, rest = w.filter("split = 'train'"), w.filter("split <> 'train'")
+    keep = ["pair", "end_ms", "y", "split"]
+    rule = S.with_rule_score(rest, S.fit_rule(w.filter("split = 'val'")))
+    parts = [by_method(rule.select(*keep, *METHOD_COLUMNS.values())).filter("tag <> 'vpin'")]
+    fits = {"b3_microstructure": L.fit_microstructure, "b4_randomforest": L.fit_forest, "b5_logreg": L.fit_stat_logistic, "b6_xgboost": L.fit_boosted}
+    for tag, fit in fits.items():
+        parts.append(L.score_model(fit(train), rest).select(*keep, F.lit(tag).alias("tag"), "score"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    s = staged(every, "model-scores")
+    r = E.full_eval(_split(s, "test"), _split(s, "val"), fx.pumps(spark, root), C, ["tag"], RUN_BOOTS)
+    return R.method_table(r)
+
+
 @query
 def ablation_table(spark, root):
-    """The rush-order score under each cleaning mode."""
-    parts = []
-    for m in MODES:
-        w = P.build_dataset(fx.trades(spark, root), fx.pumps(spark, root), C.with_(k0=1.5), m, stats=False)
-        w = rounded(w, "rush_order")
-        w = w.select("pair", "end_ms", "y", "split", F.col("rush_order").alias("score"), F.lit(m).alias("mode"))
-        parts.append(w)
-    s = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("tag", F.lit("b2_rushorder"))
-    s = staged(s, "scored")
+    """The rush-order score under each cleaning mode, from one pass over the tape."""
+    w = P.build_datasets(fx.trades(spark, root), fx.pumps(spark, root), SPIKY, MODES, stats=False)
+    w = rounded(w, "rush_order").select("pair", "end_ms", "y", "split", F.col("rush_order").alias("score"), "mode")
+    s = staged(w.withColumn("tag", F.lit("b2_rushorder")), "scored")
     r = E.full_eval(_split(s, "test"), _split(s, "val"), fx.pumps(spark, root), C, ["mode", "tag"], RUN_BOOTS)
     return R.ablation_table(r, "b2_rushorder")
 
@@ -889,13 +946,18 @@ def bootstrap_picks(spark, root):
 STREAM_FILES = 4
 
 
-def _trade_stream(spark, root):
-    """The events table as a stream of trades: one file of some days in each batch."""
+def _trade_stream(spark, root, late=None):
+    """The events table as a stream of trades: the files of some days in each batch; rows of ``late`` come in the last one."""
     path = scratch_dir(spark, "events")
     e = fx.events(spark, root)
+    part = F.floor((F.dayofmonth("ts") - 1) * STREAM_FILES / 31)
+    part = part if late is None else F.when(late, STREAM_FILES - 1).otherwise(part)
+    # every quarter in as many files, so that a batch is one quarter
+    width = spark.sparkContext.defaultParallelism
+    e = e.withColumn("__p", part)
     for i in range(STREAM_FILES):
-        e.filter(F.floor((F.dayofmonth("ts") - 1) * STREAM_FILES / 31) == i).coalesce(1).write.mode("append").parquet(path)
-    files = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        e.filter(F.col("__p") == i).drop("__p").repartition(width).write.mode("append").parquet(path)
+    files = spark.readStream.schema(fx.events(spark, root).schema).option("maxFilesPerTrigger", width).parquet(path)
     t = files.select(*fx.trade_columns())
     copies = F.when(F.col("agg_id") % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     t = t.withColumn("__c", F.explode(copies)).drop("__c")
@@ -930,30 +992,27 @@ def stream_messages(spark, root):
     return rounded(live.decode_bars(_drain(spark, out, "stream-messages")), "quote_vol")
 
 
-def _online(spark, root):
+def _online(spark, root, scorer=None, threshold=0.5, model="rule"):
     """Scores of every streamed bar, with the alerts beside them."""
     path = scratch_dir(spark, "online")
     bars = live.stream_bars(live.dedup_stream(_trade_stream(spark, root)), C)
-    scorer = lambda w: w.withColumn("score", sigmoid(M.rule_score(F.lit(2.0), F.lit(2.0))))
-    q = live.start_scoring(
-        bars, f"{path}/bars", f"{path}/out", f"{path}/checkpoint", scorer, 0.5, "rule", cfg=C, available_now=True
-    )
+    rule = lambda w: w.withColumn("score", sigmoid(M.rule_score(F.lit(2.0), F.lit(2.0))))
+    q = live.start_scoring(bars, f"{path}/out", f"{path}/checkpoint", scorer or rule, threshold, model, cfg=C, available_now=True)
     q.awaitTermination()
     return path
 
 
+SCORES = "pair string, end_ms bigint, score double, age_ms bigint"
+
+
 @query
 def stream_scores(spark, root):
     """A score per closed bar once a window's bars exist."""
-    path = _online(spark, root)
-    s = spark.read.schema("pair string, end_ms bigint, score double").parquet(f"{path}/out/scores/*")
-    return rounded(s, "score")
+    s = spark.read.schema(SCORES).parquet(f"{_online(spark, root)}/out/scores/*")
+    return rounded(s.drop("age_ms"), "score")
 
 
-@query
-def stream_alerts(spark, root):
-    """Alerts per pair."""
-    path = _online(spark, root)
+def _alerts(spark, path):
     schema = "symbol string, bar_time timestamp, score double, threshold double, model string, age_ms bigint"
     a = spark.read.schema(schema).json(f"{path}/out/alerts/*")
     return a.groupBy(F.col("symbol").alias("pair"), "model").agg(
@@ -961,14 +1020,61 @@ def stream_alerts(spark, root):
     )
 
 
+@query
+def stream_alerts(spark, root):
+    """Alerts per pair."""
+    return _alerts(spark, _online(spark, root))
+
+
+@query
+def stream_model_alerts(spark, root):
+    """A fitted model is stored with its tuned threshold, read by the stream and alerts."""
+    store = scratch_dir(spark, "detectors")
+    w = _model_data(spark, root)
+    model = L.fit_microstructure(w.filter("split = 'train'"))
+    best = E.tune_threshold(L.score_model(model, w.filter("split = 'val'"))).first()
+    DT.save_detector(store, "b3_microstructure", model, best["thr"], spark)
+    d = DT.load_detector(spark, store, "b3_microstructure")
+    return _alerts(spark, _online(spark, root, d.score, d.threshold(), d.name))
+
+
 @query
 def stream_latency(spark, root):
-    """How far behind the newest trade each closed bar is, over the newest 1000."""
-    b = B.trades_to_bars(fx.trades(spark, root), C)
-    now = b.groupBy().agg(F.max("bar_ms").alias("now_ms"))
-    aged = attach(b.select("pair", "bar_ms"), now, [], ["pair", "bar_ms"])
-    aged = aged.select("pair", "bar_ms", (F.col("now_ms") - F.col("bar_ms")).alias("age_ms"))
-    return live.latency_percentiles(aged, order="bar_ms")
+    """P50 and P95 of the age of the newest 1000 scores of a stream, as they were when they were written."""
+    s = spark.read.schema(SCORES).parquet(f"{_online(spark, root)}/out/scores/*")
+    return live.latency_percentiles(s)
+
+
+def _watched(spark, out, name):
+    """What a drained stream wrote, and its listener and query."""
+    path = scratch_dir(spark, name)
+    listener = live.Throughput()
+    spark.streams.addListener(listener)
+    try:
+        q = live.write_stream(out, f"{path}/checkpoint", available_now=True, path=f"{path}/data")
+        q.awaitTermination()
+        listener.of(q)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.read.schema(out.schema).parquet(f"{path}/data"), listener, q
+
+
+@query
+def stream_lag(spark, root):
+    """Closed bars and the newest one, as the batches of a running stream reported them."""
+    bars = live.observed_lag(live.stream_bars(live.dedup_stream(_trade_stream(spark, root)), C))
+    _, listener, q = _watched(spark, bars, "lag")
+    seen = [(m["bars"], m["newest_ms"]) for m in listener.metrics(q, "lag") if m["bars"]]
+    return spark.createDataFrame(seen, "bars bigint, newest_ms bigint").agg(F.sum("bars").alias("bars"), F.max("newest_ms").alias("newest_ms"))
+
+
+@query
+def stream_late_trades(spark, root):
+    """T4: some trades of the first file come with the last one and are dropped by the watermark."""
+    late = (F.col("event_id") % 97 == 0) & (F.floor((F.dayofmonth("ts") - 1) * STREAM_FILES / 31) == 0)
+    out = live.dedup_stream(_trade_stream(spark, root, late)).drop("ts")
+    got, listener, q = _watched(spark, out, "late")
+    return got.agg(F.count(F.lit(1)).alias("kept")).withColumn("late", F.lit(int(listener.of(q)["late"])).cast("bigint"))
 
 
 @query
@@ -987,18 +1093,8 @@ def stream_sessions(spark, root):
 @query
 def stream_throughput(spark, root):
     """Rows read by a stream, from its progress reports."""
-    path = scratch_dir(spark, "throughput")
-    out = live.dedup_stream(_trade_stream(spark, root)).drop("ts")
-    listener = live.Throughput()
-    spark.streams.addListener(listener)
-    try:
-        q = live.write_stream(out, f"{path}/checkpoint", available_now=True, path=f"{path}/data")
-        q.awaitTermination()
-        p = listener.of(q)
-    finally:
-        spark.streams.removeListener(listener)
-    written = spark.read.parquet(f"{path}/data")
-    return written.agg(F.count(F.lit(1)).alias("kept")).withColumn("read", F.lit(int(p["trades"])))
+    written, listener, q = _watched(spark, live.dedup_stream(_trade_stream(spark, root)).drop("ts"), "throughput")
+    return written.agg(F.count(F.lit(1)).alias("kept")).withColumn("read", F.lit(int(listener.of(q)["trades"])))
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:

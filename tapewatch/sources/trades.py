@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import re
+import uuid
+from collections.abc import Sequence
+from urllib.parse import unquote
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.keys import day_of
 
@@ -24,15 +28,78 @@ ENVELOPE_SCHEMA = "data struct<e:string,s:string,a:string,p:string,q:string,T:st
 LATEST_MS = 10_000_000_000_000
 
 
-def read_trades(spark: SparkSession, root: str) -> DataFrame:
-    """Day files ``root/{PAIR}/{YYYY-MM-DD}.parquet``: pair and file_day from the path."""
-    df = spark.read.schema(TRADE_SCHEMA).option("recursiveFileLookup", "true").parquet(root)
-    path = F.col("_metadata.file_path")
-    return df.select(
-        F.regexp_extract(path, r"([^/]+)/[^/]+\.parquet$", 1).alias("pair"),
-        F.to_date(F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})\.parquet$", 1)).alias("file_day"),
-        "*",
-    )
+DAY_FILE = r"([^/]+)/(\d{4}-\d{2}-\d{2})\.parquet$"
+
+
+def _day_paths(root: str, pairs: Sequence[str] | None) -> list[str]:
+    if pairs is None:
+        return [f"{root}/*/*.parquet"]
+    # names are not patterns
+    return [f"{root}/{re.sub(r'([][*?{}])', chr(92) * 2 + '1', p)}/*.parquet" for p in pairs]
+
+
+def _from_path(path: Column) -> list[Column]:
+    day = F.to_date(F.regexp_extract(path, DAY_FILE, 2))
+    return [F.regexp_extract(path, DAY_FILE, 1).alias("pair"), day.alias("file_day")]
+
+
+def day_files(spark: SparkSession, root: str, pairs: Sequence[str] | None = None) -> DataFrame:
+    """(pair, file_day, length) of the day files under ``root``, from the listing alone: no file is opened."""
+    files = spark.read.format("binaryFile").load(_day_paths(root, pairs))
+    return files.select(*_from_path(F.col("path")), "length")
+
+
+def read_trades(spark: SparkSession, root: str, pairs: Sequence[str] | None = None) -> DataFrame:
+    """Day files ``root/{PAIR}/{YYYY-MM-DD}.parquet``: pair and file_day from the path.
+
+    With ``pairs`` only their folders are listed. Filters on pair and file_day
+    name nothing but the path, so Spark leaves out the files that fail them.
+    """
+    df = spark.read.schema(TRADE_SCHEMA).parquet(*_day_paths(root, pairs))
+    return df.select(*_from_path(F.col("_metadata.file_path")), "*")
+
+
+def listed_days(files: DataFrame, trades: DataFrame) -> DataFrame:
+    """(pair, day, n) of every listed file, those without rows included: days for chunking by file list."""
+    day = F.datediff("file_day", F.lit("1970-01-01")).cast("int").alias("day")
+    n = trades.groupBy("pair", "file_day").agg(F.count(F.lit(1)).alias("n"))
+    have = files.select("pair", "file_day").distinct().join(n, ["pair", "file_day"], "left")
+    return have.select("pair", day, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def write_day_files(trades: DataFrame, root: str, empty: DataFrame | None = None) -> None:
+    """One file ``root/{PAIR}/{YYYY-MM-DD}.parquet`` for each pair-day, replacing the one that is there.
+
+    ``empty`` (pair, day number) names days to list without rows. Spark writes
+    the files; the driver only moves them to their names.
+    """
+    spark = trades.sparkSession
+    date = lambda day: F.date_format(F.date_from_unix_date(day), "yyyy-MM-dd")
+    work = f"{root}/_{uuid.uuid4().hex}"
+    t = trades.select("pair", date(day_of("time")).alias("day"), *[f.name for f in TRADE_SCHEMA.fields])
+    t.repartition("pair", "day").write.partitionBy("pair", "day").parquet(f"{work}/days")
+    spark.createDataFrame([], TRADE_SCHEMA).coalesce(1).write.parquet(f"{work}/empty")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(conf)
+
+    def part(folder):
+        return next(s.getPath() for s in fs.listStatus(path(folder) if isinstance(folder, str) else folder) if s.getPath().getName().startswith("part-"))
+
+    def target(pair, day):
+        fs.mkdirs(path(root, pair))
+        out = path(path(root, pair), f"{day}.parquet")
+        fs.delete(out, True)
+        return out
+
+    for p in fs.listStatus(path(f"{work}/days")):
+        if p.isDirectory():
+            pair = unquote(p.getPath().getName().split("=", 1)[1])
+            for d in fs.listStatus(p.getPath()):
+                fs.rename(part(d.getPath()), target(pair, d.getPath().getName().split("=", 1)[1]))
+    for r in empty.select("pair", date(F.col("day")).alias("day")).collect() if empty is not None else []:
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, part(f"{work}/empty"), fs, target(r["pair"], r["day"]), False, conf)
+    fs.delete(path(work), True)
 
 
 def read_tape(spark: SparkSession, root: str) -> DataFrame:
@@ -47,12 +114,6 @@ def write_tape(trades: DataFrame, root: str, files_per_day: int = 8) -> None:
     t.repartition("pair", "day", spread).write.partitionBy("pair", "day").parquet(root)
 
 
-def listed_days(trades: DataFrame) -> DataFrame:
-    """(pair, day, n) where the day comes from the file, for chunking by file list."""
-    day = F.datediff("file_day", F.lit("1970-01-01")).cast("int")
-    return trades.groupBy("pair", day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in DUMP_COLUMNS])
     return spark.read.schema(schema).csv(path)

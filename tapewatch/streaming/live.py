@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import threading
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..config import DEFAULT, Settings
 from ..functions.keys import floor_to
@@ -78,9 +79,9 @@ def write_stream(
 
 
 # ------------------------------------------------------------ online scores
-STORED = (
-    "pair string, bar_ms bigint, epoch bigint, open double, high double, low double, close double, volume double, "
-    "n_trades bigint, taker_buy_vol double, quote_vol double"
+RECENT = (
+    "pair string, bar_ms bigint, open double, high double, low double, close double, volume double, "
+    "n_trades bigint, taker_buy_vol double, quote_vol double, fresh boolean"
 )
 
 
@@ -89,42 +90,43 @@ def keep_bars(cfg: Settings) -> int:
     return cfg.z_window + cfg.window_bars + SPARE_BARS
 
 
-def stored_bars(spark: SparkSession, store: str, before: int) -> tuple[DataFrame, str]:
-    """The newest snapshot of an epoch below ``before``, and the folder that the next one may replace.
+class RecentBars(StatefulProcessor):
+    """Keyed by pair: the last bars, however far back in time they lie, as one packed value.
 
-    Two folders take turns, so neither files nor listings grow, and an epoch
-    that is run again finds the snapshot it began from.
+    Only the pairs of a batch are read and written, so state traffic follows
+    the pairs that moved. A pair without a bar for ``ttl_ms`` leaves. Of a bar
+    sent twice the later one counts.
     """
-    found = []
-    for side in ("a", "b"):
-        try:
-            df = spark.read.schema(STORED).parquet(f"{store}/{side}").filter(F.col("epoch") < before)
-        except AnalysisException:  # not written yet
-            continue
-        last = df.agg(F.max("epoch")).first()[0]
-        if last is not None:
-            found.append((last, side, df))
-    if not found:
-        return spark.createDataFrame([], STORED), "a"
-    _, side, df = max(found, key=lambda x: x[0])
-    return df, "b" if side == "a" else "a"
-
-
-def roll_bars(batch: DataFrame, store: str, epoch: int, cfg: Settings = DEFAULT) -> DataFrame:
-    """Stored bars and a batch's; of a bar sent twice the later one counts.
-
-    Leaves the last ``keep_bars`` bars of every pair as the next snapshot,
-    however far back in time they lie.
-    """
-    old, side = stored_bars(batch.sparkSession, store, epoch)
-    new = batch.select("pair", "bar_ms", F.lit(epoch).cast("bigint").alias("epoch"), *BAR_COLUMNS)
-    both = old.unionByName(new)
-    last = [F.max_by(c, "epoch").alias(c) for c in BAR_COLUMNS]
-    bars = both.groupBy("pair", "bar_ms").agg(*last)
-    newest = W.partitionBy("pair").orderBy(F.desc("bar_ms"))
-    kept = bars.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= keep_bars(cfg)).drop("__n")
-    kept.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{store}/{side}")
-    return bars
+
+    COLUMNS = ["bar_ms", *BAR_COLUMNS]
+
+    def __init__(self, keep: int, ttl_ms: int | None):
+        self.keep, self.ttl_ms = keep, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bars = handle.getValueState("bars", "packed binary", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))[self.COLUMNS]
+        held = np.frombuffer(self.bars.get()[0]).reshape(-1, len(self.COLUMNS)) if self.bars.exists() else np.zeros((0, len(self.COLUMNS)))
+        # whole numbers in these columns are exact as doubles
+        both = pd.concat([pd.DataFrame(held, columns=self.COLUMNS), new.astype("float64")])
+        both = both.drop_duplicates("bar_ms", keep="last").sort_values("bar_ms")
+        self.bars.update((both.tail(self.keep).to_numpy("float64").tobytes(),))
+        out = both.astype({"bar_ms": "int64", "n_trades": "int64"})
+        out.insert(0, "pair", key[0])
+        yield out.assign(fresh=out["bar_ms"].isin(new["bar_ms"]))
+
+    def close(self) -> None:
+        pass
+
+
+def recent_bars(bars: DataFrame, cfg: Settings = DEFAULT, ttl_ms: int | None = None) -> DataFrame:
+    """For every pair with new bars in a batch: those (``fresh``) and the stored ones before them."""
+    return bars.groupBy("pair").transformWithStateInPandas(
+        statefulProcessor=RecentBars(keep_bars(cfg), ttl_ms), outputStructType=RECENT, outputMode="Append",
+        timeMode="ProcessingTime" if ttl_ms else "None",
+    )
 
 
 def online_windows(bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -142,7 +144,7 @@ def online_alerts(scored: DataFrame, threshold: float, model: str) -> DataFrame:
         F.round("score", 4).alias("score"),
         F.round(F.lit(float(threshold)), 4).alias("threshold"),
         F.lit(model).alias("model"),
-        (F.unix_millis(F.current_timestamp()) - F.col("end_ms")).alias("age_ms"),
+        F.col("age_ms") if "age_ms" in scored.columns else (F.unix_millis(F.current_timestamp()) - F.col("end_ms")).alias("age_ms"),
     )
 
 
@@ -150,22 +152,14 @@ def alert_messages(alerts: DataFrame) -> DataFrame:
     return alerts.select(F.col("symbol").alias("key"), F.to_json(F.struct(*alerts.columns)).alias("value"))
 
 
-def score_batch(
-    batch: DataFrame, epoch: int, store: str, cfg: Settings, scorer: Callable[[DataFrame], DataFrame]
-) -> DataFrame | None:
-    """Scores of a batch's bars: ``scorer`` adds ``score`` to window measures."""
-    if batch.isEmpty():
-        return None
-    recent = roll_bars(batch, store, epoch, cfg)
-    # only pairs that moved need scores
-    recent = recent.join(batch.select("pair").distinct(), "pair", "left_semi")
-    fresh = batch.select("pair", F.col("bar_ms").alias("end_ms")).distinct()
-    return scorer(online_windows(recent, cfg)).join(fresh, ["pair", "end_ms"], "left_semi")
+def score_batch(recent: DataFrame, cfg: Settings, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scores of a batch's fresh bars: ``scorer`` adds ``score`` to window measures."""
+    fresh = recent.filter("fresh").select("pair", F.col("bar_ms").alias("end_ms"))
+    return scorer(online_windows(recent.drop("fresh"), cfg)).join(fresh, ["pair", "end_ms"], "left_semi")
 
 
 def start_scoring(
     bars: DataFrame,
-    store: str,
     out: str,
     checkpoint: str,
     scorer: Callable[[DataFrame], DataFrame],
@@ -174,22 +168,36 @@ def start_scoring(
     pairs: list[str] | None = None,
     cfg: Settings = DEFAULT,
     available_now: bool = False,
+    ttl_ms: int | None = None,
+    topic: dict[str, str] | None = None,
 ) -> StreamingQuery:
-    """Score every closed bar; scores and alerts are kept per batch under ``out``."""
+    """Score every closed bar; scores (with their age) and alerts are kept per batch under ``out``.
+
+    With ``topic`` (options of a Kafka sink) alerts also go there as messages.
+    A batch that is run again replaces its files. ``ttl_ms`` lets the state of
+    idle pairs leave by the clock, so such a stream never runs out of batches
+    and cannot be drained with ``available_now``.
+    """
+    if ttl_ms and available_now:
+        raise ValueError("a stream whose state leaves by the clock has no last batch")
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        batch = allow_pairs(batch, pairs).persist()
+        batch = batch.persist()
         try:
-            scored = score_batch(batch, epoch, store, cfg, scorer)
-            if scored is not None:
-                cols = scored.select("pair", "end_ms", "score")
-                cols.write.mode("overwrite").parquet(f"{out}/scores/epoch={epoch}")
-                kept = batch.sparkSession.read.parquet(f"{out}/scores/epoch={epoch}")
-                online_alerts(kept, threshold, model).write.mode("overwrite").json(f"{out}/alerts/epoch={epoch}")
+            if batch.isEmpty():
+                return
+            age = F.unix_millis(F.current_timestamp()) - F.col("end_ms")
+            cols = score_batch(batch, cfg, scorer).select("pair", "end_ms", "score", age.alias("age_ms"))
+            cols.write.mode("overwrite").parquet(f"{out}/scores/epoch={epoch}")
+            kept = batch.sparkSession.read.parquet(f"{out}/scores/epoch={epoch}")
+            alerts = online_alerts(kept, threshold, model)
+            alerts.write.mode("overwrite").json(f"{out}/alerts/epoch={epoch}")
+            if topic:
+                alert_messages(alerts).write.format("kafka").options(**topic).save()
         finally:
             batch.unpersist()
 
-    w = bars.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    w = recent_bars(allow_pairs(bars, pairs), cfg, ttl_ms).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
@@ -205,12 +213,20 @@ def latency_percentiles(latest: DataFrame, column: str = "age_ms", order: str =
     return g.select("n", at(0).alias("p50"), at(1).alias("p95"))
 
 
+def observed_lag(bars: DataFrame, name: str = "lag") -> DataFrame:
+    """``bars`` as they are; each batch reports how many it closed, the newest one and their greatest age."""
+    age = F.unix_millis(F.current_timestamp()) - F.col("bar_ms")
+    return bars.observe(name, F.count(F.lit(1)).alias("bars"), F.max("bar_ms").alias("newest_ms"), F.max(age).alias("oldest_age_ms"))
+
+
 class Throughput(StreamingQueryListener):
-    """Rows and working time of queries over their whole run, however many batches they have."""
+    """Rows, working time, late rows and observed metrics of queries over their whole run, however many batches they have."""
 
     def __init__(self):
         self.rows: dict[str, int] = defaultdict(int)
         self.ms: dict[str, int] = defaultdict(int)
+        self.late: dict[str, int] = defaultdict(int)
+        self.seen: dict[str, list[tuple[str, dict]]] = defaultdict(list)
         self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
 
     def onQueryStarted(self, event):
@@ -221,18 +237,27 @@ class Throughput(StreamingQueryListener):
 
     def onQueryProgress(self, event):
         p = event.progress
-        self.rows[str(p.runId)] += p.numInputRows
-        self.ms[str(p.runId)] += p.durationMs.get("triggerExecution", 0)
+        run = str(p.runId)
+        self.rows[run] += p.numInputRows
+        self.ms[run] += p.durationMs.get("triggerExecution", 0)
+        self.late[run] += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        self.seen[run] += [(k, v.asDict()) for k, v in p.observedMetrics.items()]
 
     def onQueryTerminated(self, event):
         self.ended[str(event.runId)].set()
 
     def of(self, query: StreamingQuery, wait: float = 60.0) -> dict[str, float]:
-        """Trades and trades per second; of an ended query once its last report is in."""
+        """Trades, trades per second and trades dropped as late; of an ended query once its last report is in."""
         run = str(query.runId)
         if not query.isActive:
             self.ended[run].wait(wait)
-        return {"trades": self.rows[run], "trades_per_sec": self.rows[run] / max(self.ms[run] / 1000.0, 1e-9)}
+        per_second = self.rows[run] / max(self.ms[run] / 1000.0, 1e-9)
+        return {"trades": self.rows[run], "trades_per_sec": per_second, "late": self.late[run]}
+
+    def metrics(self, query: StreamingQuery, name: str, wait: float = 60.0) -> list[dict]:
+        """What each batch of the query reported under ``name``."""
+        self.of(query, wait)
+        return [m for k, m in self.seen[str(query.runId)] if k == name]
 
 
 def session_events(scored: DataFrame, gap_ms: int) -> DataFrame:

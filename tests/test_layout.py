@@ -26,13 +26,66 @@ def test_cleaning_is_the_same_in_many_segments(spark, root, mode):
 
 
 def test_tape_really_is_cut(spark, root):
-    place = K.tape_segments(K.dedup_trades(fx.trades(spark, root)), SMALL, SMALL.sigma_window)
+    parts = K.tape_buckets(K.dedup_trades(fx.trades(spark, root)), SMALL, K.segment_rows(SMALL, SMALL.sigma_window))[1]
+    place = K.tape_segments(parts, SMALL, SMALL.sigma_window)
     own = place.groupBy("pair", "chunk_id").agg(F.countDistinct("own").alias("n")).agg(F.min("n")).first()[0]
     assert own > 1
     # rows that no window needs are not repeated
     assert place.filter(F.size("segs") > 4).count() == 0
 
 
+def hot_hour(spark, n=5000, one_ms=False):
+    """One pair with ``n`` trades in an hour, some before and behind it."""
+    import random
+
+    rnd = random.Random(7)
+    start = 1_700_000_000_000 // 3_600_000 * 3_600_000
+    at = [start - 1 - rnd.randrange(3_600_000) for _ in range(60)] + [start + 3_600_000 + rnd.randrange(3_600_000) for _ in range(60)]
+    at += [start + (5 if one_ms else rnd.randrange(3_600_000)) for _ in range(n)]
+    rows = [("p", 10**12 + i * 3, 100 * (1 + rnd.choice([0, 0, 0.05]) + rnd.random() / 1000), 1.0, t, True) for i, t in enumerate(at)]
+    return spark.createDataFrame(rows, "pair string, agg_id bigint, price double, qty double, time bigint, is_buyer_maker boolean")
+
+
+@pytest.mark.parametrize("one_ms", [False, True])
+def test_a_hot_hour_is_cut(spark, one_ms):
+    t = hot_hour(spark, one_ms=one_ms)
+    cfg = FIXTURE.with_(sigma_window=20, sigma_min=8, tape_segment_rows=100, k0=1.5)
+    cut = K._cut(t, cfg, 1, None).filter("seg = own").groupBy("seg").count().toPandas()
+    assert len(cut) >= 50 and cut["count"].max() <= 2 * 100
+    for mode in ("static", "adaptive"):
+        a = rows(K.flag_trades(t, mode, cfg), ["agg_id"])
+        b = rows(K.flag_trades(t, mode, cfg.with_(tape_segment_rows=10**9)), ["agg_id"])
+        assert len(a) == 5120 and a["removed"].sum() > 0
+        pd.testing.assert_frame_equal(a, b)
+
+
+def test_wide_ids_still_part_a_hot_hour(spark):
+    t = hot_hour(spark, 1000).withColumn("agg_id", F.when(F.col("agg_id") % 2 == 0, F.col("agg_id")).otherwise(F.col("agg_id") + (1 << 60)))
+    cfg = FIXTURE.with_(tape_segment_rows=100)
+    got = K._cut(t, cfg, 1, None).filter("seg = own")
+    order = [r.agg_id for r in got.orderBy("g").collect()]
+    assert order == [r.agg_id for r in t.orderBy("time", "agg_id").collect()]
+    assert got.groupBy("seg").count().agg(F.max("count")).first()[0] <= 250
+
+
+def test_one_pass_flags_every_mode(spark, root):
+    t = fx.trades_dup(spark, root)
+    both = K.flag_modes(t, cfg=SMALL)
+    for mode in ("none", "static", "adaptive"):
+        a = rows(both.select(*K.KEEP, F.col(f"removed_{mode}").alias("removed")), ["pair", "agg_id"])
+        pd.testing.assert_frame_equal(a, rows(K.flag_trades(t, mode, SMALL), ["pair", "agg_id"]))
+
+
+def test_datasets_of_all_modes_equal_each_alone(spark, root):
+    t, labels = fx.trades(spark, root), fx.pumps(spark, root)
+    cfg = FIXTURE.with_(k0=1.5)
+    every = P.build_datasets(t, labels, cfg, ["none", "adaptive"], stats=False)
+    for mode in ("none", "adaptive"):
+        one = P.build_dataset(t, labels, cfg, mode, stats=False)
+        keys = ["pair", "end_ms"]
+        pd.testing.assert_frame_equal(rows(every.filter(F.col("mode") == mode).select(*one.columns), keys), rows(one, keys), rtol=1e-9)
+
+
 def test_wide_frames_by_blocks_across_segments(spark, root):
     t = K.dedup_trades(fx.trades(spark, root))
     cfg = FIXTURE.with_(sigma_window=20, sigma_min=8, tape_segment_rows=25)

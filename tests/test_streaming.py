@@ -43,33 +43,55 @@ def test_late_trades_within_and_beyond_the_watermark(spark):
     assert (got.loc[0, "n_trades"], got.loc[0, "close"], got.loc[0, "high"]) == (2, 12.0, 12.0)
 
 
-def test_last_write_wins_in_the_store(spark):
-    store = scratch_dir(spark, "store")
-    cols = "pair string, bar_ms bigint, open double, high double, low double, close double, volume double, n_trades bigint, taker_buy_vol double, quote_vol double"
-    row = lambda c: spark.createDataFrame([("A", 0, 1.0, 1.0, 1.0, c, 1.0, 1, 1.0, 1.0)], cols)
-    for epoch, close in ((0, 1.0), (1, 2.0), (1, 2.0), (3, 3.0)):  # epoch 1 is retried, 2 had no bars
-        live.roll_bars(row(close), store, epoch)
-    got = live.stored_bars(spark, store, 9)[0].collect()
-    assert [(r["close"], r["epoch"]) for r in got] == [(3.0, 3)]
-    assert live.stored_bars(spark, store, 3)[0].first()["close"] == 2.0
-    assert {r.epoch for side in "ab" for r in spark.read.parquet(f"{store}/{side}").collect()} == {1, 3}
+BARS = "pair string, bar_ms bigint, open double, high double, low double, close double, volume double, n_trades bigint, taker_buy_vol double, quote_vol double"
+
+
+def bar_stream(spark, batches):
+    """Each frame of bars in one file, read one file a trigger."""
+    folder = scratch_dir(spark, "bars")
+    for df in batches:
+        df.select(*[c.split()[0] for c in BARS.split(", ")]).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(BARS).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def scores_of(spark, batches, cfg, scorer, **kw):
+    path = scratch_dir(spark, "scoring")
+    live.start_scoring(bar_stream(spark, batches), f"{path}/out", f"{path}/c", scorer, cfg=cfg, available_now=True, **kw).awaitTermination()
+    return path, spark.read.parquet(f"{path}/out/scores")
+
+
+def test_later_bars_replace_stored_ones(spark):
+    """Of a bar sent again in a later batch the later one counts; pairs that do not move send nothing."""
+    row = lambda p, at, c: (p, at, 1.0, 1.0, 1.0, c, 1.0, 1, 1.0, 1.0)
+    batches = [spark.createDataFrame(r, BARS) for r in ([row("A", 0, 1.0), row("B", 0, 5.0)], [row("A", 0, 2.0)], [row("A", 900_000, 3.0)])]
+    seen = {}
+
+    def keep(batch, epoch):
+        seen[epoch] = sorted((r.pair, r.bar_ms, r.close, r.fresh) for r in batch.collect())
+
+    recent = live.recent_bars(bar_stream(spark, batches), FIXTURE)
+    recent.writeStream.foreachBatch(keep).option("checkpointLocation", scratch_dir(spark, "c")).trigger(availableNow=True).start().awaitTermination()
+    got = [v for _, v in sorted(seen.items()) if v]
+    assert got == [[("A", 0, 1.0, True), ("B", 0, 5.0, True)], [("A", 0, 2.0, True)], [("A", 0, 2.0, False), ("A", 900_000, 3.0, True)]]
+
+
+def test_idle_state_leaves_only_running_streams(spark):
+    bars = bar_stream(spark, [spark.createDataFrame([("A", 0, 1.0, 1.0, 1.0, 1.0, 1.0, 1, 1.0, 1.0)], BARS)])
+    with pytest.raises(ValueError):
+        live.start_scoring(bars, "x", "y", lambda w: w, available_now=True, ttl_ms=1000)
+    assert live.recent_bars(bars, FIXTURE, ttl_ms=1000).isStreaming
 
 
 def test_thin_pairs_are_scored_from_their_last_bars(spark):
     """Bars of a pair further apart than the whole buffer: its re-grid spans enough bars from the second one on."""
     cfg = FIXTURE.with_(z_window=24, window_bars=8, vol_window=12)
-    bars = spark.createDataFrame(
-        [("A", i * 157 * cfg.bar_ms, 1.0 + i, 2.0 + i, 1.0, 1.5 + i, 1.0, 1, 0.5, 1.5) for i in range(4)],
-        "pair string, bar_ms bigint, open double, high double, low double, close double, volume double, n_trades bigint, taker_buy_vol double, quote_vol double",
-    )
+    bars = spark.createDataFrame([("A", i * 157 * cfg.bar_ms, 1.0 + i, 2.0 + i, 1.0, 1.5 + i, 1.0, 1, 0.5, 1.5) for i in range(4)], BARS)
     scorer = lambda w: w.withColumn("score", F.col("max_z_vol"))
     want = {r.end_ms: r.max_z_vol for r in live.online_windows(bars, cfg).collect()}
-    store = scratch_dir(spark, "store")
-    for i in range(4):
-        batch = bars.filter(F.col("bar_ms") == i * 157 * cfg.bar_ms)
-        got = live.score_batch(batch, i, store, cfg, scorer).select("end_ms", "score").collect()
-        assert [r.end_ms for r in got] == ([] if i == 0 else [i * 157 * cfg.bar_ms])
-        assert all(abs(r.score - want[r.end_ms]) < 1e-9 for r in got)
+    _, got = scores_of(spark, [bars.filter(F.col("bar_ms") == i * 157 * cfg.bar_ms) for i in range(4)], cfg, scorer)
+    got = {r.end_ms: r.score for r in got.collect()}
+    assert sorted(got) == [i * 157 * cfg.bar_ms for i in (1, 2, 3)]
+    assert all(abs(got[t] - want[t]) < 1e-9 for t in got)
 
 
 def test_online_scores_equal_batch(spark, root):
@@ -78,15 +100,52 @@ def test_online_scores_equal_batch(spark, root):
     bars = B.trades_to_bars(fx.trades(spark, root), cfg)
     lo, hi = bars.agg(F.min("bar_ms"), F.max("bar_ms")).first()
     mid = (lo + hi) // 2
-    store = scratch_dir(spark, "store")
     scorer = lambda w: w.withColumn("score", F.col("max_z_ret"))
     # both halves of the tape on one grid per pair
     whole = live.online_windows(bars, cfg).select("pair", "end_ms", F.col("max_z_ret").alias("want"))
-    first = live.score_batch(bars.filter(F.col("bar_ms") <= mid), 0, store, cfg, scorer).select("pair", "end_ms", "score").toPandas()
-    second = live.score_batch(bars.filter(F.col("bar_ms") > mid), 1, store, cfg, scorer).select("pair", "end_ms", "score").toPandas()
-    got = pd.concat([first, second]).merge(whole.toPandas(), on=["pair", "end_ms"])
-    assert len(second) > 50 and len(got) == len(first) + len(second)
-    assert ((got["score"] - got["want"]).abs() < 1e-9).all()
+    path, got = scores_of(spark, [bars.filter(F.col("bar_ms") <= mid), bars.filter(F.col("bar_ms") > mid)], cfg, scorer, threshold=1.5)
+    both = got.toPandas().merge(whole.toPandas(), on=["pair", "end_ms"])
+    assert (both["end_ms"] > mid).sum() > 50 and len(both) == got.count()
+    assert ((both["score"] - both["want"]).abs() < 1e-9).all()
+    assert (both["age_ms"] > 0).all()
+    assert spark.read.json(f"{path}/out/alerts").count() == (both["score"] >= 1.5).sum() > 0
+
+
+def test_a_stored_model_scores_a_stream(spark, root):
+    """Saved, loaded and applied to micro-batches, a model gives what it gave before it was saved."""
+    from tapewatch.operators import models as L
+    from tapewatch.plans import dataset as P
+    from tapewatch.sources import detectors as D
+
+    w = P.build_dataset(fx.trades(spark, root), fx.pumps(spark, root), FIXTURE, "none")
+    model = L.fit_microstructure(w.filter("split = 'train'"))
+    store = scratch_dir(spark, "detectors")
+    D.save_detector(store, "micro", model, 0.25, spark)
+    D.save_detector(store, "micro", model, 0.75, spark)  # replaces it
+    d = D.load_detector(spark, store, "micro")
+    assert (d.threshold(), d.threshold(0.1), D.Detector("x", model, None).threshold()) == (0.75, 0.1, 0.5)
+    assert [tuple(r) for r in D.stored_detectors(spark, store).collect()] == [("micro", 0.75)]
+    bars = B.trades_to_bars(fx.trades(spark, root), FIXTURE)
+    want = L.score_model(model, live.online_windows(bars, FIXTURE)).select("pair", "end_ms", F.col("score").alias("want")).toPandas()
+    _, got = scores_of(spark, [bars], FIXTURE, d.score, threshold=d.threshold(), model=d.name)
+    both = got.toPandas().merge(want, on=["pair", "end_ms"])
+    # windows end at every slot of the grid; the stream scores those that end at a bar
+    assert len(both) == got.count() > 100 and ((both["score"] - both["want"]).abs() < 1e-9).all()
+
+
+def test_late_trades_are_counted(spark):
+    rows = [[("A", i, 1.0, 1.0, t, False)] for i, t in enumerate((0, 500_000, 600_000, 1_000, 700_000))]
+    t = messages(spark, scratch_dir(spark, "msgs"), rows)
+    listener = live.Throughput()
+    spark.streams.addListener(listener)
+    path = scratch_dir(spark, "late")
+    q = live.write_stream(live.observed_lag(live.dedup_stream(t).withColumn("bar_ms", F.col("time"))), f"{path}/c", available_now=True, path=f"{path}/d")
+    q.awaitTermination()
+    got = listener.of(q)
+    spark.streams.removeListener(listener)
+    assert (got["trades"], got["late"]) == (5, 1)
+    seen = listener.metrics(q, "lag")
+    assert sum(m["bars"] for m in seen) == 4 and max(m["newest_ms"] or 0 for m in seen) == 700_000
 
 
 def test_latency_needs_more_than_ten(spark):
