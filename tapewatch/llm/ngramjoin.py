@@ -124,11 +124,13 @@ def _base(k: int, seed: int):
     return run
 
 
-def _entries(k: int, seed: int, bands: Bands, common: np.ndarray):
-    """(entry, class, kind) of every column block of every class's set.
+def _entries(k: int, seed: int, bands: Bands, common: np.ndarray, repeats: bool):
+    """(entry, class) of every column block of every class's set.
 
-    kind 0: no other row of this part has the entry; 1: the smallest of
-    several; 2: the others. Only kinds 0 and 1 need to meet other parts.
+    Of the rows of a chunk that share an entry the smallest has to meet other
+    parts; it is given twice, which tells that there are others. With
+    ``repeats`` the others are given instead. Both need the same chunks, so
+    the documents must be read in the same order each time.
     """
 
     def part(sig, doc):
@@ -136,9 +138,12 @@ def _entries(k: int, seed: int, bands: Bands, common: np.ndarray):
         sig, doc = sig[order], doc[order]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
-        again = np.append(~first[1:], False)
-        kind = np.where(first, again.astype(np.int32), 2).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc), pa.array(kind)], ["sig", "c", "kind"])
+        if repeats:
+            at = np.flatnonzero(~first)
+        else:
+            again = np.append(~first[1:], False)
+            at = np.repeat(np.flatnonzero(first), 1 + again[first])
+        return pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array(doc[at])], ["sig", "c"])
 
     def run(batches):
         sigs, docs, size = [], [], 0
@@ -190,21 +195,22 @@ def _entries(k: int, seed: int, bands: Bands, common: np.ndarray):
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries held by several rows, with the smallest of the rows.
 
-    Input: one partition of the entries dealt by hash, a row for each entry
-    and part, so no entry has more rows here than the table had parts.
+    Input: one partition of the entries dealt by hash, at most two rows for
+    each entry and part, so no entry has more rows here than twice the parts.
     """
-    cols = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    cols = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
     if not cols:
         return
-    sig, doc, kind = (np.concatenate(c) for c in zip(*cols, strict=True))
+    sig, doc = (np.concatenate(c) for c in zip(*cols, strict=True))
+    del cols
     order = np.lexsort((doc, sig))
-    sig, doc, kind = sig[order], doc[order], kind[order]
+    sig, doc = sig[order], doc[order]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
-    group = np.cumsum(first) - 1
-    several = (np.bincount(group) > 1) | (np.bincount(group, kind) > 0)
-    keep = several[group]
-    centre = doc[np.flatnonzero(first)][group]
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(sig)))
+    keep = np.repeat(size > 1, size)
+    centre = np.repeat(doc[start], size)
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, doc, centre)], ["sig", "c", "centre"])
 
 
@@ -323,11 +329,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     top = often.filter(F.col("n") >= least).orderBy(F.desc("n"), "a").limit(COMMON_MOST)
     common = np.sort(np.array([r.a for r in top.select("a").collect()], np.int64).view(U64))
 
-    entries = staged(docs.mapInArrow(_entries(k, seed, bands, common), "sig bigint, c bigint, kind int"), "entries")
-    met = staged(entries.filter("kind < 2").repartition("sig").mapInArrow(_meet, "sig bigint, c bigint, centre bigint"), "met")
+    # entries are by far the most rows here: they are shuffled once and never stored
+    entries = lambda repeats: docs.mapInArrow(_entries(k, seed, bands, common, repeats), "sig bigint, c bigint")
+    met = staged(entries(False).repartition("sig").mapInArrow(_meet, "sig bigint, c bigint, centre bigint"), "met")
     # stored sides of joins on keys that may be hot: Spark can split the other side
     centres = staged(met.groupBy("sig").agg(F.min("centre").alias("centre")), "centres")
-    others = entries.filter("kind = 2").join(centres, "sig").select("c", "centre")
+    others = staged(entries(True), "repeats").join(centres, "sig").select("c", "centre")
     pairs = staged(met.select("c", "centre").unionByName(others).filter("c <> centre").distinct(), "stars")
     wanted = staged(pairs.select(F.explode(F.array("centre", "c")).alias("c")).distinct(), "wanted")
     sets = docs.mapInArrow(_sets(k, seed, KeyFilter(wanted, "c")), "c bigint, grams binary")
