@@ -24,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from .tables import hold
 from .textscan import Scan, text_batches
 
 SHARD_BYTES = 16 << 20  # text of one shard; a task holds some 20 times that
 BLOCK_SYMBOLS = 1 << 18  # of one block; a document is never cut
 WORD_PAIRS = 4  # least occurrences of a pair replaced inside words
 SEQ_PAIRS = 64  # and between words
-WORDS_KEPT = 800_000  # tokenized words kept by a worker, about 160 MB
+WORDS_KEPT = 600_000  # tokenized words kept by a worker, about 120 MB
 END_ID = 1
 SCHEMA = (
     "shard int, block int, first_id bigint, last_id bigint, doc_ids binary, null_ids binary, symbols_of binary, "
@@ -61,15 +62,21 @@ class Words:
         self.tok, self.known, self.before = tokenizer(path), {}, {}
 
     def _encode(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 2000):
-            part = words[lo : lo + 2000]
-            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+        """Words in one text, parted by spaces: no token crosses these, and offsets tell whose each token is."""
+        for lo in range(0, len(words), 500):
+            part = words[lo : lo + 500]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            begin = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1  # the space behind each word
+            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
+            n = np.bincount(np.searchsorted(begin, at, "right"), minlength=len(part))
             raw = np.array(e.ids, np.int32).tobytes()
-            n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)) if raw else np.zeros(len(part), np.int64)
             stop = 4 * np.cumsum(n)
             for w, i, j in zip(part, (stop - 4 * n).tolist(), stop.tolist(), strict=True):
                 self.known[w] = raw[i:j]
 
+    def forget(self) -> None:
+        self.known, self.before = {}, {}
+
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids in a row, and how many each word has."""
         if len(self.known) > WORDS_KEPT // 2:
@@ -95,7 +102,7 @@ class Words:
         for i, a, b in wait:
             raw[i] = known[a] + known[b] if b else known[a]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        return np.frombuffer(b"".join(raw), np.int32).astype(np.int64), sizes
+        return np.frombuffer(b"".join(raw), np.int32), sizes
 
 
 @lru_cache(maxsize=2)
@@ -122,11 +129,14 @@ class ShardWords:
 
     def numbered(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct words, the number of every word in order, and the words of each text."""
-        h1, h2, start, end = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        columns = [list(x) for x in zip(*self.parts, strict=True)]
+        self.parts = []
+        h1, h2, start, end = (np.concatenate(columns.pop(0)) for _ in range(4))
         _, first, number = np.unique(h1, return_index=True, return_inverse=True)
         if (h2 != h2[first][number]).any():
             _, first, number = np.unique(np.stack([h1, h2], 1), axis=0, return_index=True, return_inverse=True)
-        data = b"".join(self.data)
+        del h1, h2
+        data, self.data = b"".join(self.data), []
         words = [data[i:j].decode() for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         return words, number.reshape(-1).astype(np.int32), np.concatenate(self.counts)
 
@@ -138,12 +148,13 @@ def replace_pairs(sym: np.ndarray, group: np.ndarray, weight: np.ndarray | None,
     ``first`` by their place in ``rules``. Returns the symbols and groups left.
     """
     while len(sym) > 1:
-        code = (sym[:-1] << 32) | sym[1:]
+        code = (sym[:-1].astype(np.int64) << 32) | sym[1:]
         same = group[:-1] == group[1:]
         w = None if weight is None else weight[group[:-1]]
         slot = (code * 0x1E3779B97F4A7C15 >> 20) & (BINS - 1)
         load = np.bincount(slot[same], None if w is None else w[same], BINS)
-        maybe = np.flatnonzero(same & (load[slot] >= least))
+        maybe = np.flatnonzero(same & (load >= least)[slot])
+        del slot
         if not len(maybe):
             break
         pairs, where = np.unique(code[maybe], return_inverse=True)
@@ -152,10 +163,10 @@ def replace_pairs(sym: np.ndarray, group: np.ndarray, weight: np.ndarray | None,
         chosen = count >= least
         if not chosen.any():
             break
-        rank = np.zeros(len(pairs), np.int64)
+        rank = np.zeros(len(pairs), np.int32)
         rank[chosen] = np.argsort(np.lexsort((pairs[chosen], -count[chosen]))) + 1
         best = int(chosen.sum()) + 1
-        prio = np.zeros(len(code) + 2, np.int64)
+        prio = np.zeros(len(code) + 2, np.int32)
         r = rank[where]
         prio[maybe + 1] = np.where(r > 0, best - r, 0)
         # of overlapping places the more frequent pair; in a run of one pair every other place
@@ -182,17 +193,19 @@ def compress(word_ids: np.ndarray, doc_words: np.ndarray, flat: np.ndarray, size
     """
     rules: list[tuple[int, int]] = []
     often = np.bincount(word_ids, minlength=len(sizes)).astype(np.float64)
-    flat, owner = replace_pairs(flat, np.repeat(np.arange(len(sizes)), sizes), often, WORD_PAIRS, rules, first)
+    flat, owner = replace_pairs(flat, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), often, WORD_PAIRS, rules, first)
     sizes = np.bincount(owner, minlength=len(sizes))
     begin = np.cumsum(sizes) - sizes
     # each word's symbols in its place, then the end id
     n = sizes[word_ids]
     at = np.repeat(begin[word_ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    doc = np.repeat(np.repeat(np.arange(len(doc_words)), doc_words), n)
-    per_doc = np.bincount(doc, minlength=len(doc_words))
-    ends = np.cumsum(per_doc)
-    sym = np.insert(flat[at], ends, end_id)
-    doc = np.repeat(np.arange(len(doc_words)), per_doc + 1)
+    # a text's symbols are those of its words
+    upto = np.append(0, np.cumsum(n))
+    last = np.cumsum(doc_words)
+    per_doc = upto[last] - upto[last - doc_words]
+    sym = np.insert(flat[at], np.cumsum(per_doc), end_id)
+    del at, n, upto
+    doc = np.repeat(np.arange(len(doc_words), dtype=np.int32), per_doc + 1)
     sym, doc = replace_pairs(sym, doc, None, SEQ_PAIRS, rules, first)
     return sym, doc, rules
 
@@ -217,8 +230,10 @@ def _write(path: str, end_id: int):
         first = tokenizer(path).get_vocab_size(with_added_tokens=True)
         words, word_ids, counts = found.numbered()
         del found
-        flat, sizes = words_of(path)(words)
-        del words
+        table = words_of(path)
+        hold("repair", table.forget)
+        flat, sizes = table(words)
+        del words, table
         sym, doc, rules = compress(word_ids, counts, flat, sizes, end_id, first)
         pairs = np.array(rules, np.int64).reshape(-1, 2)
         lengths = expansion_lengths(pairs, first)
