@@ -29,6 +29,7 @@ from .tables import staged
 from .textscan import U64, Scan, ids_of, text_batches
 
 HOP = 16  # words; a passage is two hops, an item's part one
+SHORT_HOP = 4  # for items of fewer than HOP words, which a longer passage would drown
 PARTS_ROWS = 256  # words of the vocabulary in one partial product
 RANK, EXTRA = 96, 16
 BLOCK_BYTES = 256 << 10  # benchmark text worked on at once: at most 16 MB of products
@@ -71,13 +72,23 @@ class Items:
             answer.append(n - tail if 3 <= tail <= n // 2 else n - max(1, n // 4))
         return Items([rows[i][0] for i in keep], [words[i] for i in keep], answer, np.unique(h))
 
-    def parts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Items' parts of a hop each (the last one overlaps): words as numbers, and bounds (part, word)."""
+    def scales(self) -> list[int]:
+        """Hops at which items are sought: each item at the one that suits its length."""
+        return sorted({self.hop_of(w) for w in self.words}, reverse=True)
+
+    @staticmethod
+    def hop_of(words: np.ndarray) -> int:
+        return HOP if len(words) >= HOP else SHORT_HOP
+
+    def parts(self, hop: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Parts of a hop each (the last one overlaps) of the items sought at this hop: item, and words as numbers."""
         owner, lists = [], []
         for q, w in enumerate(self.words):
-            for lo in [*range(0, len(w) - HOP, HOP), max(0, len(w) - HOP)]:
+            if self.hop_of(w) != hop:
+                continue
+            for lo in [*range(0, len(w) - hop, hop), max(0, len(w) - hop)]:
                 owner.append(q)
-                lists.append(np.searchsorted(self.vocab, w[lo : lo + HOP]))
+                lists.append(np.searchsorted(self.vocab, w[lo : lo + hop]))
         return np.array(owner), lists
 
 
@@ -181,7 +192,7 @@ def latent_space(texts: DataFrame, items: Items) -> np.ndarray:
         y[r.block * PARTS_ROWS : r.block * PARTS_ROWS + len(rows)] = rows
     # the items are passages too, so the space holds words the documents lack
     omega = np.random.default_rng(SEED).standard_normal((len(vocab), columns))
-    for words in items.parts()[1]:
+    for words in [w for hop in items.scales() for w in items.parts(hop)[1]]:
         w, c = np.unique(words, return_counts=True)
         v = c * idf[w] / np.linalg.norm(c * idf[w])
         y[w] += np.outer(v, v @ omega[w])
@@ -221,59 +232,67 @@ def verified(item: np.ndarray, answer: int, words: np.ndarray) -> tuple[int, int
     return None
 
 
+def _passages(doc: np.ndarray, place: np.ndarray, word: np.ndarray, space: np.ndarray, hop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and text of each passage of two hops, and its direction."""
+    at, of = hops(doc, hop)
+    of_hop = np.searchsorted(at, place, "right") - 1
+    vec = np.zeros((len(at), space.shape[1]), np.float32)
+    some = np.flatnonzero(np.diff(of_hop, prepend=-1))
+    for lo in range(0, len(some), 4096):
+        a, e = some[lo], some[lo + 4096] if lo + 4096 < len(some) else len(of_hop)
+        vec[of_hop[some[lo : lo + 4096]]] = np.add.reduceat(space[word[a:e]], some[lo : lo + 4096] - a, axis=0)
+    joint = np.flatnonzero(of[1:] == of[:-1])
+    follow = vec[joint + 1]
+    vec[joint] += follow
+    vec /= np.maximum(np.linalg.norm(vec, axis=1), 1e-9)[:, None]
+    return at, of, vec
+
+
 def _search(items: Items, space: np.ndarray):
-    owner, lists = items.parts()
-    target = np.stack([space[w].sum(0) for w in lists])
-    of_item = np.zeros((len(items.words), len(items.vocab)), bool)
     numbers = [np.searchsorted(items.vocab, w) for w in items.words]
-    for q, w in enumerate(numbers):
-        of_item[q, w] = True
-    target = (target / np.maximum(np.linalg.norm(target, axis=1), 1e-9)[:, None]).T.astype(np.float32)
+    kinds = [np.unique(w) for w in numbers]
+    targets = []
+    for hop in items.scales():
+        owner, lists = items.parts(hop)
+        t = np.stack([space[w].sum(0) for w in lists])
+        targets.append((hop, owner, (t / np.maximum(np.linalg.norm(t, axis=1), 1e-9)[:, None]).T.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = np.zeros(len(items.vocab), bool)
         for b, texts in text_batches(batches):
             h, doc = word_hashes(texts)
-            at, of = hops(doc, HOP)
-            if not len(at):
-                continue
+            best: dict[tuple[int, int], tuple] = {}
             place, word = _vocabulary(h, items.vocab)
-            hop = np.searchsorted(at, place, "right") - 1
-            vec = np.zeros((len(at), space.shape[1]), np.float32)
-            some = np.flatnonzero(np.diff(hop, prepend=-1))
-            for lo in range(0, len(some), 4096):
-                a, e = some[lo], some[lo + 4096] if lo + 4096 < len(some) else len(hop)
-                vec[hop[some[lo : lo + 4096]]] = np.add.reduceat(space[word[a:e]], some[lo : lo + 4096] - a, axis=0)
-            pair = vec.copy()
-            joint = np.flatnonzero(of[1:] == of[:-1])
-            pair[joint] += vec[joint + 1]
-            pair /= np.maximum(np.linalg.norm(pair, axis=1), 1e-9)[:, None]
             text_start = np.searchsorted(doc, np.arange(len(texts)))
             text_end = np.searchsorted(doc, np.arange(len(texts)), "right")
-            best: dict[tuple[int, int], tuple] = {}
-            here = np.zeros(len(items.vocab), bool)
-            for lo in range(0, len(pair), 4096):
-                cos = pair[lo : lo + 4096] @ target
-                x, y = np.nonzero(cos >= COSINE)
-                for i, j in zip((x + lo).tolist(), y.tolist(), strict=True):
-                    q, t = int(owner[j]), int(of[i])
-                    n = len(items.words[q])
-                    a, e = max(text_start[t], at[i] - n), min(text_end[t], at[i] + 2 * HOP + n)
-                    # no common subsequence is longer than the words either side has in common
-                    lo_w, hi_w = np.searchsorted(place, (a, e))
-                    near = word[lo_w:hi_w]
-                    if of_item[q, near].sum() < PART * n:
-                        continue
-                    here[near] = True
-                    enough = here[numbers[q]].sum() >= PART * n
-                    here[near] = False
-                    if not enough:
-                        continue
-                    got = verified(items.words[q], items.answer[q], h[a:e])
-                    if got:
-                        have = best.get((t, q))
-                        new = (got[0], float(cos[i - lo, j]), got[1])
-                        if have is None or new > have:
-                            best[t, q] = new
+            for hop, owner, target in targets if len(place) else []:
+                at, of, vec = _passages(doc, place, word, space, hop)
+                for lo in range(0, len(vec), 4096):
+                    cos = vec[lo : lo + 4096] @ target
+                    x, y = np.nonzero(cos >= COSINE)
+                    for i, j in zip((x + lo).tolist(), y.tolist(), strict=True):
+                        q, t = int(owner[j]), int(of[i])
+                        n = len(items.words[q])
+                        a, e = max(text_start[t], at[i] - n), min(text_end[t], at[i] + 2 * hop + n)
+                        # no common subsequence is longer than the words either side has in common
+                        lo_w, hi_w = np.searchsorted(place, (a, e))
+                        near = word[lo_w:hi_w]
+                        here[kinds[q]] = True
+                        mine = here[near].sum()
+                        here[kinds[q]] = False
+                        if mine < PART * n:
+                            continue
+                        here[near] = True
+                        enough = here[numbers[q]].sum() >= PART * n
+                        here[near] = False
+                        if not enough:
+                            continue
+                        got = verified(items.words[q], items.answer[q], h[a:e])
+                        if got:
+                            have = best.get((t, q))
+                            new = (got[0], float(cos[i - lo, j]), got[1])
+                            if have is None or new > have:
+                                best[t, q] = new
             ids, null = ids_of(b)
             keys = list(best)
             cols = [

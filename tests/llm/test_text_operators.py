@@ -259,3 +259,34 @@ def test_keys_with_equal_first_hashes(spark):
     got = _probe(probes, _build(rows))
     assert sorted(got["doc_id"]) == [11, 31, 41]
     assert got.set_index("doc_id")["line"][31] == both(np.array([5], U64), np.array([3], U64)).view(np.int64)[0]
+
+
+def test_short_items_are_found_among_many(spark, docs):
+    """Items of 4 to 15 words, copied word for word, among two thousand; and nothing is reported without the words."""
+    import random
+
+    from tapewatch.llm.decontaminate import PART, word_hashes
+
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text and len(r.text.split()) > 20]
+    rnd, items = random.Random(4), []
+    for i in range(2000):
+        doc, text = rnd.choice(rows)
+        words, n = text.split(), 4 + i % 12
+        at = rnd.randrange(len(words) - n)
+        items.append((i, " ".join(words[at : at + n]), doc))
+    got = contaminated(docs, spark.createDataFrame([x[:2] for x in items], "item_id bigint, text string")).collect()
+    pairs = {(r.doc_id, r.item_id) for r in got}
+    assert {(d, i) for i, _, d in items} <= pairs
+    text, item = dict(rows), {i: t for i, t, _ in items}
+    for r in got:
+        a, b = word_hashes([item[r.item_id].encode()])[0], word_hashes([text[r.doc_id].encode()])[0]
+        assert PART * len(a) <= r.lcs <= common_subsequence(a, b) and r.item_words == len(a)
+
+
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    """Rows (1, S2), (7, S1), (7, S2), (9, near S1): 9 reaches 1 through 7, whichever text the link is with."""
+    s1, s2 = ([f"{c}{i}" for i in range(120)] for c in "ab")
+    near = [*s1[:-1], "other"]
+    rows = [(i, " ".join(w)) for i, w in ((1, s2), (7, s1), (7, s2), (9, near), (10, ["else"] * 30))]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (7, 1), (7, 1), (9, 1), (10, 10)]
