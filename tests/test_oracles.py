@@ -17,6 +17,7 @@ LIGHT = [
     "minute_closes", "bar_features", "bar_features_blocks", "window_labels", "window_stats", "microstructure",
     "window_tensor", "negatives_sampled", "events_sampled", "labels_merged", "label_alignment", "ranking_metrics",
     "bootstrap_ci", "event_metrics", "price_quantiles", "stream_bars", "stream_dedup", "stream_sessions", "stream_scores",
+    "day_file_chunks", "day_file_bars", "dataset_tensor", "dataset_tensor_pool", "file_manifest", "stream_lag", "stream_late_trades",
 ]
 
 
