@@ -1,7 +1,12 @@
 """The live path against the batch path."""
 
+import os
+import subprocess
+import sys
+
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tapewatch.config import FIXTURE, MINUTE
@@ -75,6 +80,30 @@ def test_later_bars_replace_stored_ones(spark):
     assert got == [[("A", 0, 1.0, True), ("B", 0, 5.0, True)], [("A", 0, 2.0, True)], [("A", 0, 2.0, False), ("A", 900_000, 3.0, True)]]
 
 
+def test_scoring_needs_no_state_setting_of_the_session(spark):
+    """A session that names no state store, or one without keyed state, scores all the same and keeps its setting."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    bars = spark.createDataFrame([("A", i * FIXTURE.bar_ms, 1.0 + i % 7, 9.0, 1.0, 2.0 + i % 5, 1.0, 1, 0.5, 1.5) for i in range(200)], BARS)
+    spark.conf.set(name, plain)
+    try:
+        _, got = scores_of(spark, [bars], FIXTURE, lambda w: w.withColumn("score", F.col("max_z_ret")))
+        assert got.count() > 0
+        assert spark.conf.get(name) == plain
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_the_keyed_step_travels_by_value():
+    """Spark starts it beside the driver too, where this package may not be found."""
+    sent = cloudpickle.dumps(live._recent_processor(10, None))
+    code = "import sys, pickle; p = pickle.load(sys.stdin.buffer); assert 'tapewatch' not in sys.modules; print(type(p).__name__)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], input=sent, cwd="/", env=env, capture_output=True, timeout=120)
+    assert (done.returncode, done.stdout.strip()) == (0, b"RecentBars"), done.stderr
+
+
 def test_idle_state_leaves_only_running_streams(spark):
     bars = bar_stream(spark, [spark.createDataFrame([("A", 0, 1.0, 1.0, 1.0, 1.0, 1.0, 1, 1.0, 1.0)], BARS)])
     with pytest.raises(ValueError):
