@@ -9,7 +9,9 @@ bounds derived from set sizes keep almost all of that product from being made.
   hash, both rows are identical in more than e of them. So only rows that
   agree in a whole column block meet. ``e`` covers blocks that say nothing:
   empty ones, and ones made of very common n-grams alone; rows with more than
-  ``e`` of those use them all the same, so that no pair is lost.
+  ``e`` of those use them all the same, so that no pair is lost. A row with
+  fewer such blocks, say i, agrees with a linked row in at least e + 1 - i of
+  its others: rows that have company in fewer are linked with nothing and go.
 * **Size bands.** Linked rows lie in the same or in neighbouring bands of
   sizes with ratio 1/t; each row is entered for its own band and the one below.
 * **Row blocks.** Rows that meet are multiplied as blocks of at most
@@ -18,8 +20,9 @@ bounds derived from set sizes keep almost all of that product from being made.
   cannot reach ceil(t (a+b) / (1+t)).
 
 For components not all pairs of a group are needed. Each group's smallest row
-is multiplied with the others first; rows linked to it need no product among
-themselves, and only the others are multiplied with the whole group.
+is multiplied with the others first; rows that these links join to it need no
+product among themselves, and only the others are multiplied with the whole
+group. Of the links found then a block returns those that join more.
 """
 
 from __future__ import annotations
@@ -125,15 +128,17 @@ def _base(k: int, seed: int):
 
 
 def _entries(k: int, seed: int, bands: Bands, common: np.ndarray, repeats: bool):
-    """(entry, class) of every column block of every class's set.
+    """(entry, class) of every column block of every class's set; an entry's last bit is that of its band.
 
     Of the rows of a chunk that share an entry the smallest has to meet other
     parts; it is given twice, which tells that there are others. With
-    ``repeats`` the others are given instead. Both need the same chunks, so
-    the documents must be read in the same order each time.
+    ``repeats`` the others are given instead, and for each class and band (its
+    last bit as ``sig``) how many entries a linked class has in common with it
+    at least (``need``). Both need the same chunks, so the documents must be
+    read in the same order each time.
     """
 
-    def part(sig, doc):
+    def part(sig, doc, needs=()):
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
         first = np.ones(len(sig), bool)
@@ -143,10 +148,20 @@ def _entries(k: int, seed: int, bands: Bands, common: np.ndarray, repeats: bool)
         else:
             again = np.append(~first[1:], False)
             at = np.repeat(np.flatnonzero(first), 1 + again[first])
-        return pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array(doc[at])], ["sig", "c"])
+        if not repeats:
+            return pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array(doc[at])], ["sig", "c"])
+        bit, who, need = (np.concatenate(x) for x in zip(*needs, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([sig[at].view(np.int64), bit])),
+                pa.array(np.concatenate([doc[at], who])),
+                pa.array(np.concatenate([np.zeros(len(at), np.int64), need]), mask=np.arange(len(at) + len(need)) < len(at)),
+            ],
+            ["sig", "c", "need"],
+        )
 
     def run(batches):
-        sigs, docs, size = [], [], 0
+        sigs, docs, needs, size = [], [], [], 0
         for _, _, n, d1, _, d, s in _distinct_texts(batches, k, seed):
             if not len(s):
                 continue
@@ -180,20 +195,24 @@ def _entries(k: int, seed: int, bands: Bands, common: np.ndarray, repeats: bool)
                 with np.errstate(over="ignore"):
                     where = mix(band[row].astype(U64) * U64(1 << 32) + (np.arange(total) - base[row]).astype(U64))
                     sig = mix((lo + (hi << U64(32))) ^ where)
+                sig = (sig & ~U64(1)) | (band[row] & 1).astype(U64)
                 sigs.append(sig[use])
                 docs.append(d1[row[use]])
                 size += len(sigs[-1])
+                # a class that also uses its idle blocks may agree with others in one of them alone
+                few = np.flatnonzero(ok & (idle < spare))
+                needs.append((band[few] & 1, d1[few], (spare - idle)[few]))
             if size >= CHUNK:
-                yield part(np.concatenate(sigs), np.concatenate(docs))
-                sigs, docs, size = [], [], 0
+                yield part(np.concatenate(sigs), np.concatenate(docs), needs)
+                sigs, docs, needs, size = [], [], [], 0
         if size:
-            yield part(np.concatenate(sigs), np.concatenate(docs))
+            yield part(np.concatenate(sigs), np.concatenate(docs), needs)
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries held by several rows, with the smallest of the rows.
+    """Entries held by several rows.
 
     Input: one partition of the entries dealt by hash, at most two rows for
     each entry and part, so no entry has more rows here than twice the parts.
@@ -210,8 +229,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     start = np.flatnonzero(first)
     size = np.diff(np.append(start, len(sig)))
     keep = np.repeat(size > 1, size)
-    centre = np.repeat(doc[start], size)
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, doc, centre)], ["sig", "c", "centre"])
+    keep[1:] &= (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, doc)], ["sig", "c"])
 
 
 def _sets(k: int, seed: int, wanted: KeyFilter):
@@ -228,11 +247,13 @@ def _sets(k: int, seed: int, wanted: KeyFilter):
     return run
 
 
-def block_product(left: list[np.ndarray], right: list[np.ndarray], bands: Bands) -> np.ndarray:
-    """Which rows of ``left`` and ``right`` (sorted n-gram sets) reach the threshold, as a mask."""
+def block_product(left: list[np.ndarray], right: list[np.ndarray], bands: Bands, asked: np.ndarray | None = None) -> np.ndarray:
+    """Which rows of ``left`` and ``right`` (sorted n-gram sets) reach the threshold, as a mask; of the pairs ``asked``, if given."""
     nl, nr = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     need = bands.need(nl[:, None], nr[None, :])
     alive = np.minimum(nl[:, None], nr[None, :]) >= need
+    if asked is not None:
+        alive &= asked
     cl, cr = np.concatenate(left), np.concatenate(right)
     columns = np.intersect1d(np.unique(cl), np.unique(cr), assume_unique=True)
     over = np.zeros(alive.shape, np.float32)
@@ -279,11 +300,55 @@ def _products(bands: Bands):
     return run
 
 
-def _linked(tasks: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Links (a, b) found by the block products of ``tasks`` (task, side, c)."""
-    rows = tasks.join(sets, "c").select("task", "side", "c", "grams")
+def _forest(bands: Bands):
+    """Links between the groups (``c`` holds their names) of a block's rows that join these as all links do.
+
+    A pair that is already joined is not multiplied, so no block returns more
+    links than it has rows.
+    """
+
+    def run(batches):
+        for t in runs(batches):
+            side = t.column("side").to_numpy()
+            names, group = np.unique(t.column("c").to_numpy(), return_inverse=True)
+            grams = [np.frombuffer(x, U64) for x in t.column("grams").to_pylist()]
+            li, ri = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            asked = group[li][:, None] != group[ri][None, :]
+            if not asked.any():
+                continue
+            mask = block_product([grams[i] for i in li], [grams[i] for i in ri], bands, asked)
+            join = np.arange(len(names))
+            a, b = [], []
+            for i in np.flatnonzero(mask.any(1)):
+                own = join[group[li[i]]]
+                new = np.unique(join[group[ri[mask[i]]]])
+                new = new[new != own]
+                a.append(np.full(len(new), own))
+                b.append(new)
+                join[np.isin(join, new)] = own
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(names[np.concatenate(x)]) for x in (a, b)], ["a", "b"])
+
+    return run
+
+
+def _linked(tasks: DataFrame, sets: DataFrame, work) -> DataFrame:
+    """Links (a, b) that ``work`` finds in the blocks of ``tasks`` (task, side, c; with ``g``, the name of c's group, that counts as name)."""
+    name = F.col("g" if "g" in tasks.columns else "c").alias("c")
+    rows = tasks.join(sets, "c").select("task", "side", name, "grams")
     rows = rows.repartition("task").sortWithinPartitions("task")
-    return rows.mapInArrow(_products(bands), "a bigint, b bigint")
+    return rows.mapInArrow(work, "a bigint, b bigint")
+
+
+def _in_company(entries: DataFrame, needs: DataFrame) -> DataFrame:
+    """Of the distinct (sig, c) those of classes that have other classes in as many entries of a band as a link needs."""
+    for _ in range(2):
+        several = staged(entries.groupBy("sig").agg(F.count("*").alias("g")).filter("g > 1").select("sig"), "several")
+        entries = entries.join(several, "sig").withColumn("bit", F.expr("sig & 1"))
+        some = entries.groupBy("c", "bit").agg(F.count("*").alias("n")).join(needs, ["c", "bit"], "left")
+        some = staged(some.filter("n >= coalesce(need, 1)").select("c", "bit"), "some")
+        entries = staged(entries.join(some, ["c", "bit"]).select("sig", "c"), "company")
+    return entries
 
 
 def _classes(docs: DataFrame, k: int) -> tuple[int, DataFrame, DataFrame]:
@@ -330,12 +395,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     common = np.sort(np.array([r.a for r in top.select("a").collect()], np.int64).view(U64))
 
     # entries are by far the most rows here: they are shuffled once and never stored
-    entries = lambda repeats: docs.mapInArrow(_entries(k, seed, bands, common, repeats), "sig bigint, c bigint")
-    met = staged(entries(False).repartition("sig").mapInArrow(_meet, "sig bigint, c bigint, centre bigint"), "met")
+    entries = docs.mapInArrow(_entries(k, seed, bands, common, False), "sig bigint, c bigint")
+    met = staged(entries.repartition("sig").mapInArrow(_meet, "sig bigint, c bigint"), "met")
+    again = staged(docs.mapInArrow(_entries(k, seed, bands, common, True), "sig bigint, c bigint, need bigint"), "repeats")
+    needs = again.filter("need is not null").select("c", F.col("sig").alias("bit"), "need").distinct()
+    met = staged(met.unionByName(again.filter("need is null").select("sig", "c")).distinct(), "entries")
+    met = _in_company(met, needs)
     # stored sides of joins on keys that may be hot: Spark can split the other side
-    centres = staged(met.groupBy("sig").agg(F.min("centre").alias("centre")), "centres")
-    others = staged(entries(True), "repeats").join(centres, "sig").select("c", "centre")
-    pairs = staged(met.select("c", "centre").unionByName(others).filter("c <> centre").distinct(), "stars")
+    centres = staged(met.groupBy("sig").agg(F.min("c").alias("centre")), "centres")
+    pairs = staged(met.join(centres, "sig").filter("c <> centre").select("c", "centre").distinct(), "stars")
     wanted = staged(pairs.select(F.explode(F.array("centre", "c")).alias("c")).distinct(), "wanted")
     sets = docs.mapInArrow(_sets(k, seed, KeyFilter(wanted, "c")), "c bigint, grams binary")
     sets = staged(sets.join(wanted, "c").dropDuplicates(["c"]), "candidates")
@@ -346,27 +414,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     tasks = dealt.select(task, F.lit(1).alias("side"), "c").unionByName(
         dealt.select(task, F.lit(0).alias("side"), F.col("centre").alias("c")).distinct()
     )
-    stars = staged(_linked(tasks, sets, bands), "links")
-    # rows that are not linked to their centre against the others of its group
-    hit = stars.select(F.col("a").alias("centre"), F.col("b").alias("c")).distinct().withColumn("hit", F.lit(True))
-    rest = pairs.join(hit, ["centre", "c"], "left").withColumn("miss", F.col("hit").isNull()).drop("hit")
-    rest = staged(rest, "rest")
+    stars = staged(_linked(tasks, sets, _products(bands)), "links")
+    # an id whose rows have different sets ties their classes together
+    named = base.filter("n > 0 and id is not null").select("id", F.col("d1").alias("c"))
+    ties = named.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z").select("id", "a")
+    ties = named.join(staged(ties, "ties"), "id").filter("a <> c").select("a", F.col("c").alias("b")).distinct()
+    known = components(stars.unionByName(ties)).select(F.col("id").alias("c"), F.col("component").alias("g"))
+    known = staged(pairs.select(F.explode(F.array("centre", "c")).alias("c")).distinct().join(known, "c", "outer").withColumn("g", F.coalesce("g", "c")), "known")
+    # rows that no link joins to their centre against the others of its group
+    rest = pairs.join(known, "c").join(known.select(F.col("c").alias("centre"), F.col("g").alias("own")), "centre")
+    rest = staged(rest.withColumn("miss", F.col("g") != F.col("own")).drop("own").withColumnRenamed("g", "name"), "rest")
     sizes = rest.groupBy("centre").agg(F.count("*").alias("g"), F.sum(F.col("miss").cast("long")).alias("u")).filter("g > 1 and u > 0")
     sizes = staged(sizes, "sizes")
     rest = rest.join(sizes, "centre").withColumns({"nu": _spread("u"), "ng": _spread("g")})
     i, j = F.pmod(F.hash("c"), F.col("nu")), F.pmod(F.hash("c"), F.col("ng"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tasks = (
-        rest.filter("miss").select("centre", i.alias("i"), every("ng").alias("j"), F.lit(0).alias("side"), "c")
-        .unionByName(rest.select("centre", every("nu").alias("i"), j.alias("j"), F.lit(1).alias("side"), "c"))
-        .select(F.xxhash64("centre", "i", "j", F.lit(2)).alias("task"), "side", "c")
+        rest.filter("miss").select("centre", i.alias("i"), every("ng").alias("j"), F.lit(0).alias("side"), "c", "name")
+        .unionByName(rest.select("centre", every("nu").alias("i"), j.alias("j"), F.lit(1).alias("side"), "c", "name"))
+        .select(F.xxhash64("centre", "i", "j", F.lit(2)).alias("task"), "side", "c", F.col("name").alias("g"))
     )
-    links = stars.unionByName(_linked(staged(tasks, "blocks"), sets, bands))
-    # an id whose rows have different sets ties their classes together
-    named = base.filter("n > 0 and id is not null").select("id", F.col("d1").alias("c"))
-    ties = named.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z").select("id", "a")
-    ties = named.join(staged(ties, "ties"), "id").filter("a <> c").select("a", F.col("c").alias("b")).distinct()
-    comp = components(links.unionByName(ties)).withColumnRenamed("id", "c")
+    more = components(_linked(staged(tasks, "blocks"), sets, _forest(bands))).withColumnRenamed("id", "g")
+    comp = known.join(more, "g", "left").select("c", F.coalesce("component", "g").alias("component"))
     named = staged(classes.join(comp, "c", "left").withColumn("component", F.coalesce("component", "c")), "named")
     smallest = staged(named.groupBy("component").agg(F.min("rep").alias("least")), "least")
     labels = staged(named.join(smallest, "component").select(F.col("c").alias("d1"), F.col("least").alias("c")), "labels")

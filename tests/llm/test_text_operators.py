@@ -12,6 +12,7 @@ from hypothesis import given, settings, strategies as st
 from tapewatch.llm import pii
 from tapewatch.llm.decontaminate import common_subsequence, contaminated, without_contaminated
 from tapewatch.llm.linededup import build_mph, dedup_lines, lookup_mph
+from tapewatch.llm import ngramjoin
 from tapewatch.llm.ngramjoin import Bands, block_product, jaccard_components
 from tapewatch.llm.textscan import U64, Scan, mix, shingle_sets
 
@@ -101,6 +102,25 @@ def test_jaccard_chains_and_stragglers(spark):
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_components(rows, k, percent)
 
 
+def test_near_copies_return_few_links(spark, monkeypatch):
+    """A group of copies that differ in one word: its blocks return links that join, not all pairs."""
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for g in range(12):
+        # every group has one opening of 40 words; its members keep 48 to 59 words of their own base and end alike in nothing
+        opening = [f"o{i}" for i in range(40)]
+        base = opening + [f"g{g}{w}" for w in words]
+        rows += [" ".join([*base[: 99 - g], f"x{g}y{j}"]) for j in range(25)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    seen = []
+    join = ngramjoin.components
+    monkeypatch.setattr(ngramjoin, "components", lambda e: seen.append(e.count()) or join(e))
+    got = {r.doc_id: r.component_id for r in jaccard_components(df, 3, 90).collect()}
+    assert got == {i: i - i % 25 for i in range(300)}
+    # 300 rows: a forest has under 300 links; all pairs of the groups are 3600
+    assert sum(seen) < 600
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(50, 99), st.lists(st.frozensets(st.integers(0, 30), min_size=1), min_size=2, max_size=8))
 def test_block_product_and_bounds(percent, sets):
