@@ -107,7 +107,7 @@ def test_near_copies_return_few_links(spark, monkeypatch):
     words = [f"w{i}" for i in range(60)]
     rows = []
     for g in range(12):
-        # every group has one opening of 40 words; its members keep 48 to 59 words of their own base and end alike in nothing
+        # every group has one opening of 40 words; its members keep 48 to 59 words of the group's own
         opening = [f"o{i}" for i in range(40)]
         base = opening + [f"g{g}{w}" for w in words]
         rows += [" ".join([*base[: 99 - g], f"x{g}y{j}"]) for j in range(25)]
