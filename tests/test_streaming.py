@@ -104,6 +104,23 @@ def test_the_keyed_step_travels_by_value():
     assert (done.returncode, done.stdout.strip()) == (0, b"RecentBars"), done.stderr
 
 
+def test_scoring_starts_no_worker_beside_the_driver(spark):
+    """No keyed step that needs a state server, protocol buffers and a worker beside the driver; bars a stream aggregates are scored too."""
+    rows = [[("A", i * 50 + j, 1.0 + j % 7, 1.0, (i * 50 + j) * FIXTURE.bar_ms, False) for j in range(50)] for i in range(4)]
+    trades = live.dedup_stream(messages(spark, scratch_dir(spark, "msgs"), rows))
+    path = scratch_dir(spark, "relay")
+    closing, closed = live.relay_bars(live.stream_bars(trades, FIXTURE), f"{path}/bars", f"{path}/b", available_now=True)
+    closing.awaitTermination()
+    steps = live.recent_bars(closed, FIXTURE)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in steps
+    q = live.start_scoring(closed, f"{path}/out", f"{path}/c", lambda w: w.withColumn("score", F.col("max_z_ret")), cfg=FIXTURE, available_now=True)
+    q.awaitTermination()
+    bars = spark.read.parquet(f"{path}/bars")
+    got = spark.read.parquet(f"{path}/out/scores")
+    assert bars.count() > 190 and got.count() > 100
+    assert got.join(bars, (bars.pair == got.pair) & (bars.bar_ms == got.end_ms), "left_anti").isEmpty()
+
+
 def test_idle_state_leaves_only_running_streams(spark):
     bars = bar_stream(spark, [spark.createDataFrame([("A", 0, 1.0, 1.0, 1.0, 1.0, 1.0, 1, 1.0, 1.0)], BARS)])
     with pytest.raises(ValueError):
