@@ -14,14 +14,15 @@ bounds derived from set sizes keep almost all of that product from being made.
   its others: rows that have company in fewer are linked with nothing and go.
 * **Size bands.** Linked rows lie in the same or in neighbouring bands of
   sizes with ratio 1/t; each row is entered for its own band and the one below.
-* **Row blocks.** Rows that meet are multiplied as blocks of at most
-  ``BLOCK`` rows over their common columns, a slice of columns at a time; a
+* **Row blocks.** Rows that meet are multiplied as blocks of about
+  ``BLOCK`` rows or ``BLOCK_BYTES`` over their common columns, a slice of columns at a time; a
   pair is discarded when its overlap so far and the columns that are left
   cannot reach ceil(t (a+b) / (1+t)).
 
-For components not all pairs of a group are needed. Each group's smallest row
-is multiplied with the others first; rows that these links join to it need no
-product among themselves, and only the others are multiplied with the whole
+For components not all pairs of a group are needed. Each group's centre, the
+row with the most company, is multiplied with the others first: of many near
+copies that is one close to most of them. Rows that these links join to it need
+no product among themselves, and only the others are multiplied with the whole
 group. Of the links found then a block returns those that join more.
 """
 
@@ -38,7 +39,8 @@ from .tables import KeyFilter, runs, staged
 from .textscan import U64, Scan, ids_of, mix, shingle_sets, text_batches
 
 CHUNK = 1_000_000  # n-grams or block entries combined before they leave a task
-BLOCK = 256  # rows of one side of a block product
+BLOCK = 1024  # rows of one side of a block product
+BLOCK_BYTES = 16 << 20  # and their n-grams
 COLUMNS = 4096  # columns multiplied at once
 COMMON_SHARE = 2000  # an n-gram in more than one of so many documents is common
 COMMON_MOST = 1 << 16  # common n-grams sent to tasks (512 KB); any choice gives the same result
@@ -341,14 +343,19 @@ def _linked(tasks: DataFrame, sets: DataFrame, work) -> DataFrame:
 
 
 def _in_company(entries: DataFrame, needs: DataFrame) -> DataFrame:
-    """Of the distinct (sig, c) those of classes that have other classes in as many entries of a band as a link needs."""
+    """Of the distinct (sig, c) those of classes that have other classes in as many entries of a band as a link needs.
+
+    ``w``: the class's company, the rows of all its entries, in steps of a fifth.
+    """
     for _ in range(2):
-        several = staged(entries.groupBy("sig").agg(F.count("*").alias("g")).filter("g > 1").select("sig"), "several")
-        entries = entries.join(several, "sig").withColumn("bit", F.expr("sig & 1"))
-        some = entries.groupBy("c", "bit").agg(F.count("*").alias("n")).join(needs, ["c", "bit"], "left")
-        some = staged(some.filter("n >= coalesce(need, 1)").select("c", "bit"), "some")
+        several = staged(entries.groupBy("sig").agg(F.count("*").alias("g")).filter("g > 1"), "several")
+        entries = entries.select("sig", "c").join(several, "sig").withColumn("bit", F.expr("sig & 1"))
+        some = entries.groupBy("c", "bit").agg(F.count("*").alias("n"), F.sum("g").alias("w")).join(needs, ["c", "bit"], "left")
+        some = staged(some.filter("n >= coalesce(need, 1)").select("c", "bit", "w"), "some")
         entries = staged(entries.join(some, ["c", "bit"]).select("sig", "c"), "company")
-    return entries
+    # one weight for both bands of a class, and for classes nearly alike: so fewer different ones are chosen
+    weights = some.groupBy("c").agg(F.floor(4 * F.log2(F.sum("w"))).alias("w"))
+    return entries.join(staged(weights, "weights"), "c")
 
 
 def _classes(docs: DataFrame, k: int) -> tuple[int, DataFrame, DataFrame]:
@@ -367,8 +374,8 @@ def _classes(docs: DataFrame, k: int) -> tuple[int, DataFrame, DataFrame]:
         seed += 1
 
 
-def _spread(n: str) -> F.Column:
-    return F.ceil(F.col(n) / BLOCK).cast("int")
+def _spread(rows: str, size: str) -> F.Column:
+    return F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(size) / BLOCK_BYTES)).cast("int")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,14 +409,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     met = staged(met.unionByName(again.filter("need is null").select("sig", "c")).distinct(), "entries")
     met = _in_company(met, needs)
     # stored sides of joins on keys that may be hot: Spark can split the other side
-    centres = staged(met.groupBy("sig").agg(F.min("c").alias("centre")), "centres")
+    met = staged(met, "weighed")
+    centres = staged(met.groupBy("sig").agg(F.max_by("c", F.struct("w", F.expr("~c"))).alias("centre")), "centres")
     pairs = staged(met.join(centres, "sig").filter("c <> centre").select("c", "centre").distinct(), "stars")
     wanted = staged(pairs.select(F.explode(F.array("centre", "c")).alias("c")).distinct(), "wanted")
     sets = docs.mapInArrow(_sets(k, seed, KeyFilter(wanted, "c")), "c bigint, grams binary")
-    sets = staged(sets.join(wanted, "c").dropDuplicates(["c"]), "candidates")
+    sets = staged(sets.join(wanted, "c").dropDuplicates(["c"]).withColumn("size", F.octet_length("grams")), "candidates")
     # the centre against its rows, in chunks
-    sizes = staged(pairs.groupBy("centre").agg(F.count("*").alias("g")), "sizes")
-    dealt = pairs.join(sizes, "centre").withColumn("chunk", F.pmod(F.hash("c"), _spread("g")))
+    pairs = staged(pairs.join(sets.select("c", "size"), "c"), "stars")
+    sizes = staged(pairs.groupBy("centre").agg(F.count("*").alias("g"), F.sum("size").alias("sg")), "sizes")
+    dealt = pairs.join(sizes, "centre").withColumn("chunk", F.pmod(F.hash("c"), _spread("g", "sg")))
     task = F.xxhash64("centre", "chunk").alias("task")
     tasks = dealt.select(task, F.lit(1).alias("side"), "c").unionByName(
         dealt.select(task, F.lit(0).alias("side"), F.col("centre").alias("c")).distinct()
@@ -424,9 +433,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # rows that no link joins to their centre against the others of its group
     rest = pairs.join(known, "c").join(known.select(F.col("c").alias("centre"), F.col("g").alias("own")), "centre")
     rest = staged(rest.withColumn("miss", F.col("g") != F.col("own")).drop("own").withColumnRenamed("g", "name"), "rest")
-    sizes = rest.groupBy("centre").agg(F.count("*").alias("g"), F.sum(F.col("miss").cast("long")).alias("u")).filter("g > 1 and u > 0")
-    sizes = staged(sizes, "sizes")
-    rest = rest.join(sizes, "centre").withColumns({"nu": _spread("u"), "ng": _spread("g")})
+    sizes = rest.groupBy("centre").agg(
+        F.count("*").alias("g"), F.sum("size").alias("sg"), F.count_if("miss").alias("u"), F.sum(F.when(F.col("miss"), F.col("size"))).alias("su")
+    )
+    sizes = staged(sizes.filter("g > 1 and u > 0"), "sizes")
+    rest = rest.join(sizes, "centre").withColumns({"nu": _spread("u", "su"), "ng": _spread("g", "sg")})
     i, j = F.pmod(F.hash("c"), F.col("nu")), F.pmod(F.hash("c"), F.col("ng"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tasks = (

@@ -120,6 +120,43 @@ def test_near_copies_return_few_links(spark, monkeypatch):
     # 300 rows: a forest has under 300 links; all pairs of the groups are 3600
     assert sum(seen) < 600
 
+def test_near_copies_meet_their_hub_in_few_blocks(spark, monkeypatch):
+    """Of copies with one to six words changed the rows sent to blocks stay in proportion to the copies, and no link is lost."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 700):
+        own = list(words)
+        for at in rng.choice(150, 1 if i % 2 else 6, replace=False):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    sent, real = {}, ngramjoin.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngramjoin, "staged", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()}
+    number: dict[tuple, int] = {}
+    sets = np.zeros((len(rows), 60_000), np.float32)
+    for i, t in rows:
+        w = t.split()
+        for g in zip(w, w[1:], w[2:]):
+            sets[i, number.setdefault(g, len(number))] = 1
+    both = sets @ sets.T
+    n = sets.sum(1)
+    linked = 100 * both >= 90 * (n[:, None] + n[None, :] - both)
+    want = np.arange(len(rows))
+    while True:
+        new = np.where(linked, want[None, :], len(rows)).min(1)
+        if (new == want).all():
+            break
+        want = new
+    assert got == dict(enumerate(want.tolist())) and 100 < len(set(want)) < 600
+    assert 0 < sent["blocks"] <= 2 * sent["rest"] < 14 * len(rows)
+
 
 @settings(max_examples=30, deadline=None)
 @given(st.integers(50, 99), st.lists(st.frozensets(st.integers(0, 30), min_size=1), min_size=2, max_size=8))
