@@ -37,6 +37,10 @@ COSINE = 0.45
 WHOLE, PART = 0.8, 0.55  # share of the item in order: enough alone, enough with the answer
 ANSWER = 0.6  # share of the answer's words
 SEED = 5
+PIECE = 4096  # passages whose vectors are held at once
+PAIRS = 1 << 18  # near pairs looked at at once
+LONG = 64  # groups of more rows are added by one product each
+SLOT_BITS = 18
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,28 +109,66 @@ def hops(doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, doc[at]
 
 
-def _vocabulary(h: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words of the vocabulary, and their numbers."""
-    i = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    hit = np.flatnonzero(vocab[i] == h)
-    return hit, i[hit]
+class Vocabulary:
+    """Sorted hashes of words. The first bits of a hash tell most other words apart without a search."""
 
+    def __init__(self, vocab: np.ndarray):
+        self.vocab = vocab
+        self.shift = U64(64 - SLOT_BITS)
+        self.taken = np.zeros(1 << SLOT_BITS, bool)
+        self.taken[vocab >> self.shift] = True
 
-def _entries(texts: list[bytes], vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words of the vocabulary, and their numbers."""
+        maybe = np.flatnonzero(self.taken[h >> self.shift])
+        h = h[maybe]
+        i = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
+        hit = self.vocab[i] == h
+        return maybe[hit], i[hit]
+
+
+def row_sums(table: np.ndarray, index: np.ndarray, begin: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Sum of the (weighted) rows of ``table`` that each group names; group i is ``index[begin[i] : begin[i + 1]]``.
+
+    Longest groups first, so the j-th rows of all groups that have one are
+    added to a run of sums at once.
+    """
+    size = np.diff(begin)
+    order = np.argsort(-size, kind="stable")
+    first, size = begin[:-1][order], size[order]
+    out = np.zeros((len(size), table.shape[1]), table.dtype)
+    few = int(np.searchsorted(-size, -LONG))
+    for g in range(few):
+        part = slice(first[g], first[g] + size[g])
+        out[g] = table[index[part]].sum(0) if weight is None else weight[part] @ table[index[part]]
+    first, size, short = first[few:], size[few:], out[few:]
+    for j in range(int(size[0]) if len(size) else 0):
+        at = first[: np.searchsorted(-size, -j)] + j
+        rows = table[index[at]]
+        if weight is not None:
+            rows *= weight[at, None]
+        short[: len(at)] += rows
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _entries(texts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Passages of two hops, without overlap, as (passage, word, count), and their number."""
     h, doc = word_hashes(texts)
     at, _ = hops(doc, 2 * HOP)
-    place, word = _vocabulary(h, vocab)
-    code = (np.searchsorted(at, place, "right") - 1) * len(vocab) + word
+    place, word = vocab(h)
+    n = len(vocab.vocab)
+    code = (np.searchsorted(at, place, "right") - 1) * n + word
     code, count = np.unique(code, return_counts=True)
-    return code // len(vocab), code % len(vocab), count, len(at)
+    return code // n, code % n, count, len(at)
 
 
 def _frequencies(vocab: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocab), np.int64), 0
+        total, n, known = np.zeros(len(vocab), np.int64), 0, Vocabulary(vocab)
         for _, texts in text_batches(batches, 0):
-            _, word, _, passages = _entries(texts, vocab)
+            _, word, _, passages = _entries(texts, known)
             total += np.bincount(word, minlength=len(vocab))
             n += passages
         word = np.append(np.flatnonzero(total), -1)
@@ -140,26 +182,26 @@ def _product(vocab: np.ndarray, idf: np.ndarray, columns: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(SEED).standard_normal((len(vocab), columns)).astype(np.float32)
-        out = np.zeros((len(vocab), columns))
+        out, known = np.zeros((len(vocab), columns)), Vocabulary(vocab)
         for _, texts in text_batches(batches, 0):
-            row, word, count, _ = _entries(texts, vocab)
+            row, word, count, _ = _entries(texts, known)
             if not len(row):
                 continue
             row = np.unique(row, return_inverse=True)[1]
             value = (count * idf[word]).astype(np.float32)
             norm = np.sqrt(np.bincount(row, value * value))
             value /= np.maximum(norm, 1e-9)[row].astype(np.float32)
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            for lo in range(0, len(first), 4096):
+            first = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+            for lo in range(0, len(first) - 1, PIECE):
                 # some thousand passages at a time keep the gathered rows in memory
-                a, b = first[lo], first[lo + 4096] if lo + 4096 < len(first) else len(row)
-                w, v = word[a:b], value[a:b, None]
-                p = np.add.reduceat(random[w] * v, first[lo : lo + 4096] - a, axis=0)
-                back = p[row[a:b] - row[a]] * v
+                begin = first[lo : lo + PIECE + 1]
+                a, b = begin[0], begin[-1]
+                w, v = word[a:b], value[a:b]
+                p = row_sums(random, w, begin - a, v)
                 order = np.argsort(w, kind="stable")
                 ws = w[order]
                 cut = np.flatnonzero(np.diff(ws, prepend=-1))
-                out[ws[cut]] += np.add.reduceat(back[order], cut, axis=0)
+                out[ws[cut]] += row_sums(p, (row[a:b] - row[a])[order], np.append(cut, len(ws)), v[order])
         blocks = range(0, len(vocab), PARTS_ROWS)
         raw = [out[lo : lo + PARTS_ROWS].tobytes() for lo in blocks]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int32()), pa.array(raw, pa.binary())], ["block", "sums"])
@@ -232,25 +274,54 @@ def verified(item: np.ndarray, answer: int, words: np.ndarray) -> tuple[int, int
     return None
 
 
-def _passages(doc: np.ndarray, place: np.ndarray, word: np.ndarray, space: np.ndarray, hop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word and text of each passage of two hops, and its direction."""
-    at, of = hops(doc, hop)
-    of_hop = np.searchsorted(at, place, "right") - 1
-    vec = np.zeros((len(at), space.shape[1]), np.float32)
-    some = np.flatnonzero(np.diff(of_hop, prepend=-1))
-    for lo in range(0, len(some), 4096):
-        a, e = some[lo], some[lo + 4096] if lo + 4096 < len(some) else len(of_hop)
-        vec[of_hop[some[lo : lo + 4096]]] = np.add.reduceat(space[word[a:e]], some[lo : lo + 4096] - a, axis=0)
-    joint = np.flatnonzero(of[1:] == of[:-1])
-    follow = vec[joint + 1]
-    vec[joint] += follow
-    vec /= np.maximum(np.linalg.norm(vec, axis=1), 1e-9)[:, None]
-    return at, of, vec
+def _directions(of: np.ndarray, begin: np.ndarray, word: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Directions of the passages that begin at each hop (two hops of one text), some thousand at a time.
+
+    ``of``: the texts of the hops; ``begin``: where the words of each begin in ``word``.
+    """
+    for lo in range(0, len(of), PIECE):
+        hi = min(lo + PIECE, len(of))
+        more = min(hi + 1, len(of))  # the hop behind the last passage
+        vec = row_sums(space, word, begin[lo : more + 1])
+        vec[:-1] += vec[1:] * (of[lo + 1 : more] == of[lo : more - 1])[:, None]
+        vec = vec[: hi - lo]
+        vec /= np.maximum(np.linalg.norm(vec, axis=1), 1e-9)[:, None]
+        yield lo, vec
+
+
+def _candidates(of: np.ndarray, begin: np.ndarray, word: np.ndarray, space: np.ndarray, target: np.ndarray):
+    """Passages and item parts that are near, as hops, parts and cosines; about ``PAIRS`` at a time."""
+    held, n = [], 0
+    for lo, vec in _directions(of, begin, word, space):
+        cos = (vec @ target).ravel()
+        near = np.flatnonzero(cos >= COSINE)
+        for k in range(0, len(near), PAIRS):
+            some = near[k : k + PAIRS]
+            held.append((some // target.shape[1] + lo, some % target.shape[1], cos[some]))
+            n += len(some)
+            if n >= PAIRS:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _in_common(hit: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many words of ``word[lo:hi]`` are hit, for each pair of bounds; what is gathered is never more than all between them."""
+    first, n = int(lo.min()), hi - lo
+    upto = np.cumsum(n)
+    if upto[-1] < int(hi.max()) - first:
+        got, lo, hi = hit[word[np.repeat(lo - (upto - n), n) + np.arange(upto[-1])]], upto - n, upto
+    else:
+        got, lo, hi = hit[word[first : int(hi.max())]], lo - first, hi - first
+    total = np.append(0, np.cumsum(got))
+    return total[hi] - total[lo]
 
 
 def _search(items: Items, space: np.ndarray):
     numbers = [np.searchsorted(items.vocab, w) for w in items.words]
     kinds = [np.unique(w) for w in numbers]
+    length = np.array([len(w) for w in items.words])
     targets = []
     for hop in items.scales():
         owner, lists = items.parts(hop)
@@ -258,41 +329,42 @@ def _search(items: Items, space: np.ndarray):
         targets.append((hop, owner, (t / np.maximum(np.linalg.norm(t, axis=1), 1e-9)[:, None]).T.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = np.zeros(len(items.vocab), bool)
+        here, known = np.zeros(len(items.vocab), bool), Vocabulary(items.vocab)
         for b, texts in text_batches(batches):
             h, doc = word_hashes(texts)
             best: dict[tuple[int, int], tuple] = {}
-            place, word = _vocabulary(h, items.vocab)
+            place, word = known(h)
             text_start = np.searchsorted(doc, np.arange(len(texts)))
             text_end = np.searchsorted(doc, np.arange(len(texts)), "right")
             for hop, owner, target in targets if len(place) else []:
-                at, of, vec = _passages(doc, place, word, space, hop)
-                for lo in range(0, len(vec), 4096):
-                    cos = vec[lo : lo + 4096] @ target
-                    x, y = np.nonzero(cos >= COSINE)
-                    for i, j in zip((x + lo).tolist(), y.tolist(), strict=True):
-                        q, t = int(owner[j]), int(of[i])
-                        n = len(items.words[q])
-                        a, e = max(text_start[t], at[i] - n), min(text_end[t], at[i] + 2 * hop + n)
-                        # no common subsequence is longer than the words either side has in common
-                        lo_w, hi_w = np.searchsorted(place, (a, e))
-                        near = word[lo_w:hi_w]
-                        here[kinds[q]] = True
-                        mine = here[near].sum()
-                        here[kinds[q]] = False
-                        if mine < PART * n:
-                            continue
+                at, of = hops(doc, hop)
+                begin = np.append(np.searchsorted(place, at), len(place))
+                for i, j, cos in _candidates(of, begin, word, space, target):
+                    order = np.argsort(owner[j], kind="stable")
+                    i, q, cos = i[order], owner[j][order], cos[order]
+                    n = length[q]
+                    a, e = np.maximum(text_start[of[i]], at[i] - n), np.minimum(text_end[of[i]], at[i] + 2 * hop + n)
+                    lo, hi = np.searchsorted(place, a), np.searchsorted(place, e)
+                    # no common subsequence is longer than the words either side has in common
+                    mine = np.zeros(len(q), np.int64)
+                    edges = np.append(np.flatnonzero(np.diff(q, prepend=-1)), len(q))
+                    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                        here[kinds[q[x]]] = True
+                        mine[x:y] = _in_common(here, word, lo[x:y], hi[x:y])
+                        here[kinds[q[x]]] = False
+                    for c in np.flatnonzero(mine >= PART * n).tolist():
+                        k, t, near = int(q[c]), int(of[i[c]]), word[lo[c] : hi[c]]
                         here[near] = True
-                        enough = here[numbers[q]].sum() >= PART * n
+                        enough = here[numbers[k]].sum() >= PART * n[c]
                         here[near] = False
                         if not enough:
                             continue
-                        got = verified(items.words[q], items.answer[q], h[a:e])
+                        got = verified(items.words[k], items.answer[k], h[a[c] : e[c]])
                         if got:
-                            have = best.get((t, q))
-                            new = (got[0], float(cos[i - lo, j]), got[1])
+                            have = best.get((t, k))
+                            new = (got[0], float(cos[c]), got[1])
                             if have is None or new > have:
-                                best[t, q] = new
+                                best[t, k] = new
             ids, null = ids_of(b)
             keys = list(best)
             cols = [

@@ -85,9 +85,10 @@ class Scan:
             z = np.zeros(0, np.int64)
             return z, z, z
         # with a separator in front and behind, every run has two borders
-        borders = np.flatnonzero(np.diff(_SPACE[self.data].astype(np.int8), prepend=1))
+        space = _SPACE[self.data]
+        borders = np.flatnonzero(np.concatenate([[not space[0]], space[1:] != space[:-1]]))
         start, end = borders[0::2], borders[1::2]
-        return start, end, np.searchsorted(self.ends, start)
+        return start, end, np.repeat(np.arange(len(self.ends)), np.diff(np.searchsorted(start, self.ends), prepend=0))
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each line (separator excluded) and its text's number."""

@@ -347,3 +347,39 @@ def test_an_id_with_several_texts_has_the_links_of_all(spark):
     rows = [(i, " ".join(w)) for i, w in ((1, s2), (7, s1), (7, s2), (9, near), (10, ["else"] * 30))]
     got = jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (7, 1), (7, 1), (9, 1), (10, 10)]
+
+
+def test_row_sums_of_short_long_and_empty_groups():
+    from tapewatch.llm.decontaminate import LONG, Vocabulary, row_sums
+
+    rnd = np.random.default_rng(3)
+    size = np.array([0, 1, 3 * LONG, 0, LONG, LONG + 1, 2, 2, 5, 0])
+    begin = np.append(0, np.cumsum(size))
+    table, index, weight = rnd.standard_normal((50, 7)), rnd.integers(0, 50, begin[-1]), rnd.standard_normal(begin[-1])
+    groups = list(zip(begin[:-1], begin[1:]))
+    assert np.allclose(row_sums(table, index, begin), [table[index[a:b]].sum(0) for a, b in groups])
+    assert np.allclose(row_sums(table, index, begin, weight), [(table[index[a:b]] * weight[a:b, None]).sum(0) for a, b in groups])
+    vocab = np.unique(rnd.integers(0, 2**63, 300).astype(U64) * U64(2) + U64(1))
+    h = np.concatenate([vocab[::3], vocab[::5] + U64(1), rnd.integers(0, 2**63, 500).astype(U64)])
+    place, word = Vocabulary(vocab)(h)
+    assert place.tolist() == np.flatnonzero(np.isin(h, vocab)).tolist() and (vocab[word] == h[place]).all()
+
+
+def test_passages_near_an_item_are_counted_together():
+    """Calls made in a search do not follow the pairs of a passage and an item part that are near (some 70,000 here)."""
+    import cProfile
+    import pstats
+
+    import pyarrow as pa
+
+    from tapewatch.llm.decontaminate import COSINE, Items, _search
+
+    rnd = np.random.default_rng(1)
+    items = Items.of([(i, " ".join(f"w{k}" for k in rnd.choice(300, 40, replace=False))) for i in range(60)])
+    # one direction: every passage is near every part
+    space = np.abs(rnd.standard_normal((len(items.vocab), 4))).astype(np.float32) + np.float32(COSINE)
+    texts = [" ".join(f"w{k}" if k < 300 else "x" for k in rnd.integers(0, 900, 1600)) for _ in range(4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    p = cProfile.Profile()
+    found = p.runcall(lambda: sum(b.num_rows for b in _search(items, space)(iter([batch]))))
+    assert found == 0 and pstats.Stats(p).total_calls < 20_000
