@@ -9,7 +9,8 @@ the remaining symbols in blocks of whole documents are stored as Parquet rows,
 so one document is read by its block, its shard's rules and its symbols.
 
 Words are cut at white space, at which the tokenizer always ends a token and
-which it drops; distinct words are tokenized once and kept by a worker.
+which it drops, and where letters, marks and single digits meet, at which it
+cuts too; distinct words are tokenized once and kept by a worker.
 """
 
 from __future__ import annotations
@@ -48,59 +49,112 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+SPACE, LETTER, MARK, DIGIT, OTHER = range(5)
+# marks without those that join other pieces (') or begin the tokenizer's special strings (< | >)
+MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+_KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+_KIND[list(MARKS)] = MARK
+_KIND[48:58] = DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def pieces(scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of each piece, and the bytes with the letters of pieces in lower case.
+
+    Words of Latin letters, marks and digits are cut where the tokenizer cuts
+    them: it lower-cases, and takes letters, marks and single digits apart.
+    Any other word is one piece, as it is.
+    """
+    data = scan.data
+    if not len(data):
+        z = np.zeros(0, np.int64)
+        return z, z, z, data
+    kind = _KIND[data]
+    # the letters from U+00C0 to U+00FF, but for the signs of multiplication and division
+    two = np.flatnonzero(data[:-1] == 0xC3)
+    two = two[~np.isin(data[two + 1], (0x97, 0xB7)) & (data[two + 1] >= 0x80)]
+    kind[two] = kind[two + 1] = LETTER
+    odd = np.flatnonzero(kind == OTHER)
+    if len(odd):
+        start, end, _ = scan.words()
+        w = np.unique(np.searchsorted(start, odd, "right") - 1)
+        n = end[w] - start[w]
+        kind[np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = OTHER
+    low = np.where(kind == LETTER, _LOWER[data], data)
+    upper = two[(kind[two] == LETTER) & (data[two + 1] < 0x9F)] + 1
+    low[upper] += 32
+    before = np.append(np.uint8(SPACE), kind[:-1])
+    cut = (kind != before) | (kind == DIGIT)
+    start, end = np.flatnonzero(cut & (kind != SPACE)), np.flatnonzero(cut & (before != SPACE))
+    return start, end, np.repeat(np.arange(len(scan.ends)), np.diff(np.searchsorted(start, scan.ends), prepend=0)), low
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order of their first places, and the number of every value."""
+    d = pa.array(values).dictionary_encode()
+    return d.dictionary.to_numpy(zero_copy_only=False), d.indices.to_numpy(zero_copy_only=False)
+
+
 class Words:
     """Token ids of distinct words, kept between shards of a worker as bytes.
 
-    A word of Latin letters before points and commas is kept without these and
-    in lower case: the tokenizer lower-cases, and ends a token between the two.
     Half of the table is the generation before, so frequent words stay.
     """
 
-    plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)").fullmatch
+    # a word that the tokenizer does not cut: its last token alone bears the mark of a word's end
+    whole = re.compile(b"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[" + re.escape(MARKS) + b"]+|[0-9]").fullmatch
 
     def __init__(self, path: str):
         self.tok, self.known, self.before = tokenizer(path), {}, {}
-
-    def _encode(self, words: list[str]) -> None:
-        """Words in one text, parted by spaces: no token crosses these, and offsets tell whose each token is."""
-        for lo in range(0, len(words), 500):
-            part = words[lo : lo + 500]
-            e = self.tok.encode(" ".join(part), add_special_tokens=False)
-            begin = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1  # the space behind each word
-            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
-            n = np.bincount(np.searchsorted(begin, at, "right"), minlength=len(part))
-            raw = np.array(e.ids, np.int32).tobytes()
-            stop = 4 * np.cumsum(n)
-            for w, i, j in zip(part, (stop - 4 * n).tolist(), stop.tolist(), strict=True):
-                self.known[w] = raw[i:j]
+        mark = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.last = None
+        if mark:
+            self.last = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+            self.last[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(mark)]] = True
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, stop: np.ndarray) -> None:
+        raw = ids.tobytes()
+        stop = (4 * stop).tolist()
+        self.known.update(zip(words, [raw[i:j] for i, j in zip([0, *stop[:-1]], stop, strict=True)], strict=True))
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Words in one text, parted by spaces: no token crosses these, and marks or offsets tell whose each token is."""
+        whole = [self.last is not None and self.whole(w) is not None for w in words]
+        for kind in (True, False):
+            some = [w for w, x in zip(words, whole, strict=True) if x is kind]
+            for lo in range(0, len(some), 500):
+                part = some[lo : lo + 500]
+                text = b" ".join(part).decode()
+                if kind:
+                    ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                    stop = np.flatnonzero(self.last[ids]) + 1
+                    if len(stop) == len(part) and stop[-1] == len(ids):
+                        self._keep(part, ids, stop)
+                        continue
+                e = self.tok.encode(text, add_special_tokens=False)
+                lens = [len(w.decode()) for w in part]
+                begin = np.cumsum(np.array(lens, np.int64) + 1) - 1  # the space behind each word
+                at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
+                n = np.bincount(np.searchsorted(begin, at, "right"), minlength=len(part))
+                self._keep(part, np.array(e.ids, np.int32), np.cumsum(n))
 
     def forget(self) -> None:
         self.known, self.before = {}, {}
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids in a row, and how many each word has."""
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All (distinct) words' ids in a row, and how many each word has."""
         if len(self.known) > WORDS_KEPT // 2:
             self.known, self.before = {}, self.known
-        known, before, plain = self.known, self.before, self.plain
-        raw: list[bytes] = [b""] * len(words)
-        wait: list[tuple[int, str, str]] = []
-        new: dict[str, None] = {}
-        for i, w in enumerate(words):
-            m = plain(w)
-            a, b = (m[1].lower(), m[2]) if m else (w, "")
-            for p in (a, b) if b else (a,):
-                if p not in known:
-                    if p in before:
-                        known[p] = before[p]
-                    else:
-                        new[p] = None
-            if a in new or b in new:
-                wait.append((i, a, b))
-            else:
-                raw[i] = known[a] + known[b] if b else known[a]
-        self._encode(list(new))
-        for i, a, b in wait:
-            raw[i] = known[a] + known[b] if b else known[a]
+        known, before = self.known, self.before
+        new = [w for w in words if w not in known]
+        if before:
+            known.update([(w, before[w]) for w in new if w in before])
+            new = [w for w in new if w not in before]
+        self._encode(new)
+        raw = [known[w] for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         return np.frombuffer(b"".join(raw), np.int32), sizes
 
@@ -121,23 +175,25 @@ class ShardWords:
 
     def add(self, texts: list[bytes]) -> None:
         scan = Scan(texts, lower=False)
-        start, end, doc = scan.words()
+        start, end, doc, scan.low = pieces(scan)
         self.parts.append((scan.hashes(start, end), scan.hashes(start, end, 1), start + self.size, end + self.size))
         self.counts.append(np.bincount(doc, minlength=len(texts)))
-        self.data.append(scan.data.tobytes())
+        self.data.append(scan.low.tobytes())
         self.size += len(scan.data)
 
-    def numbered(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def numbered(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct words, the number of every word in order, and the words of each text."""
         columns = [list(x) for x in zip(*self.parts, strict=True)]
         self.parts = []
         h1, h2, start, end = (np.concatenate(columns.pop(0)) for _ in range(4))
-        _, first, number = np.unique(h1, return_index=True, return_inverse=True)
+        found, number = distinct(h1)
+        first = np.zeros(len(found), np.int64)
+        first[number[::-1]] = np.arange(len(number))[::-1]
         if (h2 != h2[first][number]).any():
             _, first, number = np.unique(np.stack([h1, h2], 1), axis=0, return_index=True, return_inverse=True)
-        del h1, h2
+        del h1, h2, found
         data, self.data = b"".join(self.data), []
-        words = [data[i:j].decode() for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        words = [data[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         return words, number.reshape(-1).astype(np.int32), np.concatenate(self.counts)
 
 
@@ -147,18 +203,21 @@ def replace_pairs(sym: np.ndarray, group: np.ndarray, weight: np.ndarray | None,
     ``weight``: how often each place counts. New symbols are numbered from
     ``first`` by their place in ``rules``. Returns the symbols and groups left.
     """
-    while len(sym) > 1:
-        code = (sym[:-1].astype(np.int64) << 32) | sym[1:]
-        same = group[:-1] == group[1:]
-        w = None if weight is None else weight[group[:-1]]
+    # a pair of two older symbols never gets more frequent, so after a round only
+    # places of its frequent pairs and of its new symbols are looked at again
+    live = np.arange(len(sym) - 1)
+    while len(live):
+        at = live[group[live] == group[live + 1]]
+        code = (sym[at].astype(np.int64) << 32) | sym[at + 1]
+        w = None if weight is None else weight[group[at]]
         slot = (code * 0x1E3779B97F4A7C15 >> 20) & (BINS - 1)
-        load = np.bincount(slot[same], None if w is None else w[same], BINS)
-        maybe = np.flatnonzero(same & (load >= least)[slot])
+        often = np.flatnonzero((np.bincount(slot, w, BINS) >= least)[slot])
         del slot
-        if not len(maybe):
+        if not len(often):
             break
-        pairs, where = np.unique(code[maybe], return_inverse=True)
-        count = np.bincount(where, None if w is None else w[maybe])
+        maybe = at[often]
+        pairs, where = distinct(code[often])
+        count = np.bincount(where, None if w is None else w[often])
         # all frequent pairs at once; where places overlap the more frequent pair goes first
         chosen = count >= least
         if not chosen.any():
@@ -166,7 +225,7 @@ def replace_pairs(sym: np.ndarray, group: np.ndarray, weight: np.ndarray | None,
         rank = np.zeros(len(pairs), np.int32)
         rank[chosen] = np.argsort(np.lexsort((pairs[chosen], -count[chosen]))) + 1
         best = int(chosen.sum()) + 1
-        prio = np.zeros(len(code) + 2, np.int32)
+        prio = np.zeros(len(sym) + 1, np.int32)
         r = rank[where]
         prio[maybe + 1] = np.where(r > 0, best - r, 0)
         # of overlapping places the more frequent pair; in a run of one pair every other place
@@ -176,13 +235,16 @@ def replace_pairs(sym: np.ndarray, group: np.ndarray, weight: np.ndarray | None,
         start, size = start[wins], (stop - start)[wins]
         half = (size + 1) // 2
         take = np.repeat(start - 1 - 2 * (np.cumsum(half) - half), half) + 2 * np.arange(int(half.sum()))
-        used, new = np.unique(code[take], return_inverse=True)
+        used, new = np.unique((sym[take].astype(np.int64) << 32) | sym[take + 1], return_inverse=True)
         sym = sym.copy()
         sym[take] = first + len(rules) + new
         rules += list(zip((used >> 32).tolist(), (used & 0xFFFFFFFF).tolist(), strict=True))
         keep = np.ones(len(sym), bool)
         keep[take + 1] = False
+        again = np.zeros(len(sym), bool)
+        again[maybe[r > 0]] = again[take] = again[np.maximum(take - 1, 0)] = True
         sym, group = sym[keep], group[keep]
+        live = np.flatnonzero(again[keep][:-1])
     return sym, group
 
 
@@ -288,20 +350,12 @@ class Expander:
         a, b, n = np.frombuffer(left, "<i4"), np.frombuffer(right, "<i4"), np.frombuffer(lengths, "<i8")
         self.first, self.size = first, n
         self.start = np.cumsum(n) - n
-        flat = np.zeros(int(n.sum()), np.int64)
-        for x, y, s, m in zip(a.tolist(), b.tolist(), self.start.tolist(), n.tolist(), strict=True):
-            k = 1
-            if x < first:
-                flat[s] = x
-            else:
-                k = n[x - first]
-                o = self.start[x - first]
-                flat[s : s + k] = flat[o : o + k]
-            if y < first:
-                flat[s + k] = y
-            else:
-                o = self.start[y - first]
-                flat[s + k : s + m] = flat[o : o + m - k]
+        flat = np.stack([a, b], 1).astype(np.int64).reshape(-1)
+        while (rule := flat >= first).any():
+            # every rule among the symbols of all rules becomes its two
+            r, k = flat[rule] - first, np.cumsum(1 + rule)[rule] - 2
+            flat = np.repeat(flat, 1 + rule)
+            flat[k], flat[k + 1] = a[r], b[r]
         self.flat = flat
 
     def __call__(self, sym: np.ndarray) -> np.ndarray:

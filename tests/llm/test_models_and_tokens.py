@@ -15,7 +15,7 @@ import corpus_pipeline
 from tapewatch.llm import hnsw, langid, licences
 from tapewatch.llm.piecetable import sentencepiece_documents, table
 from tapewatch.llm.queries import op2_language_id
-from tapewatch.llm.repair import read_token_shards, replace_pairs, tokenizer, write_token_shards
+from tapewatch.llm.repair import ShardWords, Words, read_token_shards, replace_pairs, tokenizer, write_token_shards
 from tapewatch.llm.tokencount import count_tokens, cuts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -116,6 +116,38 @@ def test_special_strings_and_odd_text_in_files(spark, tmp_path):
     assert got == {i: tokenizer(WORDS).encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
 
 
+ODD = st.text(alphabet="aZzÀÞßéÿ×÷'.,-=;<|>_09 \n\t\x1c\u0301\u0338\u00a0\u0085İΣĀ日", max_size=30)
+
+
+def test_pieces_are_tokenized_once_and_as_in_the_text():
+    """Of a word in other cases and with marks around it only the letters are tokenized, once."""
+    words, asked = Words(WORDS), []
+    plain = words._encode
+    words._encode = lambda new: (asked.extend(new), plain(new))
+
+    def ids_by_text(texts):
+        found = ShardWords()
+        found.add([t.encode() for t in texts])
+        distinct_words, number, counts = found.numbered()
+        flat, sizes = words(distinct_words)
+        stop = np.cumsum(sizes)
+        each = [flat[stop[i] - sizes[i] : stop[i]].tolist() for i in number.tolist()]
+        last = np.cumsum(counts)
+        return [[x for w in each[e - n : e] for x in w] for e, n in zip(last.tolist(), counts.tolist(), strict=True)]
+
+    tok = tokenizer(WORDS)
+    text = "Café, (café) CAFÉ! café; 2024 café/CAFÉ it's \"café\"..."
+    assert ids_by_text([text, ""]) == [tok.encode(text, add_special_tokens=False).ids, []]
+    assert [w for w in asked if "caf" in w.decode().lower()] == ["café".encode()]
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(ODD, max_size=5))
+    def check(texts):
+        assert ids_by_text(texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+    check()
+
+
 def test_language_held_out_accuracy(spark, root):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = op2_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang", "n_chars"), "doc_id")
