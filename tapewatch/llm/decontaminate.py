@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import staged
+from .tables import lean, staged
 from .textscan import U64, Scan, ids_of, text_batches
 
 HOP = 16  # words; a passage is two hops, an item's part one
@@ -165,6 +165,7 @@ def _entries(texts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndar
 
 
 def _frequencies(vocab: np.ndarray):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, known = np.zeros(len(vocab), np.int64), 0, Vocabulary(vocab)
         for _, texts in text_batches(batches, 0):
@@ -180,6 +181,7 @@ def _frequencies(vocab: np.ndarray):
 def _product(vocab: np.ndarray, idf: np.ndarray, columns: int):
     """This part's share of (transposed matrix) x (matrix) x (random matrix), by rows of the vocabulary."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(SEED).standard_normal((len(vocab), columns)).astype(np.float32)
         out, known = np.zeros((len(vocab), columns)), Vocabulary(vocab)
@@ -328,6 +330,7 @@ def _search(items: Items, space: np.ndarray):
         t = np.stack([space[w].sum(0) for w in lists])
         targets.append((hop, owner, (t / np.maximum(np.linalg.norm(t, axis=1), 1e-9)[:, None]).T.astype(np.float32)))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, known = np.zeros(len(items.vocab), bool), Vocabulary(items.vocab)
         for b, texts in text_batches(batches):

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import hold, with_columns
+from .tables import hold, lean, with_columns
 from .textscan import BATCH_BYTES
 
 DIM = 1024
@@ -110,6 +110,7 @@ def _pieces(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         yield b.slice(lo)
 
 
+@lean
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bundled vector for each language in this part: rows (lang, text)."""
     hold("langid", letter_vector.cache_clear)
@@ -160,6 +161,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
 
 def _predict(at: int, profiles: Profiles):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("langid", letter_vector.cache_clear)
         for whole in batches:

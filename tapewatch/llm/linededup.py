@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import staged, unused, with_columns
+from .tables import lean, staged, unused, with_columns
 from .textscan import U64, Scan, ids_of, mix, text_batches
 
 SHARD_KEYS = 250_000  # keys of one shard, about 6 MB of arrays
@@ -69,6 +69,7 @@ def both(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def _keys(min_points: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_batches(batches):
             _, _, doc, h1, h2, points = line_keys(Scan(texts))
@@ -129,6 +130,7 @@ def _probe(probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
 
 
 def _kept(names: list[str], text_at: int, min_points: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_batches(batches, text_at):
             scan = Scan(texts)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .tables import KeyFilter, runs, staged
+from .tables import KeyFilter, lean, runs, slices, staged
 from .textscan import U64, Scan, ids_of, mix, shingle_sets, text_batches
 
 CHUNK = 1_000_000  # n-grams or block entries combined before they leave a task
@@ -107,6 +107,7 @@ def _rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
 def _base(k: int, seed: int):
     """Documents (kind 0: id, size, digest) and n-grams common in a task's part (kind 1: n-gram, count)."""
 
+    @lean
     def run(batches):
         held, size, docs = [], 0, 0
 
@@ -140,28 +141,24 @@ def _entries(k: int, seed: int, bands: Bands, common: np.ndarray, repeats: bool)
     read in the same order each time.
     """
 
-    def part(sig, doc, needs=()):
+    def part(sigs, docs, needs=()):
+        sig, doc = np.concatenate(sigs), np.concatenate(docs)
+        sigs.clear(), docs.clear()
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
+        del order
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
-        if repeats:
-            at = np.flatnonzero(~first)
-        else:
+        if not repeats:
             again = np.append(~first[1:], False)
             at = np.repeat(np.flatnonzero(first), 1 + again[first])
-        if not repeats:
-            return pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array(doc[at])], ["sig", "c"])
+            return slices(["sig", "c"], sig[at].view(np.int64), doc[at])
+        at = np.flatnonzero(~first)
         bit, who, need = (np.concatenate(x) for x in zip(*needs, strict=True))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([sig[at].view(np.int64), bit])),
-                pa.array(np.concatenate([doc[at], who])),
-                pa.array(np.concatenate([np.zeros(len(at), np.int64), need]), mask=np.arange(len(at) + len(need)) < len(at)),
-            ],
-            ["sig", "c", "need"],
-        )
+        need = np.ma.array(np.concatenate([np.zeros(len(at), np.int64), need]), mask=np.arange(len(at) + len(need)) < len(at))
+        return slices(["sig", "c", "need"], np.concatenate([sig[at].view(np.int64), bit]), np.concatenate([doc[at], who]), need)
 
+    @lean
     def run(batches):
         sigs, docs, needs, size = [], [], [], 0
         for _, _, n, d1, _, d, s in _distinct_texts(batches, k, seed):
@@ -205,14 +202,15 @@ def _entries(k: int, seed: int, bands: Bands, common: np.ndarray, repeats: bool)
                 few = np.flatnonzero(ok & (idle < spare))
                 needs.append((band[few] & 1, d1[few], (spare - idle)[few]))
             if size >= CHUNK:
-                yield part(np.concatenate(sigs), np.concatenate(docs), needs)
+                yield from part(sigs, docs, needs)
                 sigs, docs, needs, size = [], [], [], 0
         if size:
-            yield part(np.concatenate(sigs), np.concatenate(docs), needs)
+            yield from part(sigs, docs, needs)
 
     return run
 
 
+@lean
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries held by several rows.
 
@@ -226,18 +224,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del cols
     order = np.lexsort((doc, sig))
     sig, doc = sig[order], doc[order]
+    del order
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     start = np.flatnonzero(first)
     size = np.diff(np.append(start, len(sig)))
     keep = np.repeat(size > 1, size)
     keep[1:] &= (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, doc)], ["sig", "c"])
+    yield from slices(["sig", "c"], sig[keep], doc[keep])
 
 
 def _sets(k: int, seed: int, wanted: KeyFilter):
     """(class, n-grams) of the rows that may be of a wanted class, each set once a task."""
 
+    @lean
     def run(batches):
         for _, _, n, d1, _, d, s in _distinct_texts(batches, k, seed):
             size = np.bincount(d, minlength=len(n))
@@ -286,6 +286,7 @@ def block_product(left: list[np.ndarray], right: list[np.ndarray], bands: Bands,
 
 
 def _products(bands: Bands):
+    @lean
     def run(batches):
         for t in runs(batches):
             side = t.column("side").to_numpy()
@@ -309,6 +310,7 @@ def _forest(bands: Bands):
     links than it has rows.
     """
 
+    @lean
     def run(batches):
         for t in runs(batches):
             side = t.column("side").to_numpy()

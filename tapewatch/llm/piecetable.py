@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tables import hold, with_columns
+from .tables import hold, lean, with_columns
 
 SPACE = "▁"
 TABLE_BYTES = 48 << 20  # of stretches a worker keeps in a generation, beside as much of the one before
@@ -222,10 +222,6 @@ class PieceTable:
             back = text.replace(SPACE, " ")
         return ids, back[1:] if self.prefix and back[:1] == " " else back
 
-    def forget(self) -> None:
-        self.known, self.before, self.odd, self.bytes = {}, {}, {}, 0
-        self.pairs.clear()
-
 
 @lru_cache(maxsize=2)
 def table(path: str) -> PieceTable:
@@ -233,9 +229,10 @@ def table(path: str) -> PieceTable:
 
 
 def _encode(path: str, at: int, outputs: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("piecetable", table.cache_clear)
         t = table(path)
-        hold("piecetable", t.forget)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)

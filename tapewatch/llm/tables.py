@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import staged
 
-__all__ = ["documents", "KeyFilter", "hold", "staged", "runs", "unused", "with_columns"]
+__all__ = ["documents", "KeyFilter", "hold", "lean", "slices", "staged", "runs", "unused", "with_columns"]
+SLICE = 1 << 16  # rows of a batch of narrow rows that a task gives out
 _held: dict[str, Callable[[], None]] = {}
 
 
@@ -27,10 +29,35 @@ def hold(name: str, drop: Callable[[], None]) -> None:
         _held.pop(k)()
     _held[name] = drop
     if others:
+        release()
+
+
+def release() -> None:
+    """Give memory that this worker has freed back to the system; Arrow and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: freed memory is reused all the same
+        pass
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on batches, after which its worker keeps no memory that is free: workers wait beside each other and the JVM."""
+
+    @wraps(work)
+    def run(batches: Iterator) -> Iterator:
         try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: freed memory is reused all the same
-            pass
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def slices(names: list[str], *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Columns of equal length as batches of at most ``SLICE`` rows, so that both sides hold little at once."""
+    for lo in range(0, len(cols[0]), SLICE):
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + SLICE]) for c in cols], names)
 
 
 def unused(df: DataFrame, name: str) -> str:

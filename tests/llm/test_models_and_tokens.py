@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapewatch.llm import hnsw, langid, licences
-from tapewatch.llm.piecetable import sentencepiece_documents, table
+from tapewatch.llm.piecetable import _encode, sentencepiece_documents, table
 from tapewatch.llm.queries import op2_language_id
 from tapewatch.llm.repair import ShardWords, Words, read_token_shards, replace_pairs, tokenizer, write_token_shards
+from tapewatch.llm.tables import hold
 from tapewatch.llm.tokencount import count_tokens, cuts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -291,3 +293,25 @@ def test_neighbours_recall_in_a_whole_shard(kind):
     dist = (q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q.astype(float) @ x.T.astype(float)
     hits = [len(set(a) & set(b)) for a, b in zip(np.argsort(dist, 1)[:, :10].tolist(), got.tolist(), strict=True)]
     assert sum(hits) >= 0.99 * 10 * len(q) and min(hits) > 0
+
+
+def test_a_worker_keeps_no_table_of_another_operator():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["doc_id", "text"])
+    list(_encode(PIECES, 1, ["n_tokens"])(iter([batch])))
+    assert table.cache_info().currsize == 1
+    hold("another", lambda: None)
+    assert table.cache_info().currsize == 0
+
+
+def test_pipeline_stages_bound_the_bytes_of_batches(spark, root):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 2000)").alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(corpus_pipeline.BATCH)
+        stage(spark, spark.read.parquet(f"{root}/documents.parquet"), root)
+        assert max(r.n for r in df.mapInArrow(sizes, "n bigint").collect()) < 5 << 20
+    spark.conf.unset(corpus_pipeline.BATCH)

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
@@ -383,3 +384,19 @@ def test_passages_near_an_item_are_counted_together():
     p = cProfile.Profile()
     found = p.runcall(lambda: sum(b.num_rows for b in _search(items, space)(iter([batch]))))
     assert found == 0 and pstats.Stats(p).total_calls < 20_000
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_entries_leave_in_small_batches(repeats):
+    """A task holds a million entries; no batch it gives out has more than a few rows of them."""
+    texts = [" ".join(f"w{i % 300}x{j}" for j in range(300)) + f" end{i}" for i in range(600)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], ["id", "text"])
+    out = list(ngramjoin._entries(5, 0, Bands(80, 100), np.zeros(0, U64), repeats)(iter([whole])))
+    rows = [b.num_rows for b in out]
+    assert sum(rows) > 1 << 16 >= max(rows)
+    got = pa.Table.from_batches(out).to_pandas()
+    if repeats:
+        assert got.need.isna().sum() > 1 << 16 and got.need.count() == 1200
+    else:
+        # each entry once, twice if several rows have it
+        assert got.groupby("sig").size().max() == 2 and not got.sig.is_monotonic_decreasing
