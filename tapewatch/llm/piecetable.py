@@ -207,10 +207,10 @@ class PieceTable:
             self.known[text] = found
         return found
 
-    def document(self, text: str) -> tuple[str, str]:
-        """Ids of a text, joined by commas, and the text decoded from them."""
+    def document(self, text: str) -> list[tuple[str, int, str]]:
+        """A text's ids joined by commas, their number, and the text decoded from them with the model's own space in front; none if empty."""
         if not text:
-            return "", ""
+            return []
         text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         known, make = self.known.get, self.stretch
         parts = _STRETCH.findall(text)
@@ -220,7 +220,7 @@ class PieceTable:
             back = "".join([odd[s] if s in odd else s.replace(SPACE, " ") for s in parts])
         else:
             back = text.replace(SPACE, " ")
-        return ids, back[1:] if self.prefix and back[:1] == " " else back
+        return [(ids, ids.count(",") + 1, back)]
 
 
 @lru_cache(maxsize=2)
@@ -238,9 +238,11 @@ def _encode(path: str, at: int, outputs: list[str]):
                 part = b.slice(lo, 256)
                 made: dict[str, list] = {c: [] for c in outputs}
                 for text in part.column(at).to_pylist():
-                    ids, back = t.document(text or "")
+                    ids, n, back = t.document(text)[0] if text else ("", 0, "")
+                    if t.prefix and back[:1] == " ":
+                        back = back[1:]
                     if "n_tokens" in made:
-                        made["n_tokens"].append(ids.count(",") + 1 if ids else 0)
+                        made["n_tokens"].append(n)
                     if "ids" in made:
                         made["ids"].append(np.fromstring(ids, np.int32, sep=",") if ids else [])
                     if "ids_sha256" in made:
